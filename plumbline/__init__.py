@@ -1 +1,8 @@
 """Survey response quality on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value: the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
