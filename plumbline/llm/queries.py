@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_native
+from . import queries_native, queries_pages
 
-QUERIES = {**queries_native.QUERIES}
-SQL = {**queries_native.SQL}
+QUERIES = {**queries_native.QUERIES, **queries_pages.QUERIES}
+SQL = {**queries_native.SQL, **queries_pages.SQL}
