@@ -66,8 +66,9 @@ def _grams(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "", keep_text: bool = True) -> DataFrame:
-    """docs with the metrics that rules name, each called prefix + its name.
+def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "", keep_text: bool = True, extra=None) -> DataFrame:
+    """docs with the metrics that rules name, each called prefix + its name. extra: more metrics of words and text, as
+    (words, text) -> columns by name; with it come n_lines and n_stop, too.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words count as the contract of op1 says; windows are compared by
     64-bit hashes within one text. Ratios are null where their divisor is 0, the stop-word ratio also
@@ -78,6 +79,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "", keep_
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept = [c for c in docs.columns if keep_text or c != text]
     df = docs.select(*[F.col(f"`{c}`") for c in kept], t.alias("_q_t"), words(F.col(text)).alias("_q_w"), lines.alias("_q_l"))
+    more = extra(F.col("_q_w"), F.col("_q_t")) if extra else {}
     df = df.select(
         *[F.col(f"`{c}`") for c in kept],
         F.size("_q_w").cast("long").alias("_q_n_words"),
@@ -89,6 +91,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "", keep_
         F.length(F.regexp_replace("_q_t", r"[^A-Z]+", "")).cast("long").alias("_q_n_upper"),
         F.length(F.regexp_replace("_q_t", r"[^!]+", "")).cast("long").alias("_q_n_exclamations"),
         _grams(F.col("_q_w"), 5).alias("_q_g"),
+        *[c.alias("_q_x_" + k) for k, c in more.items()],
     )
     n, of = F.col("_q_n_words"), lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     made = {
@@ -104,6 +107,8 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "", keep_
         "upper_ratio": of("_q_n_upper", "_q_word_chars"),
         "exclamation_ratio": of("_q_n_exclamations", "_q_n_words"),
     }
+    if extra:
+        made |= {"n_lines": F.col("_q_n_lines"), "n_stop": F.col("_q_n_stop")} | {k: F.col("_q_x_" + k) for k in more}
     return df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(prefix + k) for k, c in made.items()])
 
 
