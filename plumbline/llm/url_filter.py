@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: (verdict, host/path), as the production filter has them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DEPTH = 4
@@ -69,7 +71,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
     df = pages.groupBy("_u_host", "_u_segments").agg(
         F.count(F.lit(1)).alias("_u_n"), F.count("_u_bad").alias("_u_labelled"), F.sum(F.coalesce("_u_bad", F.lit(0))).alias("_u_bad")
     )
-    df = df.withColumn("_u_template", F.lit(""))
+    df = materialise(df.withColumn("_u_template", F.lit("")), "templates")
     sums = [F.sum(c).alias(c) for c in ("_u_n", "_u_labelled", "_u_bad")]
     for level in range(DEPTH):
         df = df.withColumn("_u_segment", F.get("_u_segments", F.lit(level)))
@@ -88,6 +90,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         said = said.select("_u_host", "_u_template", "_u_segment", F.when(wild, F.lit("*")).otherwise(F.col("_u_segment")).alias("_u_step"))
         df = df.join(said, ["_u_host", "_u_template", "_u_segment"])
         df = df.withColumn("_u_template", F.concat("_u_template", F.lit("/"), "_u_step")).drop("_u_step", "_u_segment")
+        df = materialise(df, "templates")  # each level reads the one before three times
     df = df.withColumn("_u_template", F.concat("_u_template", F.lit("/"), F.get("_u_segments", F.lit(DEPTH))))
     purity = df.groupBy("_u_host", "_u_template").agg(
         ((F.sum("_u_bad") + F.lit(PRIOR * WEIGHT)) / (F.sum("_u_labelled") + F.lit(WEIGHT))).alias("_u_purity")
