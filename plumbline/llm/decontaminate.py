@@ -59,7 +59,10 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, verify: bool = True) -> DataFrame:
-    """docs (without text) with n_words, hits (sorted array of struct(start, length), starts from 0) and items (sorted ids)."""
+    """docs (without text) with n_words, hits (sorted array of struct(start, length), starts from 0) and items (sorted ids).
+
+    _d_row is the row's number in the scan of docs.
+    """
     grams = benchmark_windows(benchmark, item_id, item_text, width)
     grams = grams.withColumn("_d_n", F.size("_d_gram"))
     # Bounded look at the benchmark: how many windows, which lengths (at most `width`).
@@ -99,7 +102,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     df = df.groupBy("_d_row", *others, "n_words").agg(
         F.sort_array(F.collect_set(hit)).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_d_items")))).alias("items")
     )
-    return df.drop("_d_row")
+    return df
 
 
 def covered(hits: Column) -> Column:
@@ -120,11 +123,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         "items_sha256": F.sha2(F.array_join("items", ","), 256),
         "contaminated": F.size("hits") > 0,
     }
-    return df.withColumns(made).drop("hits", "items")
+    return df.withColumns(made).drop("hits", "items", "_d_row")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents without any hit, with the columns of docs. Texts don't move: only the hit rows' numbers do."""
-    named = docs.withColumn("_d_text", F.col(text))
-    df = find_hits(named, benchmark, text=text, **options)
-    return df.filter(F.size("hits") == 0).withColumnRenamed("_d_text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents of a stored table without any hit, with the columns of docs."""
+    hit = find_hits(docs.select(text), benchmark, text=text, **options).filter(F.size("hits") > 0).select("_d_row")
+    df = docs.withColumn("_d_row", F.monotonically_increasing_id()).join(hit, "_d_row", "left_anti")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs, a stored table, with the hit words of each text replaced by nothing: its other words, joined by single spaces, if
+    anything was hit; untouched else."""
+    hits = find_hits(docs.select(text), benchmark, text=text, **options).filter(F.size("hits") > 0).select("_d_row", "hits")
+    df = docs.withColumn("_d_row", F.monotonically_increasing_id()).join(hits, "_d_row", "left")
+    w = content_words(F.col(f"`{text}`"))
+    kept = F.filter(w, lambda x, i: ~F.exists("hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["length"])))
+    cleaned = F.when(F.col("hits").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))
+    return df.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased and framed by spaces; the n-grams of their UTF-8 bytes (N) fall into SLOTS hashed slots, present or not.
-From all labelled rows that may be learned from, the documents of either class that have a slot are counted on the executors.
-The KEPT slots of the greatest log-likelihood ratio are features; each is scaled by its log-count ratio, and a regularised
-logistic regression over them is fitted on the SAMPLE labelled rows of the smallest hash (all, if fewer), of which only the
-numbers of their features reach the driver.
+Learning uses a bounded sample: the SAMPLE labelled rows of the smallest hash of their id (all, if fewer), whose ids are broadcast,
+so that no text moves. The documents of either class that have a slot are counted on the executors. The KEPT slots of the
+greatest log-likelihood ratio are features; each is scaled by its log-count ratio, and a regularised logistic regression over
+them is fitted on the driver, which only the numbers of the sample's features reach.
 
 Defined cases: a null or empty text has the n-grams of two spaces at most, and is scored like any other; labels other than 0 and
 1 are left out; several labels of one document all count; with no usable label every score is 0.5, with one class it is the
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N, SLOT_BITS, KEPT, SAMPLE, LEAST_DOCS, ALPHA, PENALTY = (3, 5), 18, 1024, 12_000, 4, 1.0, 1.0
+N, SLOT_BITS, KEPT, SAMPLE, LEAST_DOCS, ALPHA, PENALTY = (3, 5), 18, 768, 24_000, 4, 1.0, 1.0
 SLOTS = 1 << SLOT_BITS
 
 
@@ -96,8 +96,8 @@ def regression(x: np.ndarray, y: np.ndarray, start: float, penalty: float = PENA
     return w, b
 
 
-def learn(marked: DataFrame, size: int = SAMPLE) -> Linear:
-    """marked: text, label (0 or 1), _t_id."""
+def learn(marked: DataFrame) -> Linear:
+    """marked, a bounded table: text, label (0 or 1)."""
     counted = marked.select("text", "label").mapInPandas(_count, "slot bigint, bad bigint, good bigint")
     counts = counted.groupBy("slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()  # at most SLOTS + 1 rows
     whole, counts = counts[counts["slot"] == -1], counts[counts["slot"] >= 0]
@@ -119,8 +119,7 @@ def learn(marked: DataFrame, size: int = SAMPLE) -> Linear:
         found = (number[slots(t)] for t in texts)
         return pd.Series([np.unique(f[f >= 0]) for f in found])
 
-    chosen = marked.orderBy(F.xxhash64(F.col("_t_id").cast("string")), "label").limit(size) if size else marked
-    rows = chosen.select("label", present("text").alias("features")).toPandas()
+    rows = marked.select("label", present("text").alias("features")).toPandas()
     x = np.zeros((len(rows), len(at)), np.float32)
     for k, f in enumerate(rows["features"]):
         x[k, f] = ratio[f]
@@ -130,11 +129,12 @@ def learn(marked: DataFrame, size: int = SAMPLE) -> Linear:
 
 
 def classify(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", threshold: float = 0.3, size: int = SAMPLE) -> DataFrame:
-    """docs without text, with score and predicted. allowed: which rows' labels may be learned from."""
+    """docs without text, with score and predicted. allowed: which labels may be learned from, told from doc_id."""
     others = [c for c in docs.columns if c not in (text, "score", "predicted")]
-    marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_t_id"), F.col(label).cast("int").alias("label"))
-    named = docs.filter(allowed).select(F.col(text).alias("text"), F.col(doc_id).alias("_t_doc"))
-    model = learn(named.join(marks, F.col("_t_doc") == F.col("_t_id")).select("text", "label", "_t_id"), size)
+    marks = labels.filter(F.col(label).isin(0, 1)).filter(allowed).select(F.col(doc_id).alias("_t_id"), F.col(label).cast("int").alias("label"))
+    marks = marks.orderBy(F.xxhash64(F.col("_t_id").cast("string")), "label").limit(size)  # at most `size` rows: small enough to broadcast
+    named = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("_t_doc"))
+    model = learn(named.join(F.broadcast(marks), F.col("_t_doc") == F.col("_t_id")).select("text", "label"))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
