@@ -129,13 +129,20 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 10) | (100 * F.col(prefix + "n_repeat_words") > 20 * n)
 
 
+def _held(verdict: Column) -> Column:
+    """verdict, which no filter above can be pushed below: else Catalyst writes the metrics' expressions into the filter, nested
+    and repeated, and evaluates them anew for each use."""
+    return verdict & (F.monotonically_increasing_id() >= 0)
+
+
 def judge(docs: DataFrame, text: str = "text", rules=RULES, keep_text: bool = True) -> DataFrame:
     """docs with metrics, base_failed and kept."""
     df = quality_metrics(docs, text, keep_text=keep_text)
-    return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return df.withColumn("base_failed", base_failed()).withColumn("kept", _held(~F.col("base_failed") & compile_rules(rules)))
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     df = quality_metrics(docs, text, prefix="_q_m_")
-    return df.filter(~base_failed("_q_m_") & compile_rules(rules, "_q_m_")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    df = df.withColumn("_q_kept", _held(~base_failed("_q_m_") & compile_rules(rules, "_q_m_")))
+    return df.filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
