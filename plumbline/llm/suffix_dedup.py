@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, release
 
 LENGTH, GRAM, WORD = 400, 16, 100
 CHUNK, HOT, BLOCK = 3_000_000, 6_000_000, 1 << 20
@@ -402,8 +402,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
     copies = contents.filter("times > 1").select(*_NAME, whole)
     single = found.join(contents.filter("times > 1").select(*_NAME), list(_NAME), "left_anti")
     ranges = occurrences.join(single.unionByName(copies), list(_NAME))
+    release(docs.sparkSession)
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
-    return ranges.groupBy("_x_row").agg(F.flatten(F.collect_list(moved)).alias("ranges"))
+    out = materialise(ranges.groupBy("_x_row").agg(F.flatten(F.collect_list(moved)).alias("ranges")), "ranges")
+    discard(occurrences)
+    discard(contents)
+    release(docs.sparkSession)
+    return out
 
 
 def removed(size: int, ranges, length: int = LENGTH) -> list[tuple[int, int]]:
