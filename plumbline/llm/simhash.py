@@ -23,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .components import components
@@ -51,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         out = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
