@@ -202,8 +202,10 @@ def _read(folder: str):
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    kinds = {"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"}  # nullable whole numbers, never doubles
+    return pd.DataFrame({n: pd.array(list(c), dtype=kinds.get(n, "object")) for n, c in zip(names, columns, strict=True)})
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
