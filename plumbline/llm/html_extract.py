@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES, TREES, DEPTH, RATE, DEEPEST = 600, 40, 3, 0.3, 200
+PAGES, TREES, DEPTH, RATE, DEEPEST = 700, 50, 3, 0.3, 200
 
 _RAW = "script style noscript template iframe textarea title svg math select button head".split()
 _MARKUP = re.compile(
@@ -48,11 +48,13 @@ _SCOPES = frozenset("ul ol dl table article section div main body aside nav".spl
 _TAGS = "body article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre figure nav header footer aside form".split()
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 #: Attribute tokens with a slot of their own; others share hashed slots.
-_TOKENS = (
+_BESIDE = (
     "nav menu breadcrumb header masthead footer sidebar aside widget related ad ads advert sponsor promo banner cookie consent notice alert popup "
-    "modal comment comments reply form search newsletter subscribe login share social tags pagination copyright "
-    "article content post entry story main body text page navigation contentinfo complementary"
+    "modal comment comments reply form search newsletter subscribe login share social tags pagination copyright navigation contentinfo complementary"
 ).split()
+_MAIN = "article content post entry story main body text page".split()
+_TOKENS = _BESIDE + _MAIN
+_BESIDE_TAGS, _MAIN_TAGS = frozenset("nav header footer aside form".split()), frozenset(("article", "main"))
 _TOKEN = {t: i for i, t in enumerate(_TOKENS)}
 _HASHED = 8
 _SPLIT = re.compile(r"[^a-z]+")
@@ -153,7 +155,7 @@ def _tokens_of(attrs: str) -> list[int]:
     return sorted(slots)
 
 
-_FIXED = 17
+_FIXED = 23
 WIDTH = _FIXED + len(_TAGS) + len(_TOKENS) + _HASHED
 
 
@@ -186,12 +188,21 @@ def features(nodes: list[Node]) -> np.ndarray:
     )
     for k, x in enumerate(fixed):
         out[:, k] = x
+    at = len(fixed)
     for i, x in enumerate(nodes):
         if (t := _TAG.get(x.tag)) is not None:
             out[i, _FIXED + t] = 1
+        beside, main = float(x.tag in _BESIDE_TAGS), float(x.tag in _MAIN_TAGS)
+        out[i, at], out[i, at + 1] = beside, main
         if x.attrs:
             for s in _tokens_of(x.attrs):
                 out[i, _FIXED + len(_TAGS) + s] = 1
+                if s < len(_TOKENS):
+                    out[i, at + 2 + (s >= len(_BESIDE))] += 1
+        # What an element or any around it says of itself.
+        p = max(x.parent, 0)
+        out[i, at + 4] = max(out[p, at + 4] if i else 0, beside, out[i, at + 2])
+        out[i, at + 5] = max(out[p, at + 5] if i else 0, main, out[i, at + 3])
     return out
 
 
@@ -211,6 +222,8 @@ def _training_page(rng: random.Random) -> str:
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdfglmnrst") for _ in range(rng.randint(1, 4)))
     line = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
     prose = lambda: " ".join(line(4, 14) for _ in range(rng.randint(1, 9)))
+    marked = lambda w: rng.choice((f'<a href="/{word()}">{w}</a>', f"<i>{w}</i>", f"<em>{w}</em>"))
+    written = lambda: " ".join(marked(w) if rng.random() < 0.1 else w for w in prose().split())
     ended = lambda t, s: f"<{t}>{s}" + (f"</{t}>" if rng.random() < 0.9 else "")
     links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
 
@@ -224,11 +237,11 @@ def _training_page(rng: random.Random) -> str:
     def good() -> str:
         r = rng.random()
         if r < 0.72:
-            return ended("p", f"<b>{prose()}</b>" if rng.random() < 0.1 else prose() if rng.random() < 0.8 else " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))))
+            return ended("p", f"<b>{prose()}</b>" if rng.random() < 0.1 else written() if rng.random() < 0.4 else prose() if rng.random() < 0.7 else " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))))
         if r < 0.82:
             return f"<h2>{line(2, 6)}</h2>"
         if r < 0.9:
-            return "<ul>" + "".join(f"<li>{line(3, 9)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{line(3, 9) if rng.random() < 0.8 else marked(word())}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
         return rng.choice((f"<blockquote><p>{prose()}</p></blockquote>", f"<pre>{prose()}</pre>", f"<div>{prose()}</div>", f"<table><tr><td>{line(1, 3)}</td><td>{line(1, 3)}</td></tr></table>"))
 
     box = rng.choice(_GOOD_BOXES)
