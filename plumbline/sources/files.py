@@ -40,9 +40,9 @@ def sniff(head: str, delimiter: str | None = None) -> str | None:
         if len(delimiter) != 1:
             raise ValueError("a delimiter is one character")
         return delimiter
-    lines = [x for x in head.splitlines() if x.strip()][:20]
-    best = max(",\t;", key=lambda d: min((x.count(d) for x in lines), default=0))
-    return best if lines and min(x.count(best) for x in lines) else None
+    first = next((x for x in head.splitlines() if x.strip()), "")
+    best = max(",\t;", key=first.count)
+    return best if best in first else None
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: str = "auto", id_column: str | None = None, item_columns: Sequence[str] | None = None, missing_tokens: Sequence[str] | None = None) -> ResponseFrame:
