@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, release
 
-LENGTH, GRAM, WORD = 400, 16, 100
+LENGTH, GRAM, WORD = 400, 48, 100
 CHUNK, HOT, BLOCK = 3_000_000, 6_000_000, 1 << 20
 #: Texts are looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 1 << 23
