@@ -13,9 +13,12 @@ null; an empty table gives an empty table. Working columns carry a leading ``_p_
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 WINDOW, END, SHARD_BYTES = 4096, 2, 8_000_000
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
 TOKENIZER = "word_bpe_49k.json"
-_CACHED, _CACHED_CHARS = 300_000, 48
+_CACHED, _CACHED_CHARS = 900_000, 48
 #: Between a letter and a full stop or comma, a space changes no token of this tokenizer.
-_BREAK = re.compile("(?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff])(?=[.,])")
+_BREAK = re.compile("[.,](?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,])")
+#: Where a full stop or comma follows another sign, with which it may share a token.
+_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,6 +41,100 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _lowers_by_character(text: str) -> bool:
+    """Latin-1 alone: there, lower() changes each character by itself, as the tokenizer does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Merger:
+    """Byte-pair merges of many words at once, by the merges of the tokenizer's own file.
+
+    A word's symbols start as its bytes, the last with the end mark. Each round merges, in every word, the leftmost of its pairs of
+    the lowest rank, as the tokenizer does one word at a time.
+    """
+
+    _NONE = np.int64(1 << 40)
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        # Bytes that stand for themselves; the others take the code points from 256 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.first = np.array([vocabulary[letters[b]] for b in range(256)])
+        self.last = np.array([vocabulary[letters[b] + end] for b in range(256)])
+        self.size = len(vocabulary)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs])
+        made = np.array([vocabulary[a + b] for a, b in pairs])
+        self.mask = (1 << (2 * len(pairs)).bit_length() + 1) - 1
+        self.slots, self.ranks, self.made = np.full(self.mask + 1, -1), np.full(self.mask + 1, self._NONE), made
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        self.probes = 0
+        while len(todo):  # open addressing: of those that want an empty slot, one gets it
+            self.probes += 1
+            self.slots[at] = np.where(self.slots[at] < 0, keys[todo], self.slots[at])
+            got = self.slots[at] == keys[todo]
+            self.ranks[at[got]] = todo[got]
+            todo, at = todo[~got], (at[~got] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * 2654435761) >> 13) & self.mask
+
+    def _rank(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = np.where(self.slots[at] == keys, self.ranks[at], self._NONE)
+        open_ = np.nonzero((self.slots[at] != keys) & (self.slots[at] >= 0))[0]
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.slots[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of one or more bytes, as little-endian unsigned numbers of 32 bits."""
+        out: dict[bytes, bytes] = {}
+        words = sorted(words, key=len)
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            sizes = np.array([len(w) for w in some])
+            width = int(sizes[-1])
+            raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in some), np.uint8).reshape(len(some), width)
+            ids = np.where(np.arange(width) < (sizes - 1)[:, None], self.first[raw], np.where(np.arange(width) == (sizes - 1)[:, None], self.last[raw], -1))
+            live, left = np.arange(len(some)), sizes.copy()
+            while len(live) and width > 1:
+                s = ids[live, :width]
+                keys = np.where(s[:, 1:] >= 0, s[:, :-1] * self.size + s[:, 1:], -2)
+                ranks = np.full(keys.shape, self._NONE)
+                there = keys >= 0
+                ranks[there] = self._rank(keys[there])
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(live)), at]
+                go = best < self._NONE
+                live, at, best, s = live[go], at[go], best[go], s[go]
+                if not len(live):
+                    break
+                columns = np.arange(width)
+                take = columns + (columns > at[:, None])
+                moved = np.take_along_axis(np.pad(s, ((0, 0), (0, 1)), constant_values=-1), take, axis=1)
+                moved[np.arange(len(live)), at] = self.made[best]
+                ids[live, :width] = moved
+                left[live] -= 1
+            flat = ids.astype("<u4")
+            for w, row, n in zip(some, flat, left.tolist(), strict=True):
+                out[w] = row[:n].tobytes()
+        return out
+
+
 class Encoder:
     """Token ids of whole texts. Chunks between spaces are encoded once and remembered, as this tokenizer drops white space."""
 
@@ -44,29 +143,36 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        self.merger = Merger(path or tokenizer_path())
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         said = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         start = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        where = np.fromiter((o[0] for o in said.offsets), np.int64, len(said.ids))
-        ids = np.array(said.ids, "<u4")
-        cut = np.searchsorted(where, start, "left")
-        return {c: ids[a:b].tobytes() for c, a, b in zip(chunks, cut[:-1], cut[1:], strict=True)}
+        ids = said.ids
+        where = np.fromiter(map(itemgetter(0), said.offsets), np.int64, len(ids))
+        raw, cut = np.array(ids, "<u4").tobytes(), (4 * np.searchsorted(where, start, "left")).tolist()
+        return {c: raw[a:b] for c, a, b in zip(chunks, cut[:-1], cut[1:], strict=True)}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian and unsigned of 32 bits."""
         if len(self.known) > _CACHED:
             self.known.clear()
-        known, split, missing = self.known, [], set()
+        known, split = self.known, []
         for t in texts:
             t = t or ""
-            chunks = _BREAK.sub(" ", t.lower() if t.isascii() else t).replace("\n", " ").split(" ")
-            split.append(chunks)
-            missing.update(c for c in chunks if c not in known)
+            t = t.lower() if t.isascii() or _lowers_by_character(t) else t
+            t = _BREAK.sub(r" \g<0>", t) if _JOINED.search(t) else t.replace(",", " ,").replace(".", " .")
+            split.append(t.replace("\n", " ").split(" "))
+        missing = set(chain.from_iterable(split)).difference(known)
         extra: dict[str, bytes] = {}
-        todo = sorted(missing - {""})
         known[""] = b""
+        missing.discard("")
+        # Lower-case Latin-1 words are one piece to the tokenizer, and stay as they are: their merges are done together.
+        simple = {c: c.encode() for c in missing if len(c) <= _CACHED_CHARS and c.isalpha() and c == c.lower() and _lowers_by_character(c)}
+        ids_of = self.merger.encode(list(simple.values())) if simple else {}
+        known.update((c, ids_of[b]) for c, b in simple.items())
+        todo = sorted(missing.difference(simple))
         at = 0
         while at < len(todo):
             some, size = [], 0
@@ -77,7 +183,7 @@ class Encoder:
             for c, ids in self._learn(some).items():
                 (known if len(c) <= _CACHED_CHARS else extra)[c] = ids
         if not extra:
-            return [b"".join([known[c] for c in chunks]) for chunks in split]
+            return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
 
 
