@@ -1,0 +1,236 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, without a candidate that could be missed.
+
+Two texts are linked if the sets of their SHINGLE-word shingles have a Jaccard similarity of LEAST or more. If n shingles are put in
+one order for all texts, such a pair shares one among the first n - ceil(LEAST * n) + 1 of each text, and a second one among these and
+the next. So texts meet in groups by those first shingles, and what meets is verified on whole sets. Any order gives the same
+links; shingles that are common in a sample of texts come last, so that groups stay small.
+
+1. Equal sets are collapsed into one node before they are dealt out.
+2. In each group, the member of median size is compared with all others; what is linked is joined to components. Groups of copies
+   are then one component, and cost no more than their size.
+3. Members of a group that are still in different components are all compared, where sizes and the places of the shared shingle
+   allow LEAST. A group of more than LARGE members is first dealt again by the second shared shingle.
+
+Before whole sets are moved, pairs are sifted by the parities of their sets' hashes in BITS places: where k parities differ, at least
+k shingles are in one set only, so no link is lost.
+
+Equality of shingles rests on 64-bit hashes, of sets on 128 bits. Defined cases: words are split at ASCII white space and ASCII letters
+lowered; a text shorter than a shingle is one shingle; a null or empty text is an empty set and linked with the like; a null doc_id
+comes last; docs must be a stored table, as its rows are numbered by scan order. Working columns carry a leading ``_s_``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialise, release
+from .components import components
+
+#: LEAST is UP / DOWN, so that limits are whole numbers.
+SHINGLE, UP, DOWN, SEED, LARGE, SAMPLE, BITS = 5, 4, 5, 42, 256, 20_000, 512
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    digest = xxhash.xxh64_intdigest
+    return np.sort(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def _prefix(n: int) -> int:
+    return n - -(-UP * n // DOWN) + 1
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        parts = [shingles(t) for t in pdf["text"]]
+        yield pd.DataFrame({"h": np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)})
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met three times or more in a sample of different texts, in order, and how often. They only set the order."""
+    share = max(1, docs.count() // SAMPLE)
+    texts = docs.filter(F.pmod(F.xxhash64("_s_row"), F.lit(share)) == 0).select("text").distinct()
+    found = texts.mapInPandas(_tally, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _describe(common):
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times = common.value
+        for pdf in batches:
+            out = []
+            for row, doc, text in pdf[["_s_row", "doc_id", "text"]].itertuples(index=False, name=None):
+                h = shingles(text)
+                name = xxhash.xxh3_128_intdigest(h.tobytes())
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    order = np.lexsort((h, np.where(known[at] == h, times[at], 0)))
+                else:
+                    order = np.arange(len(h))
+                first = h[order[: _prefix(len(h)) + 1]] if len(h) else h
+                halves = np.array([name >> 64, name & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64)
+                odd = np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+                out.append((row, doc, int(halves[0]), int(halves[1]), len(h), first.view(np.int64), odd))
+            yield pd.DataFrame(out, columns=["_s_row", "doc_id", "h1", "h2", "n", "first", "odd"])
+
+    return describe
+
+
+def _allowed(n, at, m, to) -> np.ndarray:
+    """Whether sets of n and m shingles whose first shared one is at `at` and `to` can be linked."""
+    least = -(-UP * (n + m) // (UP + DOWN))
+    return (np.minimum(n, m) * DOWN >= np.maximum(n, m) * UP) & (np.minimum(n - at, m - to) >= least)
+
+
+def _frame(pairs: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(np.sort(both, axis=1), columns=["a", "b"])
+
+
+def _columns(members, *names: str) -> list[np.ndarray]:
+    return [np.array([m[k] for m in members], np.int64) for k in names]
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pairs = []
+        for members in pdf["members"]:
+            node, n, at = _columns(members, "node", "n", "at")
+            c = np.lexsort((node, n))[len(n) // 2]
+            ok = _allowed(n, at, n[c], at[c]) & (node != node[c])
+            pairs.append(np.column_stack([node[ok], np.full(ok.sum(), node[c])]))
+        yield _frame(pairs)
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pairs, size = [], 0
+        for members in pdf["members"]:
+            node, n, at, root = _columns(members, "node", "n", "at", "root")
+            order = np.argsort(n, kind="stable")
+            node, n, at, root = node[order], n[order], at[order], root[order]
+            last = np.searchsorted(n * UP, n * DOWN, "right")  # members from here on are too long
+            for i in range(len(n) - 1):
+                s = slice(i + 1, last[i])
+                j = np.nonzero((root[s] != root[i]) & _allowed(n[s], at[s], n[i], at[i]))[0] + i + 1
+                if len(j):
+                    pairs.append(np.column_stack([node[j], np.full(len(j), node[i])]))
+                    size += len(j)
+                if size > 500_000:
+                    yield _frame(pairs)
+                    pairs, size = [], 0
+        yield _frame(pairs)
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["_s_row"], "set": [shingles(t).tobytes() for t in pdf["text"]]})
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keep = []
+        for x, y in zip(pdf["x"], pdf["y"], strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.sort(np.concatenate([x, y]))
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(DOWN * shared >= UP * (len(both) - shared))
+        yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose parities allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n_a") + F.col("n_b")
+    least = F.floor((both * UP + (UP + DOWN - 1)) / (UP + DOWN))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * least).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked of candidate pairs (a, b)."""
+    pairs = materialise(_sifted(pairs.distinct(), nodes), "candidates")
+    release(docs.sparkSession)
+    ids = pairs.select(F.col("a").alias("_s_row")).union(pairs.select("b")).distinct()
+    sets = materialise(docs.join(ids, "_s_row", "left_semi").mapInPandas(_sets, "node bigint, set binary"), "sets")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    out = materialise(both.select("a", "b", "x", "y").mapInPandas(_verify, "a bigint, b bigint"), "links")
+    discard(sets)
+    discard(pairs)
+    release(docs.sparkSession)
+    return out
+
+
+def _groups(members: DataFrame, *columns: str) -> DataFrame:
+    """members gathered by key; a key with one member or one component of them drops out."""
+    out = members.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("members")).filter(F.size("members") > 1)
+    return out.filter(F.array_min("members.root") < F.array_max("members.root")) if "root" in columns else out
+
+
+def _dealt_again(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of large groups, keyed by the shared shingle and each later one of the first."""
+    later = F.expr("slice(first, at + 2, size(first))")
+    whole = members.join(nodes.select("node", "first"), "node")
+    return whole.select(F.explode(later).alias("second"), "key", "node", "n", "at").select(
+        F.struct("key", "second").alias("key"), "node", "n", "at"
+    )
+
+
+def links(nodes: DataFrame, docs: DataFrame, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between nodes (node, n, first, odd): their transitive closure is that of all links."""
+    dealt = nodes.filter("n > 0").select("node", "n", F.posexplode(F.expr("slice(first, 1, n - cast(ceil(n * 4 / 5D) as int) + 1)")).alias("at", "key"))
+    dealt = materialise(dealt, "dealt")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialise(dealt.join(sizes, "key"), "met")
+    discard(dealt)
+    release(docs.sparkSession)
+    one = lambda df: df.select(F.struct("key", F.lit(None).cast("bigint").alias("second")).alias("key"), "node", "n", "at")
+    plain, crowd = one(met.filter(F.col("size") <= large)), met.filter(F.col("size") > large)
+    all_ = plain.union(_dealt_again(crowd, nodes))
+    found = _verified(_groups(all_, "node", "n", "at").mapInPandas(_stars, "a bigint, b bigint"), nodes, docs)
+    roots = components(found)
+    rooted = all_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _verified(_groups(rooted, "node", "n", "at", "root").mapInPandas(_across, "a bigint, b bigint"), nodes, docs)
+    discard(met)
+    return found.union(rest)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", large: int = LARGE) -> DataFrame:
+    """_s_row, doc_id, component_id (smallest doc_id of the component), keeper (Boolean).
+
+    Each component has one keeper: the row of the smallest doc_id, nulls last, of these the first.
+    """
+    plain = docs.select(F.monotonically_increasing_id().alias("_s_row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(plain))
+    form = f"_s_row bigint, doc_id {docs.schema[doc_id].dataType.simpleString()}, h1 bigint, h2 bigint, n int, first array<bigint>, odd array<bigint>"
+    rows = materialise(plain.mapInPandas(_describe(common), form), "shingles")
+    best = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_s_row")
+    names = materialise(rows.groupBy("h1", "h2").agg(F.min(best).alias("best"), F.min("_s_row").alias("node")), "nodes")
+    nodes = rows.join(names.select(F.col("node").alias("_s_row")), "_s_row", "left_semi").select(F.col("_s_row").alias("node"), "n", "first", "odd")
+    nodes = materialise(nodes, "distinct")
+    roots = components(links(nodes, plain, large))
+    named = names.join(roots, "node", "left").select("h1", "h2", "best", F.coalesce("root", "node").alias("root"))
+    top = named.groupBy("root").agg(F.min("best").alias("top"))
+    named = named.join(top, "root").select("h1", "h2", "top")
+    return rows.select("_s_row", "doc_id", "h1", "h2").join(named, ["h1", "h2"]).select(
+        "_s_row", "doc_id", F.col("top.doc_id").alias("component_id"), (F.col("_s_row") == F.col("top._s_row")).alias("keeper")
+    )
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, a stored table, with one row of each component, columns unchanged."""
+    keep = near_duplicates(docs, text, doc_id).filter("keeper").select("_s_row")
+    return docs.withColumn("_s_row", F.monotonically_increasing_id()).join(keep, "_s_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
