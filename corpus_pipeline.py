@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import decontaminate, jaccard, packing, quality_rules, suffix_dedup
 from plumbline.llm.common import materialise, table
 
+#: Below the bytes of the shortest passages of 50 words of running text; op5_suffix_dedup keeps its own 400.
+PASSAGE = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -24,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out of every document; n_chars follows the text."""
-    df = suffix_dedup.remove_repeats(docs)
+    """Strings of PASSAGE bytes that occur twice are cut out of every document; n_chars follows the text."""
+    df = suffix_dedup.remove_repeats(docs, length=PASSAGE)
     return df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
