@@ -8,10 +8,23 @@ distance to the parent) is searched along the edges within the radius. What it f
 of n members gives fewer than n edges, never all pairs. Trees travel with their shard, not by broadcast: their number grows
 with the corpus and has no bound.
 
+`similar` is the same for sets of words: five-word shingles, a wide radius, and links only where the exact Jaccard similarity is
+UP / DOWN = 0.8 or more. No blocks of a fingerprint are equal at such a distance, so shards are keyed by the least shingles
+instead: TABLES keys of three shingles each, the least under as many orders. A linked pair shares none of them with a probability
+of 0.488 ** TABLES = 1e-5 at similarity 0.8 and less above. In each shard a BK-tree finds what lies within WIDE bits; at 0.8 the
+expected distance is 9.7 bits, and sets of fewer than FEW shingles, whose fingerprints are noisy, are not held to a distance. Pairs
+are sifted by the parities of their sets' hashes in PLACES places (where k parities differ, at least k shingles are in one set
+only), then verified on whole sets. A group of copies costs its size, not its square: each cluster of a shard is compared with its
+centre first (the member nearest to the bitwise majority), and only what is in different components by then is compared further.
+Shards of more than LARGE members are never gathered: their centres are aggregates, and what their centre left out meets the
+others in blocks.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; texts shorter than a shingle are one shingle;
 a bit set in exactly half of the hashes is 0; copies share a fingerprint and thus a component; repeated rows and rows with equal
 doc_id each keep their own row; a null doc_id never names a component unless all of its rows are null; an empty table gives an
-empty table. Working columns carry a leading ``_s_``.
+empty table. For `similar`, null and empty texts are empty sets and linked with each other alone. Equality of shingles rests on 64-bit
+hashes, of sets on 128 bits. docs must be a stored table where rows are numbered by scan order. Working columns carry a
+leading ``_s_``.
 """
 
 from __future__ import annotations
@@ -25,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import discard, materialise, release
 from .components import components
 
 RADIUS, SHINGLE, SEED, LARGE = 2, 3, 42, 512
+#: Of `similar`: words in a shingle, least similarity as UP / DOWN, keys of each document, bits of radius, and of parities.
+WORDS, UP, DOWN, TABLES, WIDE, TIGHT, FEW, PLACES = 5, 4, 5, 16, 24, 8, 40, 512
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -173,3 +188,255 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """docs, a stored table, with one row of each component, columns unchanged."""
     keep = near_duplicates(docs, text, doc_id).filter("keeper").select("_s_row")
     return docs.withColumn("_s_row", F.monotonically_increasing_id()).join(keep, "_s_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+# --- links by the similarity of sets ----------------------------------------------------------------------------------
+
+_ORDERS = np.random.default_rng(20240611).integers(1, 2**63, 3 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a text shorter than a shingle is one, an empty one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    digest = xxhash.xxh64_intdigest
+    return np.sort(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of 64-bit numbers."""
+    bits = hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)
+    ones = np.concatenate([np.bincount(bits[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    """One key for each table: the three least shingles under three orders."""
+    least = np.full(len(_ORDERS), np.uint64(2**64 - 1))
+    for k in range(0, len(h), 4096):
+        some = h[k : k + 4096, None] * _ORDERS
+        np.minimum(least, (some ^ (some >> np.uint64(32))).min(axis=0), out=least)
+    three = least.reshape(TABLES, 3)
+    key = (three[:, 0] * _ORDERS[0] + three[:, 1]) * _ORDERS[1] + three[:, 2] + np.arange(TABLES, dtype=np.uint64)
+    return key ^ (key >> np.uint64(31))
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["_s_row", "doc_id", "h1", "h2", "n", "fp", "keys", "odd"]
+    for pdf in batches:
+        out = []
+        for row, doc, text in pdf[["_s_row", "doc_id", "text"]].itertuples(index=False, name=None):
+            h = shingles(text)
+            name = xxhash.xxh3_128_intdigest(h.tobytes())
+            fp, h1, h2 = np.array([_majority(h) if len(h) else 0, name >> 64, name & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist()
+            odd = np.packbits(np.bincount((h % np.uint64(PLACES)).astype(np.int64), minlength=PLACES) & 1).view(np.int64)
+            out.append((row, doc, h1, h2, len(h), fp, (_keys(h) if len(h) else h).view(np.int64), odd))
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _root(up: list[int], i: int) -> int:
+    while up[i] != i:
+        up[i] = up[up[i]]
+        i = up[i]
+    return i
+
+
+class _Shard:
+    """Members of one shard with their BK-tree, which is built over different fingerprints."""
+
+    def __init__(self, members) -> None:
+        column = lambda k, t: np.array([m[k] for m in members], t)
+        self.node, self.n = column("node", np.int64), column("n", np.int64)
+        self.fp = column("fp", np.int64).view(np.uint64)
+        self.values, self.of = np.unique(self.fp, return_inverse=True)
+        self.tree = BKTree()
+        for v in self.values.tolist():
+            self.tree.add(v)
+        self.order = np.argsort(self.of, kind="stable")
+        self.bounds = np.searchsorted(self.of[self.order], np.arange(len(self.values) + 1))
+
+    def within(self, i: int, radius: int) -> np.ndarray:
+        """Members whose fingerprint is within the radius of member i's and whose number of shingles allows a link."""
+        if min(self.n[i], self.n.min()) < FEW:
+            near = np.arange(len(self.n))
+        else:
+            places = self.tree.within(int(self.fp[i]), radius)
+            near = np.concatenate([self.order[self.bounds[k] : self.bounds[k + 1]] for k in places])
+        m = self.n[near]
+        return near[np.minimum(m, self.n[i]) * DOWN >= np.maximum(m, self.n[i]) * UP]
+
+    def centres(self) -> list[tuple[int, np.ndarray]]:
+        """For each cluster within TIGHT bits the member nearest to the majority, and the others."""
+        up = list(range(len(self.values)))
+        for k, v in enumerate(self.values.tolist()):
+            for j in self.tree.within(v, TIGHT):
+                a, b = _root(up, k), _root(up, j)
+                up[max(a, b)] = min(a, b)
+        cluster = np.array([_root(up, k) for k in range(len(up))])[self.of]
+        out = []
+        for c in np.unique(cluster):
+            at = np.nonzero(cluster == c)[0]
+            if len(at) > 1:
+                far = np.bitwise_count(self.fp[at] ^ np.uint64(_majority(self.fp[at])))
+                best = np.lexsort((self.node[at], far))[0]
+                out.append((int(at[best]), np.delete(at, best)))
+        return out
+
+
+def _frame(pairs: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(np.sort(both, axis=1), columns=["a", "b"])
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pairs = []
+        for members in pdf["members"]:
+            s = _Shard(members)
+            for c, others in s.centres():
+                ok = others[np.minimum(s.n[others], s.n[c]) * DOWN >= np.maximum(s.n[others], s.n[c]) * UP]
+                pairs.append(np.column_stack([s.node[ok], np.full(len(ok), s.node[c])]))
+        yield _frame(pairs)
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs within the radius of different components; where sides are given (1: left out by the centre), only pairs with side 1."""
+    for pdf in batches:
+        pairs, size = [], 0
+        for members in pdf["members"]:
+            s = _Shard(members)
+            root = np.array([m["root"] for m in members], np.int64)
+            side = np.array([m["side"] for m in members], np.int64)
+            for i in np.nonzero(side == 1)[0]:
+                j = s.within(i, WIDE)
+                j = j[(root[j] != root[i]) & ((side[j] == 0) | (j < i))]
+                if len(j):
+                    pairs.append(np.column_stack([s.node[j], np.full(len(j), s.node[i])]))
+                    size += len(j)
+                if size > 500_000:
+                    yield _frame(pairs)
+                    pairs, size = [], 0
+        yield _frame(pairs)
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["_s_row"], "set": [shingles(t).tobytes() for t in pdf["text"]]})
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keep = []
+        for x, y in zip(pdf["x"], pdf["y"], strict=True):
+            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(DOWN * shared >= UP * (len(both) - shared))
+        yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose parities allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n_a") + F.col("n_b")
+    least = F.floor((both * UP + (UP + DOWN - 1)) / (UP + DOWN))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * least).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked of candidate pairs (a, b)."""
+    pairs = materialise(_sifted(pairs.distinct(), nodes), "candidates")
+    ids = pairs.select(F.col("a").alias("_s_row")).union(pairs.select("b")).distinct()
+    sets = materialise(docs.join(ids, "_s_row", "left_semi").mapInPandas(_sets, "node bigint, set binary"), "sets")
+    release(docs.sparkSession)
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    out = materialise(both.select("a", "b", "x", "y").mapInPandas(_verify, "a bigint, b bigint"), "links")
+    discard(sets)
+    discard(pairs)
+    release(docs.sparkSession)
+    return out
+
+
+def _apart(x, y):
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def _crowd_centres(crowd: DataFrame) -> DataFrame:
+    """key, centre, centre_n: the member of each key that is nearest to the bitwise majority; two aggregations."""
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"o{b}") for b in range(64)]
+    bits = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *ones)
+    whole = F.lit(0).cast("bigint")
+    for b in range(64):
+        whole = whole.bitwiseOR(F.when(F.col(f"o{b}") * 2 > F.col("m"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    middle = bits.select("key", whole.alias("middle"))
+    best = F.min(F.struct(_apart(F.col("fp"), F.col("middle")).alias("d"), "node", "n")).alias("best")
+    return crowd.join(middle, "key").groupBy("key").agg(best).select("key", F.col("best.node").alias("centre"), F.col("best.n").alias("centre_n"))
+
+
+def _blocks(crowd: DataFrame, roots: DataFrame, centres: DataFrame, large: int) -> DataFrame:
+    """Members of crowded keys, dealt in blocks: each block of those that their centre left out meets each block of all."""
+    named = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    middle = centres.join(roots, centres["centre"] == roots["node"], "left").select("key", F.coalesce("root", "centre").alias("centre_root"))
+    named = named.join(middle, "key").withColumn("out", F.col("root") != F.col("centre_root"))
+    counts = named.filter("out").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
+    named = named.join(counts, "key")
+    rows, columns = F.ceil(F.col("size") / large).cast("int"), F.ceil(F.col("outside") / large).cast("int")
+    salt = lambda k: F.pmod(F.xxhash64("node", F.lit(7)), k).cast("int")
+    every = named.select("key", "node", "n", "fp", "root", F.lit(0).alias("side"), salt(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
+    left_out = named.filter("out").select("key", "node", "n", "fp", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), salt(columns).alias("j"))
+    return every.union(left_out)
+
+
+def links(nodes: DataFrame, docs: DataFrame, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between different sets (node, n, fp, keys, odd): their transitive closure is that of all links."""
+    dealt = materialise(nodes.filter("n > 0").select("node", "n", "fp", F.explode("keys").alias("key")), "dealt")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialise(dealt.join(sizes, "key"), "met")
+    discard(dealt)
+    release(docs.sparkSession)
+    small, crowd = met.filter(F.col("size") <= large), met.filter(F.col("size") > large)
+    whole = F.collect_list(F.struct("node", "n", "fp")).alias("members")
+    first = small.groupBy("key").agg(whole).select("members").mapInPandas(_stars, "a bigint, b bigint")
+    crowded = not crowd.isEmpty()
+    if crowded:
+        centres = materialise(_crowd_centres(crowd), "centres")
+        near = (F.least("n", "centre_n") * DOWN >= F.greatest("n", "centre_n") * UP) & (F.col("node") != F.col("centre"))
+        spokes = crowd.join(centres, "key").filter(near)
+        first = first.union(spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+    found = _verified(first, nodes, docs)
+    roots = components(found)
+    rooted = small.join(roots, "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"), F.lit(1).alias("side"))
+    members = F.collect_list(F.struct("node", "n", "fp", "root", "side")).alias("members")
+    rest = rooted.groupBy("key").agg(members).filter(F.array_min("members.root") < F.array_max("members.root")).select("members")
+    if crowded:
+        rest = rest.union(_blocks(crowd, roots, centres, large).groupBy("key", "i", "j").agg(members).select("members"))
+    more = _verified(rest.mapInPandas(_across, "a bigint, b bigint"), nodes, docs)
+    discard(met)
+    return found.union(more)
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", large: int = LARGE) -> DataFrame:
+    """_s_row, doc_id, component_id (smallest doc_id of the component), keeper (Boolean), as near_duplicates() has them."""
+    plain = docs.select(F.monotonically_increasing_id().alias("_s_row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    form = f"_s_row bigint, doc_id {docs.schema[doc_id].dataType.simpleString()}, h1 bigint, h2 bigint, n int, fp bigint, keys array<bigint>, odd array<bigint>"
+    rows = materialise(plain.mapInPandas(_sketch, form), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_s_row")
+    names = materialise(rows.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.min("_s_row").alias("node")), "names")
+    nodes = rows.join(names.select(F.col("node").alias("_s_row")), "_s_row", "left_semi")
+    nodes = materialise(nodes.select(F.col("_s_row").alias("node"), "n", "fp", "keys", "odd"), "nodes")
+    roots = components(links(nodes, plain, large))
+    named = names.join(roots, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    named = named.join(best, "root").select("h1", "h2", "best")
+    return rows.select("_s_row", "doc_id", "h1", "h2").join(named, ["h1", "h2"]).select(
+        "_s_row", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("_s_row") == F.col("best._s_row")).alias("keeper")
+    )
+
+
+def deduplicate_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, a stored table, with one row of each component of `similar`, columns unchanged."""
+    keep = similar(docs, text, doc_id).filter("keeper").select("_s_row")
+    return docs.withColumn("_s_row", F.monotonically_increasing_id()).join(keep, "_s_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
