@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, packing, quality_rules, suffix_dedup
+from plumbline.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
 from plumbline.llm.common import materialise, table
 
 #: Below the bytes of the shortest passages of 50 words of running text; op5_suffix_dedup keeps its own 400.
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more (five-word shingles) stays: that of the smallest doc_id."""
-    return jaccard.deduplicate(docs)
+    return simhash.deduplicate_similar(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
