@@ -14,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plumbline-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,6 +52,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def below_share(hashed: Column, size: int, rows: int) -> Column:
+    """Whether a 64-bit hash lies below the limit that leaves about `size` of so many rows: rather more by five standard deviations,
+    so that a sort and a limit above it take the smallest `size`. Always true for no more rows than that."""
+    share = (size + 5 * size**0.5) / max(rows, 1)
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2**64) - 2**63)
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; none for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

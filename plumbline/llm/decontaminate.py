@@ -2,12 +2,14 @@
 
 A window is WIDTH consecutive words of a benchmark item (a shorter item is one window). Document windows are hashed where
 they stand; those whose first words start no benchmark window are dropped inside the row, the rest meet the set in a join on a
-64-bit hash and are verified word by word. Nothing but hits is shuffled. The set is broadcast while it has at most
-BROADCAST_WINDOWS rows (about 100 bytes each), and joined by a shuffle beyond that: the result is the same.
+64-bit hash and are verified word by word. While the filter holds, little but hits is shuffled. The set is broadcast while it has at
+most BROADCAST_WINDOWS rows and BROADCAST_BYTES bytes, both counted first; beyond that, and this departs from the dealt method, windows
+and set are joined by a shuffle, in which every document window that the filter lets through moves: the result is the same.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window; an item that occurs in the
 set more than once, or twice under one id, counts once per id; an item with a null id can be hit but isn't listed; repeated
-documents are judged alike, each on its own; an empty benchmark hits nothing. Working columns carry a leading ``_d_``.
+documents are judged alike, each on its own; very long texts are searched whole; an empty benchmark hits nothing; columns of docs named
+like a column that is made give way. Working columns carry a leading ``_d_``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The in-row filter looks at so many words of a window, and holds at most so many of their hashes; with a larger
 #: benchmark it lets all windows through to the join.
 FILTER_WORDS, FILTER_HASHES = 3, 100_000
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 128_000_000
 FOUND = "array<struct<h:bigint,i:int,gram:array<string>>>"
 
 
@@ -58,15 +60,13 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return df.groupBy("_d_gram").agg(F.collect_set("_d_item").alias("_d_items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, verify: bool = True) -> DataFrame:
-    """docs (without text) with n_words, hits (sorted array of struct(start, length), starts from 0) and items (sorted ids).
-
-    _d_row is the row's number in the scan of docs.
-    """
+def _find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, verify: bool = True) -> DataFrame:
+    """docs (without text) with _d_row (the row's number in the scan of docs), _d_n_words, _d_hits and _d_items."""
     grams = benchmark_windows(benchmark, item_id, item_text, width)
     grams = grams.withColumn("_d_n", F.size("_d_gram"))
     # Bounded look at the benchmark: how many windows, which lengths (at most `width`).
-    about = grams.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("_d_n")).alias("lengths")).first()
+    size = F.octet_length(F.array_join("_d_gram", " ")) + F.octet_length(F.array_join("_d_items", " ")) + 100
+    about = grams.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sort_array(F.collect_set("_d_n")).alias("lengths")).first()
     lengths = list(about["lengths"])
     hashed = F.lit(None).cast("bigint")
     for k in lengths:
@@ -91,20 +91,32 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
 
     found = F.concat(*[windows(k) for k in lengths]) if lengths else F.array().cast(FOUND)
     df = df.select(
-        *[F.col(f"`{c}`") for c in others], "_d_row", F.size("_d_w").cast("long").alias("n_words"),
+        *[F.col(f"`{c}`") for c in others], "_d_row", F.size("_d_w").cast("long").alias("_d_n_words"),
         found.alias("_d_f"),
     )
-    df = df.select(*[F.col(f"`{c}`") for c in others], "_d_row", "n_words", F.explode_outer("_d_f").alias("_d_x"))
+    df = df.select(*[F.col(f"`{c}`") for c in others], "_d_row", "_d_n_words", F.explode_outer("_d_f").alias("_d_x"))
     known = grams.select("_d_hash", "_d_gram", "_d_items")
-    known = F.broadcast(known) if about["n"] <= BROADCAST_WINDOWS else known.hint("merge")
+    small = about["n"] <= BROADCAST_WINDOWS and (about["bytes"] or 0) <= BROADCAST_BYTES
+    known = F.broadcast(known) if small else known.hint("merge")
     df = df.join(known, (F.col("_d_x.h") == F.col("_d_hash")) & ((F.col("_d_x.gram") == F.col("_d_gram")) if verify else F.lit(True)), "left")
     hit = F.when(F.col("_d_gram").isNotNull(), F.struct(F.col("_d_x.i").alias("start"), F.size("_d_gram").alias("length")))
-    df = df.groupBy("_d_row", *others, "n_words").agg(
-        F.sort_array(F.collect_set(hit)).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_d_items")))).alias("items")
+    df = df.groupBy("_d_row", *[F.col(f"`{c}`") for c in others], "_d_n_words").agg(
+        F.sort_array(F.collect_set(hit)).alias("_d_hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_d_items")))).alias("_d_items")
     )
     return df
 
 
+def _named(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """df with columns of these names in place of its own, without working columns."""
+    kept = [c for c in df.columns if c not in made and not c.startswith("_d_")]
+    return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in made.items()])
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs (without text) with n_words, hits (sorted array of struct(start, length), starts from 0) and items (sorted ids)."""
+    return _named(_find(docs, benchmark, **options), {k: F.col("_d_" + k) for k in ("n_words", "hits", "items")})
+
+
 def covered(hits: Column) -> Column:
     """Number of words in the union of hits, which are sorted by start."""
     step = lambda a, x: F.struct(
@@ -115,20 +127,19 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs (without text) with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    df = find_hits(docs, benchmark, **options)
-    n_hit = covered(F.col("hits")).cast("long")
     made = {
-        "n_hit": n_hit,
-        "n_items": F.size("items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("items", ","), 256),
-        "contaminated": F.size("hits") > 0,
+        "n_words": F.col("_d_n_words"),
+        "n_hit": covered(F.col("_d_hits")).cast("long"),
+        "n_items": F.size("_d_items").cast("long"),
+        "items_sha256": F.sha2(F.array_join("_d_items", ","), 256),
+        "contaminated": F.size("_d_hits") > 0,
     }
-    return df.withColumns(made).drop("hits", "items", "_d_row")
+    return _named(_find(docs, benchmark, **options), made)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents of a stored table without any hit, with the columns of docs."""
-    hit = find_hits(docs.select(text), benchmark, text=text, **options).filter(F.size("hits") > 0).select("_d_row")
+    hit = _find(docs.select(F.col(f"`{text}`")), benchmark, text=text, **options).filter(F.size("_d_hits") > 0).select("_d_row")
     df = docs.withColumn("_d_row", F.monotonically_increasing_id()).join(hit, "_d_row", "left_anti")
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -136,9 +147,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs, a stored table, with the hit words of each text replaced by nothing: its other words, joined by single spaces, if
     anything was hit; untouched else."""
-    hits = find_hits(docs.select(text), benchmark, text=text, **options).filter(F.size("hits") > 0).select("_d_row", "hits")
+    hits = _find(docs.select(F.col(f"`{text}`")), benchmark, text=text, **options).filter(F.size("_d_hits") > 0).select("_d_row", "_d_hits")
     df = docs.withColumn("_d_row", F.monotonically_increasing_id()).join(hits, "_d_row", "left")
     w = content_words(F.col(f"`{text}`"))
-    kept = F.filter(w, lambda x, i: ~F.exists("hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["length"])))
-    cleaned = F.when(F.col("hits").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))
+    kept = F.filter(w, lambda x, i: ~F.exists("_d_hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["length"])))
+    cleaned = F.when(F.col("_d_hits").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))
     return df.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -3,14 +3,16 @@
 A page is parsed into a tree of elements; each element gets features (subtree text and link density, tag density, punctuation,
 tokens of class, id and role, depth, place among its siblings, its parent's figures). Boosted trees of depth 3 score each
 element; the decoding keeps the set of elements of the greatest total score among those sets in which every kept element has a
-kept parent, so that no ancestor and descendant contradict each other. Blocks of kept elements give the text.
+kept parent, so that no ancestor and descendant contradict each other. Blocks of kept elements give the text. Text that is in no
+element but the body is an element of its own, beside the body's others, and is scored like them.
 
 The model is trained on the driver, once per process, from pages of a generator that knows its labels (PAGES pages, fixed
 seed): no page of the corpus is looked at for training.
 
 Defined cases: a null or empty html gives an empty text; text outside any element belongs to the body; unclosed and stray tags
-are repaired as browsers do for paragraphs, list items and table cells; elements nested deeper than DEEPEST are flattened into
-their ancestor; very long pages are read whole; repeated rows give equal rows; an empty table gives an empty table.
+are repaired as browsers do for paragraphs, list items and table cells; elements may nest to any depth; very long pages are read whole,
+in time proportional to their length, whatever is unclosed in them; repeated rows give equal rows; an empty table gives an empty table;
+columns named text give way, others stay.
 """
 
 from __future__ import annotations
@@ -26,14 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES, TREES, DEPTH, RATE, DEEPEST = 700, 50, 3, 0.3, 200
+PAGES, TREES, DEPTH, RATE = 700, 50, 3, 0.3
 
-_RAW = "script style noscript template iframe textarea title svg math select button head".split()
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is dropped unread, up to their end tag or the end of the page.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in "script style noscript template iframe textarea title svg math select button".split()}
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The end of a tag, or the quote that opens an attribute's value.
+_STOP = re.compile(r">|(?<==)[\"']|(?<== )[\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -68,80 +69,135 @@ class Node:
         self.place, self.children, self.own, self.linked, self.commas, self.elements = 0, 0, 0, 0, 0, 0
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Start, end, whether it closes, name and attributes of each tag; no name for what is dropped whole (comments, scripts, ...).
+
+    One pass: a tag ends at the first ``>`` outside the quotes of an attribute's value. Where such quotes leave a tag without an end,
+    they are taken as plain characters from there on. A ``<`` that begins no tag, or has no ``>`` after it, is text.
+    """
+    at, quotes, size = 0, True, len(page)
+    last = page.rfind(">")
+    closing = {'"': page.rfind('"'), "'": page.rfind("'")}
+    while (p := page.find("<", at)) >= 0:
+        at = p + 1
+        if page.startswith("!--", at):
+            q = page.find("-->", p + 2)
+            at = size if q < 0 else q + 3
+            yield p, at, False, None, ""
+            continue
+        if p > last:
+            continue
+        if page.startswith(("!", "?"), at):
+            at = page.find(">", p) + 1
+            yield p, at, False, None, ""
+            continue
+        name = _NAME.match(page, at)
+        if not name:
+            continue
+        k, end = name.end(), -1
+        while quotes and (stop := _STOP.search(page, k)):
+            c = stop.group()
+            if c == ">":
+                end = stop.start()
+                break
+            k = stop.end()
+            if closing[c] < k:
+                break
+            k = page.find(c, k) + 1
+            if k > last:
+                break
+        if end < 0:
+            quotes = False
+            end = page.find(">", name.end())
+        at = end + 1
+        tag, attrs = name[2].lower(), page[name.end() : end]
+        if tag in _RAW and not name[1]:
+            if not attrs.endswith("/") or tag in ("script", "style"):
+                done = _RAW[tag].search(page, at)
+                at = done.end() if done else size
+            yield p, at, False, None, ""
+        else:
+            yield p, at, bool(name[1]), tag, attrs
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, bool, str]]]:
-    """Elements in page order, the first being the body, and pieces of text (element, starts a new block, raw text)."""
-    nodes, pieces = [Node("body", -1, 0, "")], []
+    """Elements in page order and pieces of text (element, starts a new block, raw text).
+
+    Element 0 is the page itself and has no text; element 1, the body, holds the text that is in no other element.
+    """
+    nodes, pieces = [Node("#page", -1, 0, ""), Node("body", 0, 1, "")], []
+    nodes[0].children = 1
     stack, at, fresh, links = [0], 0, True, 0
-    tags = ["body"]
+    tags = ["#page"]
+    #: Where in the stack the open elements of each name are, and those that hide what is open below them.
+    open_: dict[str, list[int]] = {}
+    scopes: list[int] = []
 
     def text(raw: str) -> None:
         nonlocal fresh
         if not raw:
             return
-        node = nodes[stack[-1]]
+        i = stack[-1] or 1
+        node = nodes[i]
         if not raw.isspace():
             n = len(raw)
             node.own += n
             node.commas += raw.count(",") + raw.count(".")
             if links:
                 node.linked += n
-            pieces.append((stack[-1], fresh, raw))
+            pieces.append((i, fresh, raw))
             fresh = False
         elif pieces and not fresh:
-            pieces.append((stack[-1], False, " "))
+            pieces.append((i, False, " "))
 
     def close(k: int) -> None:
         nonlocal fresh, links
         while len(tags) > k:
             fresh = True
             stack.pop()
-            tags.pop()
+            t = tags.pop()
+            open_[t].pop()
+            if t in _SCOPES:
+                scopes.pop()
             links = 0
 
-    for m in _MARKUP.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, ends, tag, attrs in _markup(page):
+        text(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "br":
                 text(" ")
             elif tag == "a":
-                links = 0 if m["end"] else 1
+                links = 0 if ends else 1
             continue
         if tag in ("html", "body", "head"):
-            if tag == "body" and not m["end"]:
-                nodes[0].attrs = m["attrs"] or ""
-            continue
-        if m["end"]:
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] == tag:
-                    close(k)
-                    break
-            fresh = True
+            if tag == "body" and not ends:
+                nodes[1].attrs = attrs
             continue
         fresh = True
+        if ends:
+            if open_.get(tag):
+                close(open_[tag][-1])
+            continue
         if tag in _VOID:
             continue
         if tag in _ENDS_P:
             if tags[-1] == "p":
                 close(len(tags) - 1)
         elif tag in _SAME:
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] in _SAME[tag]:
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif tags[k] in _SCOPES and tags[k] != "p":
+            while (k := max((open_[t][-1] for t in _SAME[tag] if open_.get(t)), default=0)) > (scopes[-1] if scopes else 0):
+                close(k)
+                if tag != "tr":
                     break
-        if len(stack) >= DEEPEST:
-            continue
         parent = stack[-1]
-        node = Node(tag, parent, nodes[parent].depth + 1, m["attrs"] or "")
+        node = Node(tag, parent, nodes[parent].depth + 1, attrs)
         node.place = nodes[parent].children
         nodes[parent].children += 1
+        open_.setdefault(tag, []).append(len(tags))
+        if tag in _SCOPES:
+            scopes.append(len(tags))
         stack.append(len(nodes))
         tags.append(tag)
         nodes.append(node)
@@ -244,6 +300,14 @@ def _training_page(rng: random.Random) -> str:
             return "<ul>" + "".join(f"<li>{line(3, 9) if rng.random() < 0.8 else marked(word())}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
         return rng.choice((f"<blockquote><p>{prose()}</p></blockquote>", f"<pre>{prose()}</pre>", f"<div>{prose()}</div>", f"<table><tr><td>{line(1, 3)}</td><td>{line(1, 3)}</td></tr></table>"))
 
+    if rng.random() < 0.15:  # no box: loose text in the body, among paragraphs or alone
+        loose = lambda: rng.choice((prose, written))() + rng.choice(("", "<br>", "<br><br>")) + (prose() if rng.random() < 0.4 else "")
+        marked_p = lambda: f"<p data-keep>{prose()}" + rng.choice(("", "</p>"))
+        inside = [loose(), *(rng.choice((loose, marked_p))() if rng.random() < 0.7 else bad() for _ in range(rng.randint(0, 6)))]
+        return "<body data-keep>" + "".join(bad() for _ in range(rng.randint(0, 2))) + (f"<h1 data-keep>{line(2, 9)}</h1>" if rng.random() < 0.5 else "") + "".join(inside)
+    # Loose words in the body that aren't main text.
+    stray = lambda: "" if rng.random() < 0.6 else rng.choice((line(1, 4), f'<a href="/{word()}">{line(1, 3)}</a>', " | ".join(f'<a href="/">{word()}</a>' for _ in range(rng.randint(2, 6)))))
+
     box = rng.choice(_GOOD_BOXES)
     tag = box[1:].split()[0].rstrip(">")
     inside = [good() for _ in range(rng.randint(0, 12))]
@@ -253,7 +317,7 @@ def _training_page(rng: random.Random) -> str:
     if rng.random() < 0.4:
         wrap = rng.choice(("<div>", '<div class="container">', '<div id="wrapper">', "<main>"))
         body = wrap + (bad() if rng.random() < 0.4 else "") + body + (bad() if rng.random() < 0.5 else "") + f"</{wrap[1:].split()[0].rstrip('>')}>"
-    return "".join(bad() for _ in range(rng.randint(0, 3))) + body + "".join(bad() for _ in range(rng.randint(0, 4)))
+    return "".join(bad() + stray() for _ in range(rng.randint(0, 3))) + body + stray() + "".join(bad() + stray() for _ in range(rng.randint(0, 4)))
 
 
 def _labels(nodes: list[Node]) -> np.ndarray:
@@ -343,7 +407,7 @@ def default_model(pages: int = PAGES, seed: int = 7) -> Trees:
 
 
 def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
-    """The kept elements: greatest sum of scores such that each kept element's parent is kept. The body is always kept."""
+    """The kept elements: greatest sum of scores such that each kept element's parent is kept. The page is always kept."""
     n, gain = len(nodes), score.astype(float).copy()
     for i in range(n - 1, 0, -1):
         if gain[i] > 0:
@@ -380,8 +444,6 @@ def extract_many(pages: list[str | None], model: Trees) -> list[str]:
     for (nodes, pieces), x in zip(parsed, xs, strict=True):
         keep = decode(nodes, score[at : at + len(x)])
         at += len(x)
-        if len(nodes) > 1 and nodes[0].own < 0.9 * sum(x.own for x in nodes):
-            keep[0] = False  # loose text beside elements isn't the article
         out.append(_join(pieces, keep))
     return out
 

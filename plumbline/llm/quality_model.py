@@ -5,8 +5,8 @@ pairs of features, learned by cyclic boosting: in turn, each feature gets a shal
 that is left, at a small rate; pairs are ranked by what a two-way table would still gain and boosted in the same way. Scoring
 looks up a bin for each feature and adds.
 
-Learning uses a bounded sample: the SAMPLE labelled rows of the smallest hash of their id (all, if fewer). Everything else covers
-all rows.
+Learning uses a bounded sample: the labelled rows whose id has the smallest hashes, at most SAMPLE (all, if fewer). The rows are counted
+first, so that only about as many leave the executors, whatever the number of partitions. Everything else covers all rows.
 
 Defined cases: null and empty texts have all counts 0 and are scored like any other; an undefined ratio is a missing value with
 a bin of its own; labels other than 0 and 1, and labels without a document, are left out; several labels of one document all
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import below_share, materialise
 from .quality_rules import quality_metrics
 
 SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, LEAVES = 20_000, 48, 8, 6, 150, 0.08, 4
@@ -177,6 +177,7 @@ def sample(features: DataFrame, labels: DataFrame, label: str, doc_id: str, allo
     marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_m_id"), F.col(label).cast("int").alias("_m_label"))
     df = features.filter(allowed).join(marks, F.col(doc_id) == F.col("_m_id"))
     order = F.xxhash64(F.col("_m_id").cast("string"))
+    df = df.filter(below_share(order, size, df.count()))
     return df.orderBy(order, *[F.col("_m_" + f) for f in FEATURES]).limit(size).select("_m_label", *["_m_" + f for f in FEATURES]).toPandas()
 
 

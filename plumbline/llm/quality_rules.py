@@ -2,7 +2,8 @@
 
 Defined cases: a null or empty text has no words and fails the base rule; texts of fewer than five words have no
 five-word windows; ties don't occur (each row is judged alone); repeated rows are judged alike; an empty table gives an
-empty table. Columns of the input are kept; working columns carry a leading ``_q_`` and are dropped again.
+empty table. Columns of the input are kept, but for those named like a column that is made, which give way; working columns
+carry a leading ``_q_`` and are dropped again.
 """
 
 from __future__ import annotations
@@ -136,9 +137,11 @@ def _held(verdict: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, keep_text: bool = True) -> DataFrame:
-    """docs with metrics, base_failed and kept."""
-    df = quality_metrics(docs, text, keep_text=keep_text)
-    return df.withColumn("base_failed", base_failed()).withColumn("kept", _held(~F.col("base_failed") & compile_rules(rules)))
+    """docs with metrics, base_failed and kept; columns of docs with these names give way."""
+    df = quality_metrics(docs, text, prefix="_q_m_", keep_text=keep_text).withColumn("_q_m_base_failed", base_failed("_q_m_"))
+    df = df.withColumn("_q_m_kept", _held(~F.col("_q_m_base_failed") & compile_rules(rules, "_q_m_")))
+    made = {c: c.removeprefix("_q_m_") for c in df.columns if c.startswith("_q_m_")}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made and c not in made.values()], *[F.col(c).alias(k) for c, k in made.items()])
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:

@@ -13,11 +13,11 @@ UP / DOWN = 0.8 or more. No blocks of a fingerprint are equal at such a distance
 instead: TABLES keys of three shingles each, the least under as many orders. A linked pair shares none of them with a probability
 of 0.488 ** TABLES = 1e-5 at similarity 0.8 and less above. In each shard a BK-tree finds what lies within WIDE bits; at 0.8 the
 expected distance is 9.7 bits, and sets of fewer than FEW shingles, whose fingerprints are noisy, are not held to a distance. Pairs
-are sifted by the parities of their sets' hashes in PLACES places (where k parities differ, at least k shingles are in one set
-only), then verified on whole sets. A group of copies costs its size, not its square: each cluster of a shard is compared with its
-centre first (the member nearest to the bitwise majority), and only what is in different components by then is compared further.
-Shards of more than LARGE members are never gathered: their centres are aggregates, and what their centre left out meets the
-others in blocks.
+are sifted by their sets' 16-bit hashes (what is in one set of hashes only stands for different shingles that are in one set only, so
+no link is lost), then verified on whole sets. A group of copies costs its size: each cluster of a shard is compared with its centre
+first (the member nearest to the bitwise majority), and only what is in different components by then is compared further, inside the
+shard, of which none but sifted pairs come out. Shards of more than LARGE members are never gathered: their centres are aggregates, and
+what their centre left out meets the others in blocks.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; texts shorter than a shingle are one shingle;
 a bit set in exactly half of the hashes is 0; copies share a fingerprint and thus a component; repeated rows and rows with equal
@@ -42,8 +42,8 @@ from .common import discard, materialise, release
 from .components import components
 
 RADIUS, SHINGLE, SEED, LARGE = 2, 3, 42, 512
-#: Of `similar`: words in a shingle, least similarity as UP / DOWN, keys of each document, bits of radius, and of parities.
-WORDS, UP, DOWN, TABLES, WIDE, TIGHT, FEW, PLACES = 5, 4, 5, 16, 24, 8, 40, 512
+#: Of `similar`: words in a shingle, least similarity as UP / DOWN, keys of each document, bits of radius.
+WORDS, UP, DOWN, TABLES, WIDE, TIGHT, FEW = 5, 4, 5, 16, 24, 8, 40
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -223,16 +223,26 @@ def _keys(h: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(31))
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The different 16-bit hashes of a set, in order."""
+    return np.unique((h >> np.uint64(20)).astype(np.uint16))
+
+
+def _allowed(n, m, short_n, short_m, shared):
+    """Whether sets of n and m shingles can be linked if their 16-bit hashes share so many."""
+    least = -(-UP * (n + m) // (UP + DOWN))
+    return (np.minimum(n, m) * DOWN >= np.maximum(n, m) * UP) & (short_n + short_m - 2 * shared <= n + m - 2 * least)
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["_s_row", "doc_id", "h1", "h2", "n", "fp", "keys", "odd"]
+    columns = ["_s_row", "doc_id", "h1", "h2", "n", "fp", "keys", "short"]
     for pdf in batches:
         out = []
         for row, doc, text in pdf[["_s_row", "doc_id", "text"]].itertuples(index=False, name=None):
             h = shingles(text)
             name = xxhash.xxh3_128_intdigest(h.tobytes())
             fp, h1, h2 = np.array([_majority(h) if len(h) else 0, name >> 64, name & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist()
-            odd = np.packbits(np.bincount((h % np.uint64(PLACES)).astype(np.int64), minlength=PLACES) & 1).view(np.int64)
-            out.append((row, doc, h1, h2, len(h), fp, (_keys(h) if len(h) else h).view(np.int64), odd))
+            out.append((row, doc, h1, h2, len(h), fp, (_keys(h) if len(h) else h).view(np.int64), _short(h).tobytes()))
         yield pd.DataFrame(out, columns=columns)
 
 
@@ -256,6 +266,7 @@ class _Shard:
             self.tree.add(v)
         self.order = np.argsort(self.of, kind="stable")
         self.bounds = np.searchsorted(self.of[self.order], np.arange(len(self.values) + 1))
+        self.there = None
 
     def within(self, i: int, radius: int) -> np.ndarray:
         """Members whose fingerprint is within the radius of member i's and whose number of shingles allows a link."""
@@ -267,6 +278,19 @@ class _Shard:
         m = self.n[near]
         return near[np.minimum(m, self.n[i]) * DOWN >= np.maximum(m, self.n[i]) * UP]
 
+    def read(self, members) -> None:
+        """Take in the members' 16-bit hashes."""
+        short = [np.frombuffer(m["short"], np.uint16) for m in members]
+        self.short_n = np.array([len(x) for x in short])
+        _, column = np.unique(np.concatenate(short), return_inverse=True)
+        self.there = np.zeros((len(short), int(column.max(initial=-1)) + 1), np.float32)
+        self.there[np.repeat(np.arange(len(short)), self.short_n), column] = 1
+
+    def sifted(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that member i can be linked with."""
+        shared = self.there[others] @ self.there[i]
+        return others[_allowed(self.n[i], self.n[others], self.short_n[i], self.short_n[others], shared)]
+
     def centres(self) -> list[tuple[int, np.ndarray]]:
         """For each cluster within TIGHT bits the member nearest to the majority, and the others."""
         up = list(range(len(self.values)))
@@ -302,7 +326,7 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within the radius of different components; where sides are given (1: left out by the centre), only pairs with side 1."""
+    """Sifted pairs within the radius, of different components, at least one of them on side 1 (left out by the centre)."""
     for pdf in batches:
         pairs, size = [], 0
         for members in pdf["members"]:
@@ -313,6 +337,9 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 j = s.within(i, WIDE)
                 j = j[(root[j] != root[i]) & ((side[j] == 0) | (j < i))]
                 if len(j):
+                    if s.there is None:
+                        s.read(members)
+                    j = s.sifted(i, j)
                     pairs.append(np.column_stack([s.node[j], np.full(len(j), s.node[i])]))
                     size += len(j)
                 if size > 500_000:
@@ -336,18 +363,24 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
 
+def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        n, m = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
+        x, y = ([np.frombuffer(v, np.uint16) for v in pdf[c]] for c in ("short_a", "short_b"))
+        shared = np.array([len(p) + len(q) - len(np.union1d(p, q)) for p, q in zip(x, y, strict=True)], np.int64)
+        ok = _allowed(n, m, np.array([len(v) for v in x], np.int64), np.array([len(v) for v in y], np.int64), shared)
+        yield pdf.loc[ok, ["a", "b"]]
+
+
 def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose parities allow a link."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
-    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    both = F.col("n_a") + F.col("n_b")
-    least = F.floor((both * UP + (UP + DOWN - 1)) / (UP + DOWN))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * least).select("a", "b")
+    """Pairs whose 16-bit hashes allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sift, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sift: bool = True) -> DataFrame:
     """The linked of candidate pairs (a, b)."""
-    pairs = materialise(_sifted(pairs.distinct(), nodes), "candidates")
+    pairs = materialise(_sifted(pairs.distinct(), nodes) if sift else pairs.distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("_s_row")).union(pairs.select("b")).distinct()
     sets = materialise(docs.join(ids, "_s_row", "left_semi").mapInPandas(_sets, "node bigint, set binary"), "sets")
     release(docs.sparkSession)
@@ -391,7 +424,7 @@ def _blocks(crowd: DataFrame, roots: DataFrame, centres: DataFrame, large: int)
 
 
 def links(nodes: DataFrame, docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between different sets (node, n, fp, keys, odd): their transitive closure is that of all links."""
+    """Links (a, b) between different sets (node, n, fp, keys, short): their transitive closure is that of all links."""
     dealt = materialise(nodes.filter("n > 0").select("node", "n", "fp", F.explode("keys").alias("key")), "dealt")
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = materialise(dealt.join(sizes, "key"), "met")
@@ -409,11 +442,14 @@ def links(nodes: DataFrame, docs: DataFrame, large: int = LARGE) -> DataFrame:
     found = _verified(first, nodes, docs)
     roots = components(found)
     rooted = small.join(roots, "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"), F.lit(1).alias("side"))
-    members = F.collect_list(F.struct("node", "n", "fp", "root", "side")).alias("members")
-    rest = rooted.groupBy("key").agg(members).filter(F.array_min("members.root") < F.array_max("members.root")).select("members")
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    dealt = rooted.join(split, "key").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     if crowded:
-        rest = rest.union(_blocks(crowd, roots, centres, large).groupBy("key", "i", "j").agg(members).select("members"))
-    more = _verified(rest.mapInPandas(_across, "a bigint, b bigint"), nodes, docs)
+        blocks = _blocks(crowd, roots, centres, large)
+        dealt = dealt.union(blocks.select(*dealt.columns))
+    members = F.collect_list(F.struct("node", "n", "fp", "root", "side", "short")).alias("members")
+    rest = dealt.join(nodes.select("node", "short"), "node").groupBy("key", "i", "j").agg(members).select("members")
+    more = _verified(rest.mapInPandas(_across, "a bigint, b bigint"), nodes, docs, sift=False)
     discard(met)
     return found.union(more)
 
@@ -421,12 +457,12 @@ def links(nodes: DataFrame, docs: DataFrame, large: int = LARGE) -> DataFrame:
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", large: int = LARGE) -> DataFrame:
     """_s_row, doc_id, component_id (smallest doc_id of the component), keeper (Boolean), as near_duplicates() has them."""
     plain = docs.select(F.monotonically_increasing_id().alias("_s_row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    form = f"_s_row bigint, doc_id {docs.schema[doc_id].dataType.simpleString()}, h1 bigint, h2 bigint, n int, fp bigint, keys array<bigint>, odd array<bigint>"
+    form = f"_s_row bigint, doc_id {docs.schema[doc_id].dataType.simpleString()}, h1 bigint, h2 bigint, n int, fp bigint, keys array<bigint>, short binary"
     rows = materialise(plain.mapInPandas(_sketch, form), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_s_row")
     names = materialise(rows.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.min("_s_row").alias("node")), "names")
     nodes = rows.join(names.select(F.col("node").alias("_s_row")), "_s_row", "left_semi")
-    nodes = materialise(nodes.select(F.col("_s_row").alias("node"), "n", "fp", "keys", "odd"), "nodes")
+    nodes = materialise(nodes.select(F.col("_s_row").alias("node"), "n", "fp", "keys", "short"), "nodes")
     roots = components(links(nodes, plain, large))
     named = names.join(roots, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))

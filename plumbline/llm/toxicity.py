@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased and framed by spaces; the n-grams of their UTF-8 bytes (N) fall into SLOTS hashed slots, present or not.
+Texts are lower-cased and framed by spaces; the n-grams of their characters (N code points) fall into SLOTS hashed slots, present or not.
 Learning uses a bounded sample: the SAMPLE labelled rows of the smallest hash of their id (all, if fewer), whose ids are broadcast,
 so that no text moves. The documents of either class that have a slot are counted on the executors. The KEPT slots of the
 greatest log-likelihood ratio are features; each is scaled by its log-count ratio, and a regularised logistic regression over
@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import below_share
+
 N, SLOT_BITS, KEPT, SAMPLE, LEAST_DOCS, ALPHA, PENALTY = (3, 5), 18, 768, 24_000, 4, 1.0, 1.0
 SLOTS = 1 << SLOT_BITS
 
 
 def slots(text: str | None) -> np.ndarray:
     """The slot of every n-gram of the whole text, repeats included."""
-    b = np.frombuffer(f" {text or ''} ".lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    b = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
     for n in N:
         if len(b) >= n:
@@ -132,7 +134,8 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "
     """docs without text, with score and predicted. allowed: which labels may be learned from, told from doc_id."""
     others = [c for c in docs.columns if c not in (text, "score", "predicted")]
     marks = labels.filter(F.col(label).isin(0, 1)).filter(allowed).select(F.col(doc_id).alias("_t_id"), F.col(label).cast("int").alias("label"))
-    marks = marks.orderBy(F.xxhash64(F.col("_t_id").cast("string")), "label").limit(size)  # at most `size` rows: small enough to broadcast
+    order = F.xxhash64(F.col("_t_id").cast("string"))
+    marks = marks.filter(below_share(order, size, marks.count())).orderBy(order, "label").limit(size)  # at most `size` rows: small enough to broadcast
     named = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("_t_doc"))
     model = learn(named.join(F.broadcast(marks), F.col("_t_doc") == F.col("_t_id")).select("text", "label"))
 
