@@ -266,7 +266,7 @@ class _Shard:
             self.tree.add(v)
         self.order = np.argsort(self.of, kind="stable")
         self.bounds = np.searchsorted(self.of[self.order], np.arange(len(self.values) + 1))
-        self.there = None
+        self.shared = None
 
     def within(self, i: int, radius: int) -> np.ndarray:
         """Members whose fingerprint is within the radius of member i's and whose number of shingles allows a link."""
@@ -278,17 +278,25 @@ class _Shard:
         m = self.n[near]
         return near[np.minimum(m, self.n[i]) * DOWN >= np.maximum(m, self.n[i]) * UP]
 
-    def read(self, members) -> None:
-        """Take in the members' 16-bit hashes."""
+    def read(self, members, rows: np.ndarray) -> None:
+        """Count the 16-bit hashes that each of these rows shares with each member."""
         short = [np.frombuffer(m["short"], np.uint16) for m in members]
         self.short_n = np.array([len(x) for x in short])
-        _, column = np.unique(np.concatenate(short), return_inverse=True)
-        self.there = np.zeros((len(short), int(column.max(initial=-1)) + 1), np.float32)
-        self.there[np.repeat(np.arange(len(short)), self.short_n), column] = 1
+        member, value = np.repeat(np.arange(len(short)), self.short_n), np.concatenate(short)
+        self.place = {int(i): k for k, i in enumerate(rows)}
+        self.shared = np.zeros((len(rows), len(short)), np.float32)
+        values, column = np.unique(value, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        for c in range(0, len(values), 4096):  # bounded memory
+            a, b = np.searchsorted(column, [c, c + 4096])
+            there = np.zeros((len(short), min(4096, len(values) - c)), np.float32)
+            there[member[a:b], column[a:b] - c] = 1
+            self.shared += there[rows] @ there.T
 
     def sifted(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of the others that member i can be linked with."""
-        shared = self.there[others] @ self.there[i]
+        """Those of the others that member i, one of the rows that were read, can be linked with."""
+        shared = self.shared[self.place[int(i)], others]
         return others[_allowed(self.n[i], self.n[others], self.short_n[i], self.short_n[others], shared)]
 
     def centres(self) -> list[tuple[int, np.ndarray]]:
@@ -333,12 +341,13 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = _Shard(members)
             root = np.array([m["root"] for m in members], np.int64)
             side = np.array([m["side"] for m in members], np.int64)
-            for i in np.nonzero(side == 1)[0]:
+            rows = np.nonzero(side == 1)[0]
+            for i in rows:
                 j = s.within(i, WIDE)
                 j = j[(root[j] != root[i]) & ((side[j] == 0) | (j < i))]
                 if len(j):
-                    if s.there is None:
-                        s.read(members)
+                    if s.shared is None:
+                        s.read(members, rows)
                     j = s.sifted(i, j)
                     pairs.append(np.column_stack([s.node[j], np.full(len(j), s.node[i])]))
                     size += len(j)

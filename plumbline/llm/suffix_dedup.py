@@ -6,7 +6,8 @@ Every string of LENGTH bytes that starts at two places anywhere is found, and th
    in a row with one minimizer form a segment of at most 2 * LENGTH - GRAM bytes. Equal windows have equal keys, so only segments
    that share a key need meet. Equal segments (128-bit hash) are collapsed into one with a count before anything is gathered;
    keys that are met once are dropped. A key with more than HOT bytes of different segments is dealt again by three minimizers
-   (of the whole window under another hash, of its first and of its last quarter).
+   (of the whole window under another hash, of its first and of its last quarter). Where repeated windows of fewer bytes are known,
+   only what they cover is looked at: each window of LENGTH bytes that is found twice consists of them.
 2. Construction. In each task, the segments of whole keys form collections of about CHUNK bytes. A segment stands for WORD
    documents, one for each phase, whose symbols are the hashes of its WORD-byte words: a suffix of whole words for every byte.
    Each round inserts one symbol per document, from the right: a new suffix's place follows from its symbol and the place of the
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, release
 
 LENGTH, GRAM, WORD = 400, 48, 100
-CHUNK, HOT, BLOCK = 3_000_000, 6_000_000, 1 << 20
+#: Below the bytes of passages of 50 words of running text.
+PASSAGE = 200
+CHUNK, HOT, BLOCK = 3_000_000, 600_000, 1 << 20
 #: Texts are looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -143,17 +146,21 @@ def _table(rows: list[tuple[int, np.ndarray, list[int], list[int], np.ndarray, n
     )
 
 
-def _scanner(length: int, gram: int):
+def _scanner(length: int, gram: int, inner: int = 0):
+    """Texts to segments; with inner, only what the windows of `inner` bytes in column ranges cover."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, size = [], 0
-            for row, text in zip(pdf["_x_row"], pdf["text"], strict=True):
+            for row, text, ranges in zip(pdf["_x_row"], pdf["text"], pdf["ranges"] if inner else [None] * len(pdf), strict=True):
                 data = _bytes(text)
-                if len(data) < length:
-                    continue
-                for key, start, n in segments(data, length, gram):
-                    rows.append((row, key, *_names(data, start, n, length), start, n))
-                    size += len(n)
+                for a, b in _joined(ranges, inner) if inner else [(0, len(data))]:
+                    if b - a < length:
+                        continue
+                    piece = data[a:b] if inner else data
+                    for key, start, n in segments(piece, length, gram):
+                        rows.append((row, key, *_names(piece, start, n, length), start + a, n))
+                        size += len(n)
                 if size > 200_000:
                     yield _table(rows)
                     rows, size = [], 0
@@ -162,6 +169,17 @@ def _scanner(length: int, gram: int):
     return scan
 
 
+def _joined(ranges, length: int) -> list[tuple[int, int]]:
+    """The bytes, as (start, end), whose every window of `length` bytes is in the ranges of starts."""
+    out: list[list[int]] = []
+    for a, b in sorted((r["a"], r["b"]) for r in ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b + length) for a, b in out]
+
+
 def _refiner(length: int, gram: int):
     """Occurrences of hot keys (_x_row, text, parts) to those of finer keys."""
 
@@ -369,6 +387,11 @@ def _parts(df: DataFrame) -> DataFrame:
     return df.groupBy("_x_row").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "n")).alias("parts"))
 
 
+def _reaches(length: int, inner: int):
+    """Whether a document's ranges have enough starts for one window of `length` bytes; they may lie in several ranges."""
+    return F.aggregate("ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["b"] - r["a"] + 1) > length - inner
+
+
 _NAME = ("key", "h1", "h2", "n")
 
 
@@ -380,11 +403,15 @@ def _contents(occurrences: DataFrame, length: int) -> DataFrame:
     return found.join(keys.filter("all > 1").drop("all"), "key")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word: int = WORD, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """_x_row, ranges (array of first and last start of repeated windows); docs has _x_row and text."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word: int = WORD, chunk: int = CHUNK, hot: int = HOT, within: DataFrame | None = None, inner: int = 0) -> DataFrame:
+    """_x_row, ranges (array of first and last start of repeated windows); docs has _x_row and text.
+
+    within: what this function gave for the same docs and the smaller length `inner`.
+    """
     if length % word or word < 2 or length // 4 < gram:
         raise ValueError("length must be a multiple of word and at least four times gram")
-    occurrences = materialise(docs.mapInPandas(_scanner(length, gram), _OCCURRENCE), "segments")
+    looked_at = docs if within is None else docs.join(within.filter(_reaches(length, inner)), "_x_row")
+    occurrences = materialise(looked_at.mapInPandas(_scanner(length, gram, inner if within is not None else 0), _OCCURRENCE), "segments")
     contents = materialise(_contents(occurrences, length), "contents")
     large = contents.filter((F.col("size") > hot) & (F.col("different") > 1))
     if not large.isEmpty():
@@ -432,23 +459,30 @@ def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return whole, whole.select("_x_row", F.col(f"`{text}`").alias("text"))
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and n_passages and passage_bytes: the maximal runs of bytes
+    that repeated strings of `passage` bytes cover, which the text keeps unless they are in longer ones."""
     length = options.get("length", LENGTH)
     whole, plain = _numbered(docs, text)
-    ranges = repeated_ranges(plain, **options)
-    df = whole.select("_x_row", F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).join(ranges, "_x_row", "left")
+    if passage >= length:
+        raise ValueError("passage must be below length")
+    shorter = repeated_ranges(plain, **options | {"length": passage})
+    ranges = repeated_ranges(plain, **options, within=shorter, inner=passage)
+    df = whole.select("_x_row", F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    df = df.join(shorter.withColumnRenamed("ranges", "shorter"), "_x_row", "left").join(ranges, "_x_row", "left")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, t, r in pdf[["doc_id", "text", "ranges"]].itertuples(index=False, name=None):
+            for doc, t, r, q in pdf[["doc_id", "text", "ranges", "shorter"]].itertuples(index=False, name=None):
                 data = _bytes(t)
-                spans = removed(len(data), r, length)
-                out.append((doc, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_keep(data, spans)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                spans, short = removed(len(data), r, length), removed(len(data), q, passage)
+                sizes = [sum(b - a for a, b in x) for x in (spans, short)]
+                out.append((doc, len(data), sizes[0], len(spans), hashlib.sha256(_keep(data, spans)).hexdigest(), len(short), sizes[1]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in form.split(", ")])
 
-    out = df.select("doc_id", "text", "ranges").mapInPandas(finish, "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    form = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint"
+    out = df.select("doc_id", "text", "ranges", "shorter").mapInPandas(finish, form)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
