@@ -4,7 +4,7 @@ Every string of LENGTH bytes that starts at two places anywhere is found, and th
 
 1. Dealing out. A window of LENGTH bytes is keyed by its minimizer, the leftmost smallest hash of its GRAM-byte strings. Windows
    in a row with one minimizer form a segment of at most 2 * LENGTH - GRAM bytes. Equal windows have equal keys, so only segments
-   that share a key need meet. Equal segments (128-bit hash) are collapsed into one with a count before anything is gathered;
+   that share a key need meet. Equal segments (64-bit hash, within a key) are collapsed into one with a count before anything is gathered;
    keys that are met once are dropped. A key with more than HOT bytes of different segments is dealt again by three minimizers
    (of the whole window under another hash, of its first and of its last quarter). Where repeated windows of fewer bytes are known,
    only what they cover is looked at: each window of LENGTH bytes that is found twice consists of them.
@@ -15,7 +15,7 @@ Every string of LENGTH bytes that starts at two places anywhere is found, and th
    rest, common prefix with the predecessor) lies in files that are read and written from front to back, once a round.
 3. Decision. Neighbours with LENGTH / WORD words in common are equal windows.
 
-Equality rests on hashes of 64 bits for words, of which LENGTH / WORD in a row must agree, and 128 bits for segments.
+Equality rests on hashes of 64 bits for words, of which LENGTH / WORD in a row must agree, and for segments that share a 64-bit key.
 
 Defined cases: a null text is empty; texts shorter than LENGTH bytes keep all; matches never cross documents; every copy loses
 the string, the first included; equal rows are copies of each other; an empty table gives an empty table. docs must be a
@@ -40,7 +40,7 @@ from .common import discard, materialise, release
 LENGTH, GRAM, WORD = 400, 48, 100
 #: Below the bytes of passages of 50 words of running text.
 PASSAGE = 200
-CHUNK, HOT, BLOCK = 3_000_000, 600_000, 1 << 20
+CHUNK, HOT, BLOCK = 3_000_000, 2_000_000, 1 << 20
 #: Texts are looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -122,26 +122,21 @@ def finer(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
     return key ^ (key >> np.uint64(31)), start, count
 
 
-_OCCURRENCE = "_x_row bigint, key bigint, h1 bigint, h2 bigint, start bigint, n int"
+_OCCURRENCE = "_x_row bigint, key bigint, h1 bigint, start bigint, n int"
 
 
-def _names(data: bytes, start: np.ndarray, n: np.ndarray, length: int) -> tuple[list[int], list[int]]:
-    view, h1, h2 = memoryview(data), [], []
-    for s, k in zip(start.tolist(), n.tolist(), strict=True):
-        d = xxhash.xxh3_128_intdigest(view[s : s + k - 1 + length])
-        h1.append(d >> 64)
-        h2.append(d & 0xFFFFFFFFFFFFFFFF)
-    return h1, h2
+def _names(data: bytes, start: np.ndarray, n: np.ndarray, length: int) -> list[int]:
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return [digest(view[s : s + k - 1 + length]) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
 
 
-def _table(rows: list[tuple[int, np.ndarray, list[int], list[int], np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def _table(rows: list[tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray]]) -> pd.DataFrame:
     signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
     cat = lambda k, t: np.concatenate([np.asarray(r[k], t) for r in rows]) if rows else np.zeros(0, t)
     return pd.DataFrame(
         {
-            "_x_row": np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[4]) for r in rows]),
-            "key": signed(cat(1, np.uint64)), "h1": signed(cat(2, np.uint64)), "h2": signed(cat(3, np.uint64)),
-            "start": cat(4, np.int64), "n": cat(5, np.int32),
+            "_x_row": np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[3]) for r in rows]),
+            "key": signed(cat(1, np.uint64)), "h1": signed(cat(2, np.uint64)), "start": cat(3, np.int64), "n": cat(4, np.int32),
         }
     )
 
@@ -159,7 +154,7 @@ def _scanner(length: int, gram: int, inner: int = 0):
                         continue
                     piece = data[a:b] if inner else data
                     for key, start, n in segments(piece, length, gram):
-                        rows.append((row, key, *_names(piece, start, n, length), start + a, n))
+                        rows.append((row, key, _names(piece, start, n, length), start + a, n))
                         size += len(n)
                 if size > 200_000:
                     yield _table(rows)
@@ -190,7 +185,7 @@ def _refiner(length: int, gram: int):
                 for p in parts:
                     piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
                     key, start, n = finer(piece, length, gram)
-                    rows.append((row, key, *_names(piece, start, n, length), start + p["start"], n))
+                    rows.append((row, key, _names(piece, start, n, length), start + p["start"], n))
                 yield _table(rows)
 
     return refine
@@ -204,12 +199,12 @@ def _fetcher(length: int):
                 data = _bytes(text)
                 for p in parts:
                     piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
-                    out.append((p["key"], p["h1"], p["h2"], p["n"], piece))
+                    out.append((p["key"], p["h1"], p["n"], piece))
                     size += len(piece)
                 if size > 16_000_000:
-                    yield pd.DataFrame(out, columns=["key", "h1", "h2", "n", "data"])
+                    yield pd.DataFrame(out, columns=["key", "h1", "n", "data"])
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=["key", "h1", "h2", "n", "data"])
+            yield pd.DataFrame(out, columns=["key", "h1", "n", "data"])
 
     return fetch
 
@@ -363,19 +358,19 @@ def _finder(length: int, word: int, chunk: int):
     """Segments sorted by key to the ranges of their repeated windows."""
 
     def work(rows: list[tuple]) -> pd.DataFrame:
-        found = repeated_windows([bytes(r[4]) for r in rows], length, word)
-        out = [(*r[:4], _ranges(f)) for r, f in zip(rows, found, strict=True) if len(f)]
-        return pd.DataFrame(out, columns=["key", "h1", "h2", "n", "ranges"])
+        found = repeated_windows([bytes(r[3]) for r in rows], length, word)
+        out = [(*r[:3], _ranges(f)) for r, f in zip(rows, found, strict=True) if len(f)]
+        return pd.DataFrame(out, columns=["key", "h1", "n", "ranges"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for pdf in batches:
-            for r in pdf[["key", "h1", "h2", "n", "data"]].itertuples(index=False, name=None):
+            for r in pdf[["key", "h1", "n", "data"]].itertuples(index=False, name=None):
                 if size > chunk and r[0] != rows[-1][0]:
                     yield work(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[3])
         if rows:
             yield work(rows)
 
@@ -384,7 +379,7 @@ def _finder(length: int, word: int, chunk: int):
 
 def _parts(df: DataFrame) -> DataFrame:
     """_x_row, parts: what to cut out of each document."""
-    return df.groupBy("_x_row").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "n")).alias("parts"))
+    return df.groupBy("_x_row").agg(F.collect_list(F.struct("key", "h1", "start", "n")).alias("parts"))
 
 
 def _reaches(length: int, inner: int):
@@ -392,7 +387,7 @@ def _reaches(length: int, inner: int):
     return F.aggregate("ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["b"] - r["a"] + 1) > length - inner
 
 
-_NAME = ("key", "h1", "h2", "n")
+_NAME = ("key", "h1", "n")
 
 
 def _contents(occurrences: DataFrame, length: int) -> DataFrame:
@@ -410,31 +405,46 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
     """
     if length % word or word < 2 or length // 4 < gram:
         raise ValueError("length must be a multiple of word and at least four times gram")
-    looked_at = docs if within is None else docs.join(within.filter(_reaches(length, inner)), "_x_row")
-    occurrences = materialise(looked_at.mapInPandas(_scanner(length, gram, inner if within is not None else 0), _OCCURRENCE), "segments")
+    spark = docs.sparkSession
+    if within is not None:  # from here on only the texts that can have such a window
+        docs = materialise(docs.join(within.filter(_reaches(length, inner)), "_x_row"), "texts")
+        release(spark)
+    every = materialise(docs.mapInPandas(_scanner(length, gram, inner if within is not None else 0), _OCCURRENCE), "segments")
+    met = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("key"), "keys")
+    occurrences = materialise(every.join(met, "key", "left_semi").select(*every.columns), "segments")  # a hot key can be split
+    discard(every)
+    discard(met)
+    release(spark)
     contents = materialise(_contents(occurrences, length), "contents")
+    release(spark)
     large = contents.filter((F.col("size") > hot) & (F.col("different") > 1))
     if not large.isEmpty():
         keys = large.select("key").distinct()
         parts = _parts(occurrences.join(keys, "key", "left_semi"))
-        again = docs.join(parts, "_x_row").mapInPandas(_refiner(length, gram), _OCCURRENCE)
-        occurrences = materialise(occurrences.join(keys, "key", "left_anti").select(*again.columns).union(again), "segments")
+        again = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_refiner(length, gram), _OCCURRENCE)
+        finer_ones = materialise(occurrences.join(keys, "key", "left_anti").select(*again.columns).union(again), "segments")
+        discard(occurrences)
+        discard(contents)
+        release(spark)
+        occurrences = finer_ones
         contents = materialise(_contents(occurrences, length), "contents")
-    parts = _parts(contents.filter("different > 1").select("key", "h1", "h2", "n", "one._x_row", "one.start"))
-    cut = docs.join(parts, "_x_row").mapInPandas(_fetcher(length), "key bigint, h1 bigint, h2 bigint, n int, data binary")
+        release(spark)
+    parts = _parts(contents.filter("different > 1").select("key", "h1", "n", "one._x_row", "one.start"))
+    cut = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_fetcher(length), "key bigint, h1 bigint, n int, data binary")
     found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(
-        _finder(length, word, chunk), "key bigint, h1 bigint, h2 bigint, n int, ranges array<struct<a:int,b:int>>"
+        _finder(length, word, chunk), "key bigint, h1 bigint, n int, ranges array<struct<a:int,b:int>>"
     )
+    found = materialise(found, "found")
+    release(spark)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges")
     copies = contents.filter("times > 1").select(*_NAME, whole)
     single = found.join(contents.filter("times > 1").select(*_NAME), list(_NAME), "left_anti")
-    ranges = occurrences.join(single.unionByName(copies), list(_NAME))
-    release(docs.sparkSession)
+    ranges = occurrences.join(single.unionByName(copies).drop("n"), ["key", "h1"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     out = materialise(ranges.groupBy("_x_row").agg(F.flatten(F.collect_list(moved)).alias("ranges")), "ranges")
-    discard(occurrences)
-    discard(contents)
-    release(docs.sparkSession)
+    for t in (occurrences, contents, found, *([docs] if within is not None else [])):
+        discard(t)
+    release(spark)
     return out
 
 
