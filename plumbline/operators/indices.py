@@ -231,6 +231,36 @@ def individual_reliability(frame: ResponseFrame, n_splits: int = 100, random_see
     return K.kernel(lambda x: K.split_half(x, [(o[:half], o[half : 2 * half]) for o in orders]), _x())
 
 
+def calculate_correlations(x: Column, y: Column) -> Column:
+    """Pearson correlation of two arrays, over the places where both have a value, up to the shorter one's end. 0 where either is
+    constant; null for fewer than two such places."""
+
+    def of(pairs: Column) -> Column:
+        mean = lambda k: E.mean_of(F.transform(pairs, lambda p: p[k]))
+        dot = lambda j, mj, k, mk: E.total(F.transform(pairs, lambda p: (p[j] - mj) * (p[k] - mk)))
+
+        def centred(m: Column) -> Column:
+            below = F.sqrt(dot("a", m["a"], "a", m["a"]) * dot("b", m["b"], "b", m["b"]))
+            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot("a", m["a"], "b", m["b"]), below)))
+            return F.when(F.size(pairs) > 1, F.when(below > 0, r).otherwise(0.0))
+
+        return E.let(F.struct(mean("a").alias("a"), mean("b").alias("b")), centred)
+
+    both = F.zip_with(x, y, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    return E.let(F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull()), of)
+
+
+def compute_person_correlations(x: Column, y: Column) -> Column:
+    """Products of the z-scores (population standard deviation) of two arrays, place by place; 0 for all places if either is constant, null
+    where either is missing."""
+
+    def z(v: Column) -> Column:
+        there = E.compact(v)
+        return E.let(F.struct(E.mean_of(there).alias("m"), E.sd_of(there).alias("s")), lambda f: F.transform(v, lambda a: F.when(f["s"] > 0, F.try_divide(a - f["m"], f["s"])).when(a.isNotNull(), 0.0)))
+
+    return F.zip_with(z(x), z(y), lambda a, b: a * b)
+
+
 # --- with statistics of the whole table -----------------------------------------------------------------------------
 
 

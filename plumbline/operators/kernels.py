@@ -23,46 +23,48 @@ def kernel(body: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
     return F.nanvl(run(x), F.lit(None).cast("double"))
 
 
+def _packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The available answers of each row moved to its left, NaN after them, and their numbers."""
+    gone = np.isnan(x)
+    return np.take_along_axis(x, np.argsort(gone, axis=1, kind="stable"), axis=1), (~gone).sum(axis=1)
+
+
+def _ahead(hit: np.ndarray) -> np.ndarray:
+    """For each place of each row the number of hits in a row from there on."""
+    size = hit.shape[1]
+    place = np.arange(size)
+    stop = np.minimum.accumulate(np.where(hit, size, place)[:, ::-1], axis=1)[:, ::-1]
+    return stop - place
+
+
 def longest_pattern(x: np.ndarray, longest: int) -> np.ndarray:
-    out = np.zeros(len(x))
-    for r, row in enumerate(x):
-        v = row[~np.isnan(row)]
-        m = len(v)
-        if m < 4:
-            continue
-        same1 = _ahead(v[1:] == v[:-1], m)  # equal neighbours ahead of each place
-        best = 0
-        for k in range(2, min(longest, m // 2) + 1):
-            match = _ahead(v[k:] == v[:-k], m)
-            varied = same1[: m - k] < k - 1
-            found = np.where(varied, match[: m - k], 0).max(initial=0)
-            if found:
-                best = max(best, k + int(found))
-        out[r] = best
+    v, m = _packed(x)
+    out = np.zeros(len(v))
+    if v.shape[1] < 4:
+        return out
+    same = _ahead(v[:, 1:] == v[:, :-1])  # equal neighbours ahead of each place
+    for k in range(2, min(longest, v.shape[1] // 2) + 1):
+        match = _ahead(v[:, k:] == v[:, :-k])
+        varied = same[:, : match.shape[1]] < k - 1
+        found = np.where(varied, match, 0).max(axis=1)
+        out = np.where((found > 0) & (m >= 4) & (k <= m // 2), np.maximum(out, k + found), out)
     return out
 
 
-def _ahead(hit: np.ndarray, size: int) -> np.ndarray:
-    """For each place the number of hits in a row from there on."""
-    place = np.arange(len(hit))
-    stop = np.where(hit, len(hit), place)
-    stop = np.minimum.accumulate(stop[::-1])[::-1] if len(hit) else stop
-    return np.concatenate([stop - place, np.zeros(size - len(hit), int)])
+def _bits(keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the sum of c log2 c over the counts of its different keys."""
+    different, n = np.unique(np.stack([row, keys]), axis=1, return_counts=True)
+    return np.bincount(different[0], n * np.log2(n), rows)
 
 
 def transition_entropy(x: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    for r, row in enumerate(x):
-        v = row[~np.isnan(row)]
-        if len(v) < 2:
-            continue
-        _, code = np.unique(v, return_inverse=True)
-        k = code.max() + 1
-        pairs = np.bincount(code[:-1] * k + code[1:])
-        starts = np.bincount(code[:-1])
-        bits = lambda c: float((c[c > 0] * np.log2(c[c > 0])).sum())
-        out[r] = (bits(starts) - bits(pairs)) / (len(v) - 1) + 0.0
-    return out
+    v, m = _packed(x)
+    values, code = np.unique(v, return_inverse=True)
+    code = code.reshape(v.shape).astype(np.int64)
+    row, at = np.nonzero(~np.isnan(v[:, 1:]))
+    start, end = code[row, at], code[row, at + 1]
+    bits = _bits(start, row, len(v)) - _bits(start * len(values) + end, row, len(v))
+    return np.where(m > 1, bits / np.maximum(m - 1, 1) + 0.0, np.nan)
 
 
 def guttman_errors(x: np.ndarray, order: np.ndarray, na_rm: bool, normalize: bool) -> np.ndarray:
@@ -92,26 +94,22 @@ def split_half(x: np.ndarray, splits: list[tuple[np.ndarray, np.ndarray]]) -> np
 
 
 def onset_places(x: np.ndarray, window: int, least: int) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    for r, row in enumerate(x):
-        v = row[~np.isnan(row)]
-        if len(v) < max(least, window):
-            continue
-        s = np.lib.stride_tricks.sliding_window_view(v, window)
-        s = np.sqrt(((s - s.mean(axis=1, keepdims=True)) ** 2).mean(axis=1))
-        w = len(s)
-        if w < 3:
-            continue
+    v, m = _packed(x)
+    out = np.full(len(v), np.nan)
+    for size in np.unique(m[m >= max(least, window)]):  # rows of as many answers together
+        mine = np.nonzero(m == size)[0]
+        w = int(size) - window + 1
         trim = max(1, w // 10)
         k = np.arange(trim, w - trim)
-        if not len(k):
+        if w < 3 or not len(k):
             continue
-        p, q = np.cumsum(s), np.cumsum(s * s)
-        variance = np.maximum(q[k - 1] - p[k - 1] ** 2 / k, 1e-10)
-        stat = (p[k] - (k + 1) / w * p[-1]) ** 2 / variance
-        best = int(np.argmax(stat))
-        if stat[best] > 1.358:
-            out[r] = k[best] + window - 1
+        s = np.lib.stride_tricks.sliding_window_view(v[mine, :size], window, axis=1)
+        s = np.sqrt(((s - s.mean(axis=2, keepdims=True)) ** 2).mean(axis=2))
+        p, q = np.cumsum(s, axis=1), np.cumsum(s * s, axis=1)
+        variance = np.maximum(q[:, k - 1] - p[:, k - 1] ** 2 / k, 1e-10)
+        stat = (p[:, k] - (k + 1) / w * p[:, -1:]) ** 2 / variance
+        best = stat.argmax(axis=1)
+        out[mine] = np.where(stat[np.arange(len(mine)), best] > 1.358, k[best] + window - 1, np.nan)
     return out
 
 

@@ -43,11 +43,32 @@ class MatrixStats:
 
     @cached_property
     def _items(self) -> pd.DataFrame:
-        binary = F.min(F.when(F.col("resp").isNotNull(), F.col("resp").isin(0.0, 1.0)))
-        long = self.frame.long().groupBy("item").agg(
-            F.count(F.lit(1)).alias("n"), F.count("resp").alias("there"), F.sum("resp").alias("sum"), F.min("resp").alias("lo"), F.max("resp").alias("hi"), binary.alias("binary")
-        )
-        return long.orderBy("item").toPandas()
+        """A row for each item; each partition gives one row an item, so cells are never exploded."""
+        p = self.frame.n_items
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, there, total, lo, hi, odd = 0, np.zeros(p, int), np.zeros(p), np.full(p, np.inf), np.full(p, -np.inf), np.zeros(p, int)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["responses"].tolist(), dtype=float)
+                seen = ~np.isnan(x)
+                n += len(x)
+                there += seen.sum(axis=0)
+                total += np.where(seen, x, 0.0).sum(axis=0)
+                lo, hi = np.fmin(lo, np.where(seen, x, np.inf).min(axis=0)), np.fmax(hi, np.where(seen, x, -np.inf).max(axis=0))
+                odd += (seen & (x != 0) & (x != 1)).sum(axis=0)
+            yield pd.DataFrame({"item": np.arange(p), "n": n, "there": there, "sum": total, "lo": lo, "hi": hi, "odd": odd})
+
+        form = "item int, n bigint, there bigint, sum double, lo double, hi double, odd bigint"
+        sums = [F.sum(c).alias(c) for c in ("n", "there", "sum")]
+        cells = self.frame.df.select("responses").mapInPandas(part, form).groupBy("item").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("odd").alias("odd"))
+        out = cells.toPandas().sort_values("item", ignore_index=True)
+        out = out[out["n"] > 0].reset_index(drop=True)
+        none = out["there"] == 0
+        out["binary"] = (out["odd"] == 0).astype(object).where(~none, None)
+        out.loc[none, ["lo", "hi"]] = np.nan
+        return out
 
     @property
     def n(self) -> int:

@@ -23,6 +23,7 @@ class CompositeResult:
     table: DataFrame
     names: list[str]
     errors: dict[str, str] = field(default_factory=dict)
+    scores: DataFrame | None = None
 
 
 def _weights(given: Mapping[str, float] | None, names: Sequence[str]) -> dict[str, float]:
@@ -47,6 +48,7 @@ def combine(scores: DataFrame, names: Sequence[str], method: str = "mean", stand
     if not names:
         raise ValueError("no index could be scored: " + "; ".join(f"{k}: {v}" for k, v in sorted((errors or {}).items())))
     if standardize:
+        scores = scores.persist()  # read for the statistics and by whoever takes the table; result.scores.unpersist() lets it go
         seen = scores.agg(*[f(F.col(f"score__{k}")).alias(f"{k}__{n}") for k in names for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]).first()
     parts: dict[str, Column] = {}
     for k in names:
@@ -69,7 +71,7 @@ def combine(scores: DataFrame, names: Sequence[str], method: str = "mean", stand
     table = table.withColumn("valid_index_count", valid)
     if min_valid_indices is not None:
         out = F.when(F.col("valid_index_count") >= min_valid_indices, out)
-    return CompositeResult(table.withColumn("composite", out), list(names), dict(errors or {}))
+    return CompositeResult(table.withColumn("composite", out), list(names), dict(errors or {}), scores)
 
 
 def composite(frame: ResponseFrame, indices: Sequence[str] | None = None, method: str = "mean", standardize: bool = True, *, options: IndexOptions | None = None, weights=None, min_valid_indices: int | None = None, strict: bool = False, workers: int = 1) -> CompositeResult:

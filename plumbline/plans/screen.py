@@ -23,6 +23,7 @@ class ScreenResult:
     cutoffs: dict[str, float | None]
     errors: dict[str, str] = field(default_factory=dict)
     settings: dict = field(default_factory=dict)
+    scores: DataFrame | None = None
 
 
 def _overrides(given: Mapping[str, float] | None, names: Sequence[str], check, what: str) -> dict[str, float]:
@@ -49,6 +50,7 @@ def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, mi
     fixed, own = _overrides(thresholds, names, check_threshold, "thresholds"), _overrides(percentiles, names, check_percentile, "percentiles")
     if both := set(fixed) & set(own):
         raise ValueError(f"both a threshold and a percentile for {', '.join(sorted(both))}")
+    scores = scores.persist()  # read for the cutoffs, for the counts and by whoever takes the table; result.scores.unpersist() lets it go
     columns = {k: F.col(f"score__{k}") for k in names}
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     for k, c in columns.items():
@@ -79,7 +81,7 @@ def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, mi
         rows.append((k, *(seen[f"{k}__{s}"] for s in ("mean", "std", "min", "max")), v, seen["n"] - v, f, f / v if v else None))
     schema = "index string, mean double, std double, min double, max double, n_valid bigint, n_unavailable bigint, n_flagged bigint, flag_rate double"
     settings = {"percentile": percentile, "min_flags": min_flags, "min_valid_indices": min_valid_indices}
-    return ScreenResult(table, scores.sparkSession.createDataFrame(rows, schema), cutoffs, dict(errors or {}), settings)
+    return ScreenResult(table, scores.sparkSession.createDataFrame(rows, schema), cutoffs, dict(errors or {}), settings, scores)
 
 
 def screen(frame: ResponseFrame, indices: Sequence[str] | None = None, *, options: IndexOptions | None = None, percentile: float = 95.0, min_flags: int = 2, min_valid_indices: int | None = None, thresholds=None, percentiles=None, strict: bool = False, workers: int = 1) -> ScreenResult:
