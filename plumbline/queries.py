@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .frame import ResponseFrame
 from .functions import exprs as E
 from .operators import flags as FL
+from .operators import index_flags as IF
 from .operators import indices as I
 from .operators import timing as T
 from .plans import composite as C
@@ -34,7 +35,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ev(spark: SparkSession, sf: str, items: int = 40, value: str = "v") -> ResponseFrame:
+def ev(spark: SparkSession, sf: str, value: str = "v") -> ResponseFrame:
+    """All events of each user; as many items as the longest row has, the rest of the others is missing."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    items = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return ResponseFrame.from_long(_events(spark, sf), "r", "i", value, items)
 
 
@@ -43,11 +47,18 @@ def li(spark: SparkSession, sf: str) -> ResponseFrame:
     return ResponseFrame.from_long(df.agg(F.ceil(F.max("l_quantity") / 10).cast("double").alias("v")), "r", "i", "v", 7)
 
 
-def emb(spark: SparkSession, sf: str, items: int = 64) -> ResponseFrame:
+def totals(spark: SparkSession, sf: str) -> ResponseFrame:
+    """Two items for each order: what its lines have in quantity and in price."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("a"), F.round(F.sum("l_extendedprice"), 2).alias("b"))
+    row = F.array(F.col("a").cast("double"), F.col("b").cast("double"))
+    return ResponseFrame(df.select(F.col("l_orderkey").cast("string").alias("respondent_id"), F.col("l_orderkey").alias("ord"), row.alias("responses")), 2)
+
+
+def emb(spark: SparkSession, sf: str) -> ResponseFrame:
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select(
-        F.col("vec_id").cast("string").alias("respondent_id"), F.col("vec_id").alias("ord"), F.slice(F.col("embedding").cast("array<double>"), 1, items).alias("responses")
+        F.col("vec_id").cast("string").alias("respondent_id"), F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("responses")
     )
-    return ResponseFrame(df, items)
+    return ResponseFrame(df, 64)
 
 
 def oa(spark: SparkSession, sf: str) -> ResponseFrame:
@@ -63,15 +74,16 @@ _CODE = "CAST(CASE event_type " + " ".join(f"WHEN '{c}' THEN {k + 1}" for k, c i
 _EV = f"SELECT user_id AS r, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS i, {_CODE} AS v, value AS t FROM events"
 
 
-def M_EV(items: int = 40, value: str = "v") -> str:
-    return f"m AS (SELECT r, i, {value} AS v FROM ({_EV}) WHERE i < {items})"
+def M_EV(value: str = "v") -> str:
+    return f"m AS (SELECT r, i, {value} AS v FROM ({_EV}))"
 
 
 M_LI = "m AS (SELECT l_orderkey AS r, CAST(l_linenumber - 1 AS INT) AS i, CAST(ceil(max(l_quantity) / 10) AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
 
 
-def M_EMB(items: int = 64) -> str:
-    return f"m AS (SELECT vec_id AS r, CAST(k AS INT) AS i, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range({items}) AS g(k))"
+M_EMB = "m AS (SELECT vec_id AS r, CAST(k AS INT) AS i, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS g(k))"
+M_TOTALS = """w AS (SELECT l_orderkey AS r, sum(l_quantity) AS a, round(sum(l_extendedprice), 2) AS b FROM lineitem GROUP BY l_orderkey),
+m AS (SELECT r, CAST(k AS INT) AS i, CAST([a, b][k + 1] AS DOUBLE) AS v FROM w, range(2) AS g(k))"""
 
 
 M_OA = """w AS (SELECT l_orderkey AS r, sum(l_quantity) AS a0, round(sum(l_extendedprice), 2) AS a1, max(l_quantity) AS a2, max(l_extendedprice) AS a3,
@@ -101,15 +113,11 @@ def score(name: str, matrix: Callable, column: Callable[[ResponseFrame], Column]
         SQL[name] = f"WITH {sql} SELECT r, round(score, 6) + 0.0 AS score FROM s"
 
 
-def flagged(name: str, matrix: Callable, column: Callable, sql: str, direction: str, threshold: float | None = None, percentile: float | None = None, inclusive: bool | None = None, null_flag: bool = False) -> None:
-    """A query of r, score and flag."""
+def flagged(name: str, matrix: Callable, flags: Callable[[ResponseFrame], DataFrame], sql: str, direction: str, threshold: float | None = None, percentile: float | None = None, inclusive: bool | None = None, null_flag: bool = False) -> None:
+    """A query of r, score and flag; what follows sql tells the SQL what `flags` does."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        frame = matrix(spark, sf)
-        df = frame.with_scores(score=_r(column(frame), 9))
-        df = FL.flag_scores(df, "score", threshold, percentile, direction, inclusive)
-        flag = (F.col("flag") | F.col("score").isNull()) if null_flag else F.col("flag")
-        return df.select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), flag.alias("flag"))
+        return flags(matrix(spark, sf)).select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), "flag")
 
     QUERIES[name] = run
     p = (5.0 if direction == "low" else 95.0) if percentile is None else percentile
@@ -119,8 +127,8 @@ def flagged(name: str, matrix: Callable, column: Callable, sql: str, direction:
     SQL[name] = f"WITH {sql}, z AS (SELECT r, round(score, 9) + 0.0 AS q FROM s) SELECT r, round(q, 6) + 0.0 AS score, {test} AS flag FROM z"
 
 
-def summarised(name: str, matrix: Callable, column: Callable, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf: I.summary((f := matrix(spark, sf)).with_scores(score=column(f))).select(
+def summarised(name: str, matrix: Callable, summary: Callable, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf: summary(matrix(spark, sf)).select(
         *[_r(F.col(k)).alias(k) for k in ("mean", "std", "min", "max", "median")], "n_total", "n_valid"
     )
     SQL[name] = f"""WITH {sql} SELECT round(avg(score), 6) + 0.0 AS mean, round(stddev_pop(score), 6) + 0.0 AS std, round(min(score), 6) + 0.0 AS min, round(max(score), 6) + 0.0 AS max,
@@ -213,7 +221,7 @@ h AS (SELECT r, k, stat, row_number() OVER (PARTITION BY r ORDER BY round(stat,
 {U}, s AS (SELECT u.r AS r, CASE WHEN stat > 1.358 THEN CAST(k + {window} - 1 AS DOUBLE) END AS score FROM u LEFT JOIN h ON u.r = h.r AND h.n = 1)"""
 
 
-SPLITS, SPLIT_SEED = 10, 17
+SPLITS, SPLIT_SEED = 100, 17
 
 
 def RELIABILITY(items: int) -> str:
@@ -239,21 +247,20 @@ def TIME(f: str) -> str:
 
 PAIR_LIST = [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9)]
 LI_PAIRS = [(0, 6), (1, 5), (2, 4)]
-ev40, ev60 = (lambda s, d: ev(s, d, 40)), (lambda s, d: ev(s, d, 60))
-times = lambda s, d: ev(s, d, 40, "t")
-emb2 = lambda s, d: emb(s, d, 2)
+times = lambda s, d: ev(s, d, "t")
 
 score("irv", li, I.irv, f"{M_LI}, {IRV}")
-SPLIT_SQL = "q AS (SELECT r, {part} AS k, stddev_pop(v) AS sd FROM m GROUP BY ALL), s AS (SELECT r, sum(sd) / count(*) AS score FROM q GROUP BY r)"
-score("irv_split", ev40, lambda f: I.irv(f, split=True, num_split=3), f"{M_EV()}, {SPLIT_SQL.format(part='CASE WHEN i < 14 THEN 0 WHEN i < 27 THEN 1 ELSE 2 END')}")
-score("irv_split_points", ev40, lambda f: I.irv(f, split=True, split_points=[0, 10, 40]), f"{M_EV()}, {SPLIT_SQL.format(part='CASE WHEN i < 10 THEN 0 ELSE 1 END')}")
+SPLIT_SQL = "{items}, q AS (SELECT r, {part} AS k, stddev_pop(v) AS sd FROM m, n GROUP BY ALL), s AS (SELECT r, CASE WHEN count(*) = {parts} THEN sum(sd) / {parts} END AS score FROM q GROUP BY r)"
+ITEMS = "n AS (SELECT max(i) + 1 AS p FROM m)"
+score("irv_split", ev, lambda f: I.irv(f, split=True, num_split=3), f"{M_EV()}, {SPLIT_SQL.format(items=ITEMS, parts=3, part='CASE WHEN i < (p % 3) * (p // 3 + 1) THEN i // (p // 3 + 1) ELSE p % 3 + (i - (p % 3) * (p // 3 + 1)) // (p // 3) END')}")
+score("irv_split_points", ev, lambda f: I.irv(f, split=True, split_points=[0, 10, f.n_items]), f"{M_EV()}, {SPLIT_SQL.format(items=ITEMS, parts=2, part='CASE WHEN i < 10 THEN 0 ELSE 1 END')}")
 score("longstring_scores", li, I.longstring_scores, f"{M_LI}, {LONGSTRING}")
-score("longstring_pattern", ev60, I.longstring_pattern, f"{M_EV(60)}, {PATTERN()}")
+score("longstring_pattern", ev, I.longstring_pattern, f"{M_EV()}, {PATTERN()}")
 score("markov", li, I.markov, f"{M_LI}, {MARKOV}")
-flagged("markov_flag", ev40, I.markov, f"{M_EV()}, {MARKOV}", "low")
-summarised("markov_summary", ev40, I.markov, f"{M_EV()}, {MARKOV}")
+flagged("markov_flag", ev, lambda f: IF.markov_flag(f, digits=9), f"{M_EV()}, {MARKOV}", "low")
+summarised("markov_summary", ev, IF.markov_summary, f"{M_EV()}, {MARKOV}")
 score("missing_rate", li, I.missing_rate, f"{M_LI}, s AS (SELECT r, 1 - count(*) / 7 AS score FROM m GROUP BY r)")
-flagged("missing_rate_flag", li, I.missing_rate, f"{M_LI}, s AS (SELECT r, (7 - count(*)) / 7 AS score FROM m GROUP BY r)", "high", threshold=0.7)
+flagged("missing_rate_flag", li, lambda f: IF.missing_rate_flag(f, threshold=0.7, digits=9), f"{M_LI}, s AS (SELECT r, (7 - count(*)) / 7 AS score FROM m GROUP BY r)", "high", threshold=0.7)
 
 
 def _masked(spark: SparkSession, sf: str) -> ResponseFrame:
@@ -270,7 +277,7 @@ score(
 score("u3_poly", li, I.u3_poly, f"{M_LI}, {U3}")
 score("midpoint", li, lambda f: I.midpoint_responding(f, 1, 5, 0.5), f"{M_LI}, {MIDPOINT}")
 score("acquiescence", li, I.acquiescence, f"{M_LI}, {ACQUIESCENCE}")
-flagged("acquiescence_flag", ev40, I.acquiescence, f"{M_EV()}, {ACQUIESCENCE}", "high")
+flagged("acquiescence_flag", ev, lambda f: IF.acquiescence_flag(f, digits=9), f"{M_EV()}, {ACQUIESCENCE}", "high")
 score(
     "acquiescence_balanced", li, lambda f: I.acquiescence(f, positive_items=[0, 1, 2], negative_items=[6, 5, 4]),
     f"{M_LI}, {PAIRS(LI_PAIRS, '(a.v + (hi + lo - c.v)) / 2')}, s AS (SELECT u.r AS r, CASE WHEN gap IS NOT NULL THEN greatest(0, least(1, (gap - lo) / (hi - lo))) END AS score FROM u LEFT JOIN d ON u.r = d.r, b)",
@@ -280,38 +287,42 @@ for _policy in ("pass", "fail", "omit", "propagate"):
         f"infrequency_{_policy}", li, lambda f, p=_policy: I.infrequency(f, [0, 3], [5, 1], proportion=p != "fail", missing=p),
         f"{M_LI}, {INFREQUENCY([0, 3], [5, 1], _policy, _policy != 'fail')}",
     )
-flagged("infrequency_flag", li, lambda f: I.infrequency(f, [0, 3], [5, 1]), f"{M_LI}, {INFREQUENCY([0, 3], [5, 1], 'pass', False)}", "high", threshold=1.0)
+flagged("infrequency_flag", li, lambda f: IF.infrequency_flag(f, [0, 3], [5, 1], digits=9), f"{M_LI}, {INFREQUENCY([0, 3], [5, 1], 'pass', False)}", "high", threshold=1.0)
 score("mad", li, lambda f: I.mad(f, [0, 1, 2], [6, 5, 4]), f"{M_LI}, {MAD(LI_PAIRS)}")
-flagged("mad_flag", ev40, lambda f: I.mad(f, item_pairs=PAIR_LIST), f"{M_EV()}, {MAD(PAIR_LIST)}", "high")
-score("semantic_syn", ev40, lambda f: I.semantic_syn(f, PAIR_LIST), f"{M_EV()}, {SEMANTIC(PAIR_LIST, False)}")
+flagged("mad_flag", ev, lambda f: IF.mad_flag(f, item_pairs=PAIR_LIST, digits=9), f"{M_EV()}, {MAD(PAIR_LIST)}", "high")
+score("semantic_syn", ev, lambda f: I.semantic_syn(f, PAIR_LIST), f"{M_EV()}, {SEMANTIC(PAIR_LIST, False)}")
 score("semantic_ant", li, lambda f: I.semantic_ant(f, LI_PAIRS), f"{M_LI}, {SEMANTIC(LI_PAIRS, True)}")
-flagged("semantic_syn_flag", ev40, lambda f: I.semantic_syn(f, PAIR_LIST), f"{M_EV()}, {SEMANTIC(PAIR_LIST, False)}", "low", percentile=10.0)
-flagged("semantic_ant_flag", ev40, lambda f: I.semantic_ant(f, PAIR_LIST), f"{M_EV()}, {SEMANTIC(PAIR_LIST, True)}", "low", percentile=10.0)
-score("evenodd", ev60, lambda f: I.evenodd(f, [10] * 6), f"{M_EV(60)}, {EVENODD(10)}")
-score("evenodd_diag", ev60, lambda f: I.evenodd(f, [10] * 6, diag=True)[1], f"{M_EV(60)}, {EVENODD(10).replace('AS score, CAST(count(c) AS DOUBLE) AS n', 'AS mean, CAST(count(c) AS DOUBLE) AS score')}")
+flagged("semantic_syn_flag", ev, lambda f: IF.semantic_syn_flag(f, PAIR_LIST, percentile=10.0, digits=9), f"{M_EV()}, {SEMANTIC(PAIR_LIST, False)}", "low", percentile=10.0)
+flagged("semantic_ant_flag", ev, lambda f: IF.semantic_ant_flag(f, PAIR_LIST, percentile=10.0, digits=9), f"{M_EV()}, {SEMANTIC(PAIR_LIST, True)}", "low", percentile=10.0)
+def _tens(items: int) -> list[int]:
+    return [10] * (items // 10) + [items % 10] * (items % 10 > 0)
+
+
+score("evenodd", ev, lambda f: I.evenodd(f, _tens(f.n_items)), f"{M_EV()}, {EVENODD(10)}")
+score("evenodd_diag", ev, lambda f: I.evenodd(f, _tens(f.n_items), diag=True)[1], f"{M_EV()}, {EVENODD(10).replace('AS score, CAST(count(c) AS DOUBLE) AS n', 'AS mean, CAST(count(c) AS DOUBLE) AS score')}")
 score("person_total", li, I.person_total, f"{M_LI}, {PERSON_TOTAL}")
 score("psychsyn", oa, I.psychsyn, f"{M_OA}, {PSYCH('>= 0.6')}")
 score("psychant", oa, I.psychant, f"{M_OA}, {PSYCH('<= -0.6')}")
 score("psychsyn_diag", oa, lambda f: I.psychsyn(f, diag=True)[1].cast("double"), f"{M_OA}, {PSYCH('>= 0.6')}".rsplit("s AS", 1)[0] + "s AS (SELECT DISTINCT r, CAST((SELECT count(*) FROM pr) AS DOUBLE) AS score FROM m)")
-summarised("psychsyn_summary", oa, I.psychsyn, f"{M_OA}, {PSYCH('>= 0.6')}")
+summarised("psychsyn_summary", oa, IF.psychsyn_summary, f"{M_OA}, {PSYCH('>= 0.6')}")
 QUERIES["psychsyn_critval"] = lambda s, d: I.psychsyn_critval(oa(s, d), min_correlation=0.1).withColumn("correlation", _r(F.col("correlation")))
 SQL["psychsyn_critval"] = f"WITH {M_OA} SELECT a.i AS item_a, b.i AS item_b, round(corr(a.v, b.v), 6) + 0.0 AS correlation FROM m a JOIN m b ON a.r = b.r AND a.i > b.i GROUP BY a.i, b.i HAVING corr(a.v, b.v) >= 0.1"
-score("guttman", emb, I.guttman, f"{M_EMB()}, {GUTTMAN(True)}")
-score("guttman_raw", emb, lambda f: I.guttman(f, normalize=False), f"{M_EMB()}, {GUTTMAN(False)}")
-flagged("guttman_flag", emb, I.guttman, f"{M_EMB()}, {GUTTMAN(True)}", "high", threshold=0.5, inclusive=False)
-score("onset", ev60, I.onset, f"{M_EV(60)}, {ONSET()}")
-QUERIES["onset_flag"] = lambda s, d: _scored(f := ev60(s, d), score=I.onset(f)).withColumn("flag", F.col("score").isNotNull())
-SQL["onset_flag"] = f"WITH {M_EV(60)}, {ONSET()} SELECT r, score, score IS NOT NULL AS flag FROM s"
-score("individual_reliability", ev60, lambda f: I.individual_reliability(f, SPLITS, SPLIT_SEED), f"{M_EV(60)}, {RELIABILITY(60)}")
-flagged("individual_reliability_flag", ev60, lambda f: I.individual_reliability(f, SPLITS, SPLIT_SEED), f"{M_EV(60)}, {RELIABILITY(60)}", "low", threshold=0.3, inclusive=False, null_flag=True)
-score("mahad", emb2, I.mahad, f"{M_EMB(2)}, {MAHAD2}")
-summarised("mahad_summary", emb2, I.mahad, f"{M_EMB(2)}, {MAHAD2}")
+score("guttman", emb, I.guttman, f"{M_EMB}, {GUTTMAN(True)}")
+score("guttman_raw", emb, lambda f: I.guttman(f, normalize=False), f"{M_EMB}, {GUTTMAN(False)}")
+flagged("guttman_flag", emb, lambda f: IF.guttman_flag(f, digits=9), f"{M_EMB}, {GUTTMAN(True)}", "high", threshold=0.5, inclusive=False)
+score("onset", ev, I.onset, f"{M_EV()}, {ONSET()}")
+QUERIES["onset_flag"] = lambda s, d: IF.onset_flag(ev(s, d)).select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), "flag")
+SQL["onset_flag"] = f"WITH {M_EV()}, {ONSET()} SELECT r, score, score IS NOT NULL AS flag FROM s"
+score("individual_reliability", li, lambda f: I.individual_reliability(f, SPLITS, SPLIT_SEED), f"{M_LI}, {RELIABILITY(7)}")
+flagged("individual_reliability_flag", li, lambda f: IF.individual_reliability_flag(f, random_seed=SPLIT_SEED, digits=9), f"{M_LI}, {RELIABILITY(7)}", "low", threshold=0.3, inclusive=False, null_flag=True)
+score("mahad", totals, I.mahad, f"{M_TOTALS}, {MAHAD2}")
+summarised("mahad_summary", totals, IF.mahad_summary, f"{M_TOTALS}, {MAHAD2}")
 score("mahad_pseudo_inverse", oa, I.mahad)
 
 
 def _mahad_flag(method: str) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        f = emb2(spark, sf)
+        f = totals(spark, sf)
         df = I.mahad_flag(f.with_scores(score=_r(I.mahad(f), 9)), 2, 0.95, method)
         return df.select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), "flag")
 
@@ -325,23 +336,23 @@ _FLAGS = {
 }
 for _method, _test in _FLAGS.items():
     QUERIES[f"mahad_{_method}_flag"] = _mahad_flag(_method)
-    SQL[f"mahad_{_method}_flag"] = f"WITH {M_EMB(2)}, {MAHAD2}, z AS (SELECT r, round(score, 9) AS q FROM s) SELECT r, round(q, 6) + 0.0 AS score, {_test} AS flag FROM z"
-QUERIES["mahad_qqplot"] = lambda s, d: I.mahad_qqplot((f := emb2(s, d)).with_scores(score=I.mahad(f)), 2).select("rank", _r(F.col("observed")).alias("observed"), _r(F.col("expected")).alias("expected"))
-SQL["mahad_qqplot"] = f"""WITH {M_EMB(2)}, {MAHAD2} SELECT rank, round(d, 6) + 0.0 AS observed, round(-2 * ln(1 - (rank - 0.5) / n), 6) + 0.0 AS expected
+    SQL[f"mahad_{_method}_flag"] = f"WITH {M_TOTALS}, {MAHAD2}, z AS (SELECT r, round(score, 9) AS q FROM s) SELECT r, round(q, 6) + 0.0 AS score, {_test} AS flag FROM z"
+QUERIES["mahad_qqplot"] = lambda s, d: I.mahad_qqplot((f := totals(s, d)).with_scores(score=I.mahad(f)), 2).select("rank", _r(F.col("observed")).alias("observed"), _r(F.col("expected")).alias("expected"))
+SQL["mahad_qqplot"] = f"""WITH {M_TOTALS}, {MAHAD2} SELECT rank, round(d, 6) + 0.0 AS observed, round(-2 * ln(1 - (rank - 0.5) / n), 6) + 0.0 AS expected
 FROM (SELECT score * score AS d, row_number() OVER (ORDER BY score) AS rank, count(*) OVER () AS n FROM s)"""
-score("lz", ev40, I.lz)
-QUERIES["lz_flag"] = lambda s, d: FL.flag_scores((f := ev40(s, d)).with_scores(score=I.lz(f)), "score", -1.96, None, "low", False).select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), "flag")
-_B = [round((k % 5 - 2) / 2, 1) for k in range(40)]
+score("lz", ev, I.lz)
+QUERIES["lz_flag"] = lambda s, d: IF.lz_flag(ev(s, d)).select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"), "flag")
+_B = lambda items: [(k % 5 - 2) / 2 for k in range(items)]
 
 
 def _with_theta(spark: SparkSession, sf: str) -> ResponseFrame:
-    f = ev40(spark, sf)
-    return ResponseFrame(f.df.withColumn("theta", (F.col("ord") % 7 - 3) / 3.0), 40)
+    f = ev(spark, sf)
+    return ResponseFrame(f.df.withColumn("theta", (F.col("ord") % 7 - 3) / 3.0), f.n_items)
 
 
 score(
-    "lz_given_theta", _with_theta, lambda f: I.lz(f, difficulty=_B, discrimination=[1.0] * 40, theta="theta"),
-    f"""{M_EV()}, {BOUNDS}, y AS (SELECT r, CASE WHEN v > (lo + hi) / 2 THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-((r % 7 - 3) / 3.0::DOUBLE - ({_B})[i + 1]))) AS p FROM m, b),
+    "lz_given_theta", _with_theta, lambda f: I.lz(f, difficulty=_B(f.n_items), discrimination=[1.0] * f.n_items, theta="theta"),
+    f"""{M_EV()}, {BOUNDS}, y AS (SELECT r, CASE WHEN v > (lo + hi) / 2 THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-((r % 7 - 3) / 3.0::DOUBLE - (i % 5 - 2) / 2.0::DOUBLE))) AS p FROM m, b),
 s AS (SELECT r, (sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) - sum(p * ln(p) + (1 - p) * ln(1 - p))) / sqrt(sum(p * (1 - p) * pow(ln(p / (1 - p)), 2))) AS score FROM y GROUP BY r)""",
 )
 
@@ -372,10 +383,10 @@ SQL["longstring_text_avg"] = f"WITH {_RUNS} SELECT r, round(avg(n), 6) AS score
 # --- response times ---------------------------------------------------------------------------------------------------
 
 for _metric, _f in (("mean", "avg(v)"), ("median", "median(v)"), ("sd", "stddev_pop(v)"), ("min", "min(v)")):
-    score(f"response_time_{_metric}", times, lambda f, m=_metric: T.response_time(f, m), f"{M_EV(40, 't')}, {TIME(_f)}")
-score("response_time_consistency", times, T.response_time_consistency, f"{M_EV(40, 't')}, {TIME('stddev_pop(v) / nullif(avg(v), 0)')}")
-flagged("response_time_flag", times, lambda f: T.response_time(f, "median"), f"{M_EV(40, 't')}, {TIME('median(v)')}", "low")
-flagged("response_time_score_flags", times, lambda f: T.response_time(f, "mean"), f"{M_EV(40, 't')}, {TIME('avg(v)')}", "high", percentile=90.0)
+    score(f"response_time_{_metric}", times, lambda f, m=_metric: T.response_time(f, m), f"{M_EV('t')}, {TIME(_f)}")
+score("response_time_consistency", times, T.response_time_consistency, f"{M_EV('t')}, {TIME('stddev_pop(v) / nullif(avg(v), 0)')}")
+flagged("response_time_flag", times, T.response_time_flag, f"{M_EV('t')}, {TIME('median(v)')}", "low")
+flagged("response_time_score_flags", times, lambda f: T.response_time_score_flags(f.with_scores(score=_r(T.response_time(f, "mean"), 9)), cutoff_percentile=90.0, direction="high"), f"{M_EV('t')}, {TIME('avg(v)')}", "high", percentile=90.0)
 QUERIES["response_time_mixture"] = lambda s, d: T.response_time_mixture(times(s, d), random_seed=1).select(F.col("ord").alias("r"), _r(F.col("score")).alias("score"))
 
 # --- screening --------------------------------------------------------------------------------------------------------
@@ -493,7 +504,7 @@ QUERIES["composite_summary"] = _composite_summary
 SQL["composite_summary"] = _composite_sql(
     last="SELECT round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) + 0.0 AS std, round(min(c), 6) + 0.0 AS min, round(max(c), 6) + 0.0 AS max, count(*) AS n_total, count(c) AS n_valid FROM y"
 )
-QUERIES["composite_best_subset"] = lambda s, d: C.composite(ev40(s, d), method="best_subset").table.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
+QUERIES["composite_best_subset"] = lambda s, d: C.composite(ev(s, d), method="best_subset").table.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
 QUERIES["index_catalog"] = lambda s, d: R.index_catalog(s).select("index", "direction", "flag_mode", "screen_default", "composite_default", "composite_allowed", F.coalesce("composite_multiplier", F.lit(0)).alias("composite_multiplier"))
 SQL["index_catalog"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{s.name}', '{s.direction}', '{s.mode}', {s.screened}, {s.combined}, {bool(s.sign)}, CAST({s.sign} AS INT))" for s in R.INDICES.values()
