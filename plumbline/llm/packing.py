@@ -31,8 +31,8 @@ TOKENIZER = "word_bpe_49k.json"
 _CACHED, _CACHED_CHARS = 900_000, 48
 #: Between a letter and a full stop or comma, a space changes no token of this tokenizer.
 _BREAK = re.compile("[.,](?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,])")
-#: Where a full stop or comma follows another sign, with which it may share a token.
-_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]")
+#: Where a full stop or comma follows anything but an ASCII letter or digit, a Latin-1 letter or white space: it may share a token with that.
+_JOINED = re.compile("[^0-9a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff \t\n\r\x0b\x0c][.,]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
