@@ -43,9 +43,18 @@ def _replace(spark: SparkSession, table: DataFrame, metadata: dict, path: str) -
     beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
     table.write.parquet(f"{beside.toString()}/scores")
     spark.createDataFrame([(json.dumps(metadata, allow_nan=False),)], "value string").coalesce(1).write.text(f"{beside.toString()}/metadata")
-    files.delete(target, True)
+    aside = None
+    if files.exists(target):  # the old archive is there until the new one is in its place, and gives it its mode
+        files.setPermission(beside, files.getFileStatus(target).getPermission())
+        aside = jvm.org.apache.hadoop.fs.Path(f"{beside.toString()}.old")
+        if not files.rename(target, aside):
+            raise OSError(f"can't move the archive at {path}")
     if not files.rename(beside, target):
+        if aside is not None:
+            files.rename(aside, target)
         raise OSError(f"can't put the archive at {path}")
+    if aside is not None:
+        files.delete(aside, True)
 
 
 def _load(spark: SparkSession, path: str, kind: str) -> Archive:

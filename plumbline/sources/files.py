@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 import sys
 from collections.abc import Sequence
 
@@ -49,7 +50,9 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     """A frame from delimited text, gzip included; "-" reads standard input.
 
     The first rows are looked at on the driver to find delimiter and header; the rows themselves are read by the executors.
-    Columns without a header are named c0, c1, ... Rows of another width than the first, or cells that are no number, raise.
+    Columns without a header are named c0, c1, ... Rows of another width than the first, or cells that are no number, raise. Cells in
+    double quotes may hold delimiters and doubled quotes, but no line ends. The header is the first row; where a path has several files,
+    rows equal to it are headers, too.
     """
     if header not in HEADERS:
         raise ValueError("header must be auto, present or absent")
@@ -71,12 +74,19 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     for c in [*([id_column] if id_column else []), *(item_columns or ())]:
         if c not in names:
             raise ValueError(f"no column is named {c}")
+    df = lines
+    if named and len(lines.inputFiles()) > 1:
+        df = lines.filter(F.col("value") != head[0])
+    elif named:  # the first row of the first partition
+        df = lines.withColumn("_at", F.monotonically_increasing_id()).filter("_at > 0").select("value")
     if sep is None:
         cells = F.split(F.trim("value"), r"\s+")
-        df = lines.filter(F.col("value") != head[0]) if named else lines
     else:
-        df = lines.filter(F.col("value") != head[0]) if named else lines
-        cells = F.transform(F.split("value", "\\" + sep if sep in "|.;" else sep, -1), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+        mark = re.escape(sep)
+        outside = mark + '(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a delimiter with an even number of quotes after it
+        parts = F.when(F.contains("value", F.lit('"')), F.split("value", outside, -1)).otherwise(F.split("value", mark, -1))
+        bare = lambda c: F.regexp_replace(F.regexp_extract(c, '(?s)^"(.*)"$', 1), '""', '"')
+        cells = F.transform(parts, lambda c: F.when(F.trim(c).rlike('(?s)^".*"$'), bare(F.trim(c))).otherwise(F.trim(c)))
     cells = F.when(F.size(cells) == len(names), cells).otherwise(F.raise_error(f"a row doesn't have {len(names)} cells"))
     df = df.select(cells.alias("_c"))
     df = df.select(*[F.get("_c", F.lit(k)).alias(n) for k, n in enumerate(names)])

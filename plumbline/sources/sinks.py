@@ -31,15 +31,16 @@ def _json_value(v):
 
 
 def json_pieces(table: DataFrame, metadata: dict) -> Iterator[str]:
-    """One JSON object: the metadata and an array for each column, streamed column by column from the executors."""
+    """One JSON object: the metadata and an array for each column, streamed column by column from the executors, which sort once."""
     head = json.dumps({k: _json_value(v) for k, v in metadata.items()}, allow_nan=False, default=lambda o: {k: _json_value(v) for k, v in dict(o).items()})
     yield head[:-1] + (", " if metadata else "") + '"columns": {'
-    ordered = table.orderBy("ord") if "ord" in table.columns else table
+    ordered = (table.orderBy("ord") if "ord" in table.columns else table).persist()
     for n, name in enumerate(table.columns):
         yield (", " if n else "") + json.dumps(name) + ": ["
         for k, row in enumerate(ordered.select(f"`{name}`").toLocalIterator()):
             yield (", " if k else "") + json.dumps(_json_value(row[0]), allow_nan=False, default=str)
         yield "]"
+    ordered.unpersist()
     yield "}}\n"
 
 

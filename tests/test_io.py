@@ -117,3 +117,28 @@ def test_plots_say_what_they_need(frame):
     except ImportError:
         with pytest.raises(RuntimeError):
             plots.plot_flag_counts(r)
+
+
+def test_quotes_and_header_by_place(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,q1,q2\n"Doe, J",1,2\n"O""Brien",3,"4"\n')
+    f = files.read_delimited(spark, str(tmp_path / "a.csv"), id_column="id")
+    assert rows(f) == [[1.0, 2.0], [3.0, 4.0]]
+    assert [r[0] for r in f.df.orderBy("ord").select("respondent_id").collect()] == ["Doe, J", 'O"Brien']
+    (tmp_path / "b.csv").write_text("1,2\n3,4\n1,2\n")  # said to be a header: one row of that text goes, not both
+    assert rows(files.read_delimited(spark, str(tmp_path / "b.csv"), header="present")) == [[3.0, 4.0], [1.0, 2.0]]
+    (tmp_path / "c").mkdir()
+    for k in range(2):
+        (tmp_path / "c" / f"{k}.csv").write_text(f"x|y\n{k}|2\n")
+    assert sorted(rows(files.read_delimited(spark, str(tmp_path / "c"), delimiter="|"))) == [[0.0, 2.0], [1.0, 2.0]]
+
+
+def test_archive_replacement_keeps_the_mode_and_the_old_one_on_failure(spark, frame, tmp_path):
+    import os
+
+    f = frame([[1, 2, 3], [2, 2, 2]], ids=["a", "b"])
+    r, path = S.screen(f, ["irv"]), str(tmp_path / "scores")
+    archive.save_score_archive(r.table, path)
+    os.chmod(path, 0o750)
+    archive.save_score_archive(r.table, path)
+    assert os.stat(path).st_mode & 0o777 == 0o750
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["scores"]
