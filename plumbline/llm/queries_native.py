@@ -68,7 +68,7 @@ def _op7_sql() -> str:
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{says}' ELSE {verdict} END"
     bare = rf"list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(regexp_replace(s, '\.[a-z]{{1,5}}$', ''), '{u.VARIABLE}') THEN '*' ELSE s END)"
     steps, before = [], "s0"
-    for k in range(u.DEPTH):
+    for k in range(u.DEPTH + 1):
         steps.append(f"""
 c{k} AS (SELECT host, tpl, b[{k + 2}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM {before} GROUP BY ALL),
 p{k} AS (SELECT host, tpl, count(*) AS kids, sum(n) AS n_all, sum(lab) AS lab_all, sum(bad) AS bad_all FROM c{k} GROUP BY ALL),
@@ -86,10 +86,12 @@ u1 AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u0),
 u2 AS (SELECT *, {rule} AS rule, {verdict} AS said, {bare} AS parts FROM u1),
-u3 AS (SELECT *, [''] || list_transform(range(2, {u.DEPTH + 2}), lambda k: coalesce(parts[k], '')) || [CASE WHEN len(parts) > {u.DEPTH + 1} THEN '**' ELSE '' END] AS b FROM u2),
+u3 AS (SELECT *, [''] || list_transform(range(2, {u.DEPTH + 2}), lambda k: coalesce(parts[k], '')) || [array_to_string(parts[{u.DEPTH + 2}:], '/')] AS b FROM u2),
 s0 AS (SELECT host, b, count(*) AS n, count(said) AS lab, count(*) FILTER (said = 'block') AS bad, '' AS tpl FROM u3 GROUP BY host, b),{''.join(steps)}
-f AS (SELECT *, tpl || '/' || b[{u.DEPTH + 2}] AS t FROM {before}),
-y AS (SELECT host, t, (sum(bad) + {u.PRIOR * u.WEIGHT}) / (sum(lab) + {u.WEIGHT}) AS purity FROM f GROUP BY host, t)
+f AS (SELECT *, tpl AS t FROM {before}),
+o AS (SELECT host, t, sum(bad) AS bad, sum(lab) AS lab FROM f GROUP BY host, t),
+e AS (SELECT t, (sum(bad) + {u.PRIOR * u.WEIGHT}) / (sum(lab) + {u.WEIGHT}) AS anywhere FROM o GROUP BY t),
+y AS (SELECT host, o.t AS t, (bad + anywhere * {u.WEIGHT}) / (lab + {u.WEIGHT}) AS purity FROM o JOIN e ON o.t = e.t)
 SELECT page_id, u3.host AS host, path, rule, coalesce(said, CASE WHEN purity >= {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM u3 JOIN f ON u3.host = f.host AND u3.b = f.b JOIN y ON f.host = y.host AND f.t = y.t
 """

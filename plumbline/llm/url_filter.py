@@ -3,15 +3,17 @@
 Templates: every path is cut into segments; segments that are numbers, hashes or dates become wildcards at once. Then, level by
 level and per host, a child becomes a wildcard if it is one of many rare children of its node, or if its labelled share of bad
 pages is statistically the same as that of its labelled siblings. Pages of equal template are one branch. A template is
-rejected if its smoothed share of bad pages among its labelled pages reaches the threshold. Labels come from a column of the
-input or, by default, from the rules' own verdicts.
+rejected if its smoothed share of bad pages among its labelled pages reaches the threshold. It is smoothed towards the share that the
+same template has on all hosts together, itself smoothed towards PRIOR, so hosts without labels are judged by what their templates
+mean elsewhere. Labels come from a column of the input or, by default, from the rules' own verdicts.
 
 All steps pre-aggregate: the tree is built from counts per distinct host and template, not from pages, and a large host is
 spread by its templates. No user functions.
 
 Defined cases: a null url or one without ``://`` has empty host and path and takes part as the empty host's root template;
-repeated rows are judged alike; among rules of equal length the first listed wins; an empty table gives an empty table; paths
-deeper than DEPTH segments share one tail wildcard below that depth. Working columns carry a leading ``_u_``.
+repeated rows are judged alike; among rules of equal length the first listed wins; an empty table gives an empty table; what a path
+has below DEPTH segments counts as one last segment, whole; columns of pages named like a column that is made give way. Working
+columns carry a leading ``_u_``.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 
 def segments_of(path: Column) -> Column:
-    """DEPTH strings: the path's segments, variable ones as ``*``, missing ones empty, all deeper ones as one ``**``."""
+    """DEPTH + 1 strings: the path's segments, variable ones as ``*``, missing ones empty, and all deeper ones joined."""
     parts = F.split(path, "/")
     bare = F.transform(
         parts,
@@ -59,7 +61,7 @@ def segments_of(path: Column) -> Column:
     )
     return F.array(
         *[F.coalesce(F.get(bare, F.lit(k + 1)), F.lit("")) for k in range(DEPTH)],
-        F.when(F.size(parts) > DEPTH + 1, F.lit("**")).otherwise(F.lit("")),
+        F.array_join(F.slice(bare, DEPTH + 2, F.greatest(F.size(parts), F.lit(1))), "/"),
     )
 
 
@@ -73,7 +75,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
     )
     df = materialise(df.withColumn("_u_template", F.lit("")), "templates")
     sums = [F.sum(c).alias(c) for c in ("_u_n", "_u_labelled", "_u_bad")]
-    for level in range(DEPTH):
+    for level in range(DEPTH + 1):
         df = df.withColumn("_u_segment", F.get("_u_segments", F.lit(level)))
         children = df.groupBy("_u_host", "_u_template", "_u_segment").agg(*sums)
         node = children.groupBy("_u_host", "_u_template").agg(
@@ -91,10 +93,12 @@ def template_tree(pages: DataFrame) -> DataFrame:
         df = df.join(said, ["_u_host", "_u_template", "_u_segment"])
         df = df.withColumn("_u_template", F.concat("_u_template", F.lit("/"), "_u_step")).drop("_u_step", "_u_segment")
         df = materialise(df, "templates")  # each level reads the one before three times
-    df = df.withColumn("_u_template", F.concat("_u_template", F.lit("/"), F.get("_u_segments", F.lit(DEPTH))))
-    purity = df.groupBy("_u_host", "_u_template").agg(
-        ((F.sum("_u_bad") + F.lit(PRIOR * WEIGHT)) / (F.sum("_u_labelled") + F.lit(WEIGHT))).alias("_u_purity")
+    own = df.groupBy("_u_host", "_u_template").agg(F.sum("_u_bad").alias("_u_bad"), F.sum("_u_labelled").alias("_u_labelled"))
+    anywhere = own.groupBy("_u_template").agg(
+        ((F.sum("_u_bad") + F.lit(PRIOR * WEIGHT)) / (F.sum("_u_labelled") + F.lit(WEIGHT))).alias("_u_anywhere")
     )
+    smoothed = (F.col("_u_bad") + F.col("_u_anywhere") * F.lit(WEIGHT)) / (F.col("_u_labelled") + F.lit(WEIGHT))
+    purity = own.join(anywhere, "_u_template").select("_u_host", "_u_template", smoothed.alias("_u_purity"))
     return df.select("_u_host", "_u_segments", "_u_template").join(purity, ["_u_host", "_u_template"])
 
 
