@@ -1,13 +1,19 @@
 """Lexical retrieval packing: each window is seeded by a document and filled with its nearest unused neighbours by BM25.
 
-Documents are dealt into shards by a hash of their row number, sized by bytes, so that no key or source decides a shard's size. A
-shard tokenises its documents, cuts what exceeds WINDOW tokens into full sequences, and builds an inverted BM25 index over the
-remainders. Seeds are taken from the longest down. A seed's rarest terms are looked up, and its unused neighbours fill the
-window greedily, best first; the last to be taken is cut where the window ends, and what is left of it stays in the pool. So all
-sequences but a shard's last few are full; those are split into powers of two, which need no padding.
+Documents are tokenised once, where they lie. What fills whole windows is cut off there; the remainders, of less than a window each,
+are stored with their ids, and the number of remainders that hold each token is counted over the whole corpus: as many figures as
+the tokenizer has tokens, whatever the corpus. Each remainder is then keyed by the KEYS tokens that a weighted min-hash picks, a token
+the likelier the higher its inverse document frequency, and the remainders are range-partitioned and sorted by these keys, the row
+last. So remainders that share rare tokens lie side by side whatever the corpus's size, and a crowd of copies is dealt over as
+many partitions as it needs.
+
+A partition is read as a stream and cut into shards of about SHARD_BYTES. A shard builds an inverted BM25 index over its remainders,
+with the frequencies of the whole corpus. Seeds are taken from the longest down. A seed's rarest terms are looked up, and its unused
+neighbours fill the window greedily, best first; the last to be taken is cut where the window ends, and what is left of it stays in
+the pool. So all sequences but a shard's last few are full; those are split into powers of two, which need no padding.
 
 Defined cases: a null text is empty, and an empty text is the end token alone; documents of any length are cut, each token lies
-in one piece; equal scores are taken in the order of the rows; repeated rows are packed each on its own; a null doc_id stays
+in one piece; equal scores are taken in the order of the shard; repeated rows are packed each on its own; a null doc_id stays
 null; an empty table gives an empty table. Working columns carry a leading ``_p_``.
 """
 
@@ -17,15 +23,21 @@ import json
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW, END, SHARD_BYTES = 4096, 2, 8_000_000
+#: Tokens of a remainder that say where it is dealt, most telling first.
+KEYS = 4
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
 TOKENIZER = "word_bpe_49k.json"
 _CACHED, _CACHED_CHARS = 900_000, 48
@@ -187,23 +199,33 @@ class Encoder:
         return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
 
 
+def _idf(df: np.ndarray, pieces: int) -> np.ndarray:
+    return np.log1p((pieces - df + 0.5) / (df + 0.5))
+
+
+def _telling(df: np.ndarray, pieces: int) -> np.ndarray:
+    return (df >= 2) & (df <= max(2, COMMON * pieces))
+
+
 class Index:
-    """BM25 over the pieces of a shard; terms in more than COMMON of the pieces aren't indexed."""
+    """BM25 over the pieces of a shard; terms in more than COMMON of all pieces, or in one alone, aren't indexed.
 
-    def __init__(self, pieces: list[np.ndarray]):
+    `known` is the number of pieces that hold each token, of how many pieces, and their mean length; by default those of `pieces`.
+    """
+
+    def __init__(self, pieces: list[np.ndarray], known: tuple[np.ndarray, int, float] | None = None):
         n = len(pieces)
         sizes = np.array([len(p) for p in pieces])
         tokens = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
         key, tf = np.unique(tokens * n + np.repeat(np.arange(n), sizes), return_counts=True)
         term, piece = key // max(n, 1), key % max(n, 1)
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.first, self.df = first, df
-        self.idf = np.where(df > max(2, COMMON * n), 0, idf)
-        self.idf[df < 2] = 0
+        self.terms, first, here = np.unique(term, return_index=True, return_counts=True)
+        df, of, mean = (known[0][self.terms], known[1], known[2]) if known else (here, n, sizes.mean() if n else 1)
+        self.first, self.df = first, here
+        self.idf = np.where(_telling(df, of), _idf(df, of), 0)
         self.piece = piece
-        per = np.repeat(np.arange(len(self.terms)), df)
-        norm = tf + K1 * (1 - B + B * sizes[piece] / max(sizes.mean() if n else 1, 1))
+        per = np.repeat(np.arange(len(self.terms)), here)
+        norm = tf + K1 * (1 - B + B * sizes[piece] / max(mean, 1))
         self.weight = (self.idf[per] * tf * (K1 + 1) / norm).astype(np.float32)
         order = np.argsort(piece, kind="stable")  # the terms of each piece
         self.of_piece, self.tf = per[order], tf[order]
@@ -273,50 +295,120 @@ def fill(sizes: list[int], index: Index, window: int = WINDOW) -> list[list[tupl
     return done
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length)."""
-    done, rest = [], []
-    for d, x in enumerate(ids):
-        whole = len(x) // window * window
-        done += [[(d, a, window)] for a in range(0, whole, window)]
-        if whole < len(x):
-            rest.append((d, whole))
-    index = Index([ids[d][a:] for d, a in rest])
-    for s in fill([len(ids[d]) - a for d, a in rest], index, window):
-        done.append([(rest[i][0], rest[i][1] + a, k) for i, a, k in s])
-    return done
+def picks(df: np.ndarray, pieces: int) -> np.ndarray:
+    """The place of each token in the order in which a weighted min-hash picks them: by an exponential variable whose rate is the inverse
+    document frequency. Tokens that tell nothing share the last place."""
+    uniform = (pd.util.hash_array(np.arange(len(df), dtype=np.uint64)) >> np.uint64(11)).astype(float) / 2**53
+    telling = _telling(df, pieces)
+    late = np.where(telling, -np.log(uniform + 2.0**-54) / _idf(df, pieces), np.inf)
+    place = np.empty(len(df), np.int32)
+    place[np.argsort(late, kind="stable")] = np.arange(len(df))
+    place[~telling] = len(df)
+    return place
+
+
+def keys_of(ids: list[bytes], place: np.ndarray) -> list[np.ndarray]:
+    """The KEYS first places among the tokens of each piece, lowest first; len(place) where there are no more."""
+    if not ids:
+        return [np.zeros(0, np.int32)] * KEYS
+    sizes = np.array([len(x) // 4 for x in ids])
+    at, out = place[np.frombuffer(b"".join(ids), "<u4")], []
+    for _ in range(KEYS):
+        out.append(np.minimum.reduceat(at, np.cumsum(sizes) - sizes))
+        at = np.where(at == np.repeat(out[-1], sizes), np.int32(len(place)), at)
+    return out
 
 
 _COLUMNS = "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+_NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 _SHARED: dict[str, Encoder] = {}
 
 
-def _packer(path: str | None, window: int, end: int, with_ids: bool):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
+    """Whole windows as finished pieces; remainders without a sequence, with their ids; at last, the remainders that hold each token."""
+
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _SHARED.setdefault(path or "", None) or Encoder(path)
         _SHARED[path or ""] = encoder
-        pdf = pdf.sort_values("_p_row", kind="stable")
-        shard, texts, docs = int(pdf["_p_shard"].iloc[0]), pdf["text"].tolist(), pdf["doc_id"].tolist()
-        ids: list[np.ndarray] = []
-        for k in range(0, len(texts), 500):
-            ids += [np.append(np.frombuffer(x, "<u4"), np.uint32(end)).astype("<u4") for x in encoder.encode_all(texts[k : k + 500])]
-        out = []
-        for s, parts in enumerate(pack_shard(ids, window)):
-            offset = 0
-            for d, a, k in parts:
-                raw = ids[d][a : a + k].tobytes()
-                out.append((docs[d], a, k, zlib.crc32(raw), len(ids[d]), (shard << 32) + s, offset, *([raw] if with_ids else [])))
-                offset += k
-        return pd.DataFrame(out, columns=[*(c.split()[0] for c in _COLUMNS.split(", ")), *(["ids"] if with_ids else [])])
+        task, done = TaskContext.get().partitionId(), 0
+        held = np.zeros(0, np.int64)
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):
+                docs, texts, rows = (pdf[c].iloc[k : k + 500].tolist() for c in ("doc_id", "text", "_p_row"))
+                out = []
+                for doc, row, raw in zip(docs, rows, encoder.encode_all(texts), strict=True):
+                    raw += end.to_bytes(4, "little")
+                    n = len(raw) // 4
+                    for a in range(0, n, window):
+                        piece = raw[4 * a : 4 * (a + window)]
+                        whole = len(piece) == 4 * window
+                        out.append((doc, a, len(piece) // 4, zlib.crc32(piece), n, 2 * ((task << 32) + done) if whole else None, 0, None if whole and not with_ids else piece, row, None))
+                        done += whole
+                rest = [np.unique(np.frombuffer(x[7], "<u4")) for x in out if x[5] is None]
+                if rest:
+                    seen = np.bincount(np.concatenate(rest))
+                    held = np.pad(held, (0, max(0, len(seen) - len(held))))
+                    held[: len(seen)] += seen
+                df = pd.DataFrame(out, columns=[*_NAMES, "ids", "_p_row", "_p_held"])
+                yield df.astype({"sequence_id": "Int64"})
+        if len(held):
+            yield pd.DataFrame([(None,) * 9 + (held,)], columns=[*_NAMES, "ids", "_p_row", "_p_held"])
+
+    return tokenise
+
+
+def _packer(known: tuple[np.ndarray, int, float], window: int, shard_bytes: int, with_ids: bool):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, done = TaskContext.get().partitionId(), 0
+
+        def shard(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal done
+            docs, starts, tokens, ids = (rows[c].tolist() for c in ("doc_id", "start", "doc_tokens", "ids"))
+            index, out = Index([np.frombuffer(x, "<u4") for x in ids], known), []
+            for parts in fill([len(x) // 4 for x in ids], index, window):
+                offset = 0
+                for i, a, k in parts:
+                    raw = ids[i][4 * a : 4 * (a + k)]
+                    out.append((docs[i], starts[i] + a, k, zlib.crc32(raw), tokens[i], 2 * ((task << 32) + done) + 1, offset, *([raw] if with_ids else [])))
+                    offset += k
+                done += 1
+            return pd.DataFrame(out, columns=[*_NAMES, *(["ids"] if with_ids else [])])
+
+        held, size = [], 0
+        for pdf in batches:
+            place = (size + pdf["ids"].str.len().cumsum()) // shard_bytes
+            for k, rows in pdf.groupby(place, sort=True):
+                if k and held:
+                    yield shard(pd.concat(held))
+                    held = []
+                held.append(rows)
+            size = (size + int(pdf["ids"].str.len().sum())) % shard_bytes
+        if held:
+            yield shard(pd.concat(held))
 
     return pack
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids (binary)."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    df = docs.select(F.monotonically_increasing_id().alias("_p_row"), F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    df = df.withColumn("_p_shard", F.pmod(F.xxhash64("_p_row"), F.lit(shards)))
-    out = df.groupBy("_p_shard").applyInPandas(_packer(tokenizer, window, end, with_ids), _COLUMNS + (", ids binary" if with_ids else ""))
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
+    df = docs.select(F.monotonically_increasing_id().alias("_p_row"), F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = _COLUMNS + ", ids binary, _p_row bigint, _p_held array<bigint>"
+    stored = materialise(df.mapInPandas(_tokeniser(tokenizer, window, end, with_ids), schema), "tokens")
+    rest = stored.filter("sequence_id IS NULL AND _p_held IS NULL")
+    pieces, tokens = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
+    # As many rows as the tokenizer has tokens.
+    counts = stored.filter("_p_held IS NOT NULL").select(F.posexplode("_p_held").alias("token", "n")).groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)
+    held[counts["token"]] = counts["n"]
+    place = picks(held, pieces)
+
+    @F.pandas_udf("array<int>")
+    def keyed(ids: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(keys_of(ids.tolist(), place), axis=1)))
+
+    rest = rest.select("doc_id", "start", "doc_tokens", "ids", "_p_row", keyed("ids").alias("_p_keys"))
+    order = [*(F.col("_p_keys")[k] for k in range(KEYS)), F.col("_p_row")]
+    rest = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
+    out = rest.mapInPandas(_packer((held, pieces, (tokens or 0) / max(pieces, 1)), window, shard_bytes, with_ids), _COLUMNS + (", ids binary" if with_ids else ""))
+    whole = stored.filter("sequence_id IS NOT NULL").select(*out.columns)
+    return whole.unionAll(out).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -216,6 +216,40 @@ def test_neighbours_are_those_of_brute_force_bm25():
         assert set(got) == set(np.nonzero(score)[0]) and (np.diff(score[got]) < 1e-5).all()
 
 
+def test_keys_are_the_first_places_among_a_pieces_tokens():
+    rng = np.random.default_rng(1)
+    pieces = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(50)]
+    df = np.array([sum(t in p for p in pieces) for t in range(60)])
+    df[3] = 1
+    place = packing.picks(df, len(pieces))
+    telling = [t for t in range(60) if 2 <= df[t] <= max(2, packing.COMMON * len(pieces))]
+    assert sorted(place[telling]) == list(range(len(telling))) and (np.delete(place, telling) == 60).all()
+    keys = np.stack(packing.keys_of([p.tobytes() for p in pieces], place), axis=1)
+    for p, k in zip(pieces, keys, strict=True):
+        want = sorted({int(place[t]) for t in p if t in telling})[: packing.KEYS]
+        assert list(k) == want + [60] * (packing.KEYS - len(want))
+
+
+def test_index_with_frequencies_of_the_whole_corpus():
+    rng = np.random.default_rng(2)
+    pieces = [rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint32) for _ in range(40)]
+    df = np.array([sum(t in p for p in pieces) for t in range(60)])
+    alone, told = packing.Index(pieces), packing.Index(pieces, (df, 40, np.mean([len(p) for p in pieces])))
+    assert np.allclose(alone.weight, told.weight) and (alone.idf == told.idf).all()
+    half = packing.Index(pieces[:20], (df, 40, 20.0))
+    assert (half.idf == told.idf[np.isin(told.terms, half.terms)]).all()
+
+
+def test_copies_share_sequences_whatever_lies_between(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(150))
+    twins = [text() for _ in range(12)]
+    texts = twins + [text() for _ in range(150)] + twins
+    rows = packing.pack(docs_of(spark, texts, tmp_path), shard_bytes=40_000, with_ids=False).toPandas()
+    of = rows.groupby("doc_id")["sequence_id"].agg(set)
+    assert sum(bool(of[i] & of[162 + i]) for i in range(12)) >= 10
+
+
 # --- archives ---------------------------------------------------------------------------------------------------------
 
 
