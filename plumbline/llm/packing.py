@@ -2,9 +2,9 @@
 
 Documents are tokenised once, where they lie. What fills whole windows is cut off there; the remainders, of less than a window each,
 are stored with their ids, and the number of remainders that hold each token is counted over the whole corpus: as many figures as
-the tokenizer has tokens, whatever the corpus. Each remainder is then keyed by the KEYS tokens that a weighted min-hash picks, a token
-the likelier the higher its inverse document frequency, and the remainders are range-partitioned and sorted by these keys, the row
-last. So remainders that share rare tokens lie side by side whatever the corpus's size, and a crowd of copies is dealt over as
+the tokenizer has tokens, whatever the corpus. Each remainder is keyed by the KEYS tokens that a weighted min-hash picks, a token
+the likelier the later the tokenizer learnt it (frequent ones come first), and the remainders are range-partitioned and sorted by
+these keys, the row last. So remainders that share rare tokens lie side by side whatever the corpus's size, and a crowd of copies is dealt over as
 many partitions as it needs.
 
 A partition is read as a stream and cut into shards of about SHARD_BYTES. A shard builds an inverted BM25 index over its remainders,
@@ -29,6 +29,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.merger = Merger(path or tokenizer_path())
+        self.tokens = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
@@ -295,15 +297,11 @@ def fill(sizes: list[int], index: Index, window: int = WINDOW) -> list[list[tupl
     return done
 
 
-def picks(df: np.ndarray, pieces: int) -> np.ndarray:
-    """The place of each token in the order in which a weighted min-hash picks them: by an exponential variable whose rate is the inverse
-    document frequency. Tokens that tell nothing share the last place."""
-    uniform = (pd.util.hash_array(np.arange(len(df), dtype=np.uint64)) >> np.uint64(11)).astype(float) / 2**53
-    telling = _telling(df, pieces)
-    late = np.where(telling, -np.log(uniform + 2.0**-54) / _idf(df, pieces), np.inf)
-    place = np.empty(len(df), np.int32)
-    place[np.argsort(late, kind="stable")] = np.arange(len(df))
-    place[~telling] = len(df)
+def picks(tokens: int) -> np.ndarray:
+    """The place of each token in the order in which a weighted min-hash picks them: by an exponential variable whose rate is the token's id."""
+    uniform = (pd.util.hash_array(np.arange(tokens, dtype=np.uint64)) >> np.uint64(11)).astype(float) / 2**53
+    place = np.empty(tokens, np.int32)
+    place[np.argsort(-np.log(uniform + 2.0**-54) / np.arange(1, tokens + 1), kind="stable")] = np.arange(tokens)
     return place
 
 
@@ -324,35 +322,47 @@ _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 _SHARED: dict[str, Encoder] = {}
 
 
+_STORED = pa.schema(
+    [(n, pa.string() if n == "doc_id" else pa.int64()) for n in _NAMES]
+    + [("ids", pa.binary()), ("_p_row", pa.int64()), ("_p_held", pa.list_(pa.int64()))]
+    + [(f"_p_key{k}", pa.int32()) for k in range(KEYS)]
+)
+
+
 def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
     """Whole windows as finished pieces; remainders without a sequence, with their ids; at last, the remainders that hold each token."""
 
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _SHARED.setdefault(path or "", None) or Encoder(path)
         _SHARED[path or ""] = encoder
-        task, done = TaskContext.get().partitionId(), 0
-        held = np.zeros(0, np.int64)
-        for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                docs, texts, rows = (pdf[c].iloc[k : k + 500].tolist() for c in ("doc_id", "text", "_p_row"))
-                out = []
-                for doc, row, raw in zip(docs, rows, encoder.encode_all(texts), strict=True):
-                    raw += end.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    for a in range(0, n, window):
-                        piece = raw[4 * a : 4 * (a + window)]
-                        whole = len(piece) == 4 * window
-                        out.append((doc, a, len(piece) // 4, zlib.crc32(piece), n, 2 * ((task << 32) + done) if whole else None, 0, None if whole and not with_ids else piece, row, None))
-                        done += whole
-                rest = [np.unique(np.frombuffer(x[7], "<u4")) for x in out if x[5] is None]
-                if rest:
-                    seen = np.bincount(np.concatenate(rest))
-                    held = np.pad(held, (0, max(0, len(seen) - len(held))))
-                    held[: len(seen)] += seen
-                df = pd.DataFrame(out, columns=[*_NAMES, "ids", "_p_row", "_p_held"])
-                yield df.astype({"sequence_id": "Int64"})
-        if len(held):
-            yield pd.DataFrame([(None,) * 9 + (held,)], columns=[*_NAMES, "ids", "_p_row", "_p_held"])
+        task, done, last = TaskContext.get().partitionId(), 0, end.to_bytes(4, "little")
+        tokens = max(encoder.tokens, end + 1)
+        place, held, seen = picks(tokens), np.zeros(tokens, np.int64), np.zeros(tokens, np.int64)
+        for k in (k for batch in batches for k in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500))):
+            rows, docs, texts = (k.column(c).to_pylist() for c in ("_p_row", "doc_id", "text"))
+            whole, rest = [], []
+            for doc, row, raw in zip(docs, rows, encoder.encode_all(texts), strict=True):
+                raw += last
+                n = len(raw) // 4
+                for a in range(0, n - window + 1, window):
+                    piece = raw[4 * a : 4 * (a + window)]
+                    whole.append((doc, a, window, zlib.crc32(piece), n, 2 * ((task << 32) + done), 0, piece if with_ids else None, row))
+                    done += 1
+                if n % window:
+                    rest.append((doc, n - n % window, n % window, None, n, None, None, raw[4 * (n - n % window) :], row))
+            ids = [r[7] for r in rest]
+            once = [np.zeros(0, np.int64)]
+            for x in ids:  # each token of a remainder once, where it stands last
+                t = np.frombuffer(x, "<u4")
+                at = np.arange(len(t))
+                seen[t] = at
+                once.append(t[seen[t] == at])
+            held += np.bincount(np.concatenate(once), minlength=tokens)
+            columns = list(zip(*whole, *rest, strict=True)) if whole or rest else []
+            keys = [[None] * len(whole) + x.tolist() for x in keys_of(ids, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [None] * len(columns[0]), *keys], _STORED, strict=True)], schema=_STORED)
+        if held.any():
+            yield pa.RecordBatch.from_pylist([{"_p_held": held}], schema=_STORED)
 
     return tokenise
 
@@ -392,22 +402,16 @@ def _packer(known: tuple[np.ndarray, int, float], window: int, shard_bytes: int,
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids (binary)."""
     df = docs.select(F.monotonically_increasing_id().alias("_p_row"), F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = _COLUMNS + ", ids binary, _p_row bigint, _p_held array<bigint>"
-    stored = materialise(df.mapInPandas(_tokeniser(tokenizer, window, end, with_ids), schema), "tokens")
+    schema = _COLUMNS + ", ids binary, _p_row bigint, _p_held array<bigint>" + "".join(f", _p_key{k} int" for k in range(KEYS))
+    stored = materialise(df.mapInArrow(_tokeniser(tokenizer, window, end, with_ids), schema), "tokens")
     rest = stored.filter("sequence_id IS NULL AND _p_held IS NULL")
     pieces, tokens = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
     # As many rows as the tokenizer has tokens.
     counts = stored.filter("_p_held IS NOT NULL").select(F.posexplode("_p_held").alias("token", "n")).groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     held = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)
     held[counts["token"]] = counts["n"]
-    place = picks(held, pieces)
-
-    @F.pandas_udf("array<int>")
-    def keyed(ids: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(keys_of(ids.tolist(), place), axis=1)))
-
-    rest = rest.select("doc_id", "start", "doc_tokens", "ids", "_p_row", keyed("ids").alias("_p_keys"))
-    order = [*(F.col("_p_keys")[k] for k in range(KEYS)), F.col("_p_row")]
+    order = [*(f"_p_key{k}" for k in range(KEYS)), "_p_row"]
+    rest = rest.select("doc_id", "start", "doc_tokens", "ids", *order)
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
     out = rest.mapInPandas(_packer((held, pieces, (tokens or 0) / max(pieces, 1)), window, shard_bytes, with_ids), _COLUMNS + (", ids binary" if with_ids else ""))
     whole = stored.filter("sequence_id IS NOT NULL").select(*out.columns)
