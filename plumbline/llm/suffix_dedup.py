@@ -6,8 +6,9 @@ Every string of LENGTH bytes that starts at two places anywhere is found, and th
    in a row with one minimizer form a segment of at most 2 * LENGTH - GRAM bytes. Equal windows have equal keys, so only segments
    that share a key need meet. Equal segments (64-bit hash, within a key) are collapsed into one with a count before anything is gathered;
    keys that are met once are dropped. A key with more than HOT bytes of different segments is dealt again by three minimizers
-   (of the whole window under another hash, of its first and of its last quarter). Where repeated windows of fewer bytes are known,
-   only what they cover is looked at: each window of LENGTH bytes that is found twice consists of them.
+   (of the whole window, of its first and of its last quarter), under another hash each time, up to LEVELS - 1 times; what is still
+   hot then is dealt by its windows themselves, so that no key gathers more than copies of one. Where repeated windows of fewer bytes
+   are known, only what they cover is looked at: each window of LENGTH bytes that is found twice consists of them.
 2. Construction. In each task, the segments of whole keys form collections of about CHUNK bytes. A segment stands for WORD
    documents, one for each phase, whose symbols are the hashes of its WORD-byte words: a suffix of whole words for every byte.
    Each round inserts one symbol per document, from the right: a new suffix's place follows from its symbol and the place of the
@@ -40,7 +41,7 @@ from .common import discard, materialise, release
 LENGTH, GRAM, WORD = 400, 48, 100
 #: Below the bytes of passages of 50 words of running text.
 PASSAGE = 200
-CHUNK, HOT, BLOCK = 3_000_000, 2_000_000, 1 << 20
+CHUNK, HOT, LEVELS, BLOCK = 3_000_000, 1_000_000, 4, 1 << 20
 #: Texts are looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -108,17 +109,22 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
             yield h[m[start]], start + at, n
 
 
-def finer(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for a segment of a hot key, by three minimizers."""
-    h = rolling(np.frombuffer(data, np.uint8), gram)
-    other = (h ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
-    other ^= other >> np.uint64(31)
+def finer(data: bytes, old: int, level: int, length: int = LENGTH, gram: int = GRAM, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a segment of the hot key `old`, by three minimizers; at the last level every window is a segment of its own."""
+    view = np.frombuffer(data, np.uint8)
     n, quarter = len(data) - length + 1, length // 4
+    before = np.uint64(old * int(_P) & (2**64 - 1))
+    if level >= levels:
+        return before ^ rolling(view, length), np.arange(n), np.ones(n, np.int64)
+    h = rolling(view, gram)
+    other = (h ^ _TABLE[level]) * _TABLE[level + 16]
+    other ^= other >> np.uint64(31)
+    inner = h if level == 1 else other
     a = minimizers(other, length - gram + 1)
-    ends = minimizers(h, quarter - gram + 1)
+    ends = minimizers(inner, quarter - gram + 1)
     b, c = ends[:n], ends[length - quarter : length - quarter + n]
     start, count = _runs(a, b, c)
-    key = (other[a[start]] * _P + h[b[start]]) * _P + h[c[start]]
+    key = ((before ^ other[a[start]]) * _P + inner[b[start]]) * _P + inner[c[start]]
     return key ^ (key >> np.uint64(31)), start, count
 
 
@@ -175,7 +181,7 @@ def _joined(ranges, length: int) -> list[tuple[int, int]]:
     return [(a, b + length) for a, b in out]
 
 
-def _refiner(length: int, gram: int):
+def _refiner(length: int, gram: int, level: int, levels: int):
     """Occurrences of hot keys (_x_row, text, parts) to those of finer keys."""
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +190,7 @@ def _refiner(length: int, gram: int):
                 data, rows = _bytes(text), []
                 for p in parts:
                     piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
-                    key, start, n = finer(piece, length, gram)
+                    key, start, n = finer(piece, p["key"], level, length, gram, levels)
                     rows.append((row, key, _names(piece, start, n, length), start + p["start"], n))
                 yield _table(rows)
 
@@ -398,7 +404,7 @@ def _contents(occurrences: DataFrame, length: int) -> DataFrame:
     return found.join(keys.filter("all > 1").drop("all"), "key")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word: int = WORD, chunk: int = CHUNK, hot: int = HOT, within: DataFrame | None = None, inner: int = 0) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word: int = WORD, chunk: int = CHUNK, hot: int = HOT, levels: int = LEVELS, within: DataFrame | None = None, inner: int = 0) -> DataFrame:
     """_x_row, ranges (array of first and last start of repeated windows); docs has _x_row and text.
 
     within: what this function gave for the same docs and the smaller length `inner`.
@@ -417,11 +423,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
     release(spark)
     contents = materialise(_contents(occurrences, length), "contents")
     release(spark)
-    large = contents.filter((F.col("size") > hot) & (F.col("different") > 1))
-    if not large.isEmpty():
+    for level in range(1, levels + 1):
+        large = contents.filter((F.col("size") > hot) & (F.col("different") > 1))
+        if large.isEmpty():
+            break
         keys = large.select("key").distinct()
         parts = _parts(occurrences.join(keys, "key", "left_semi"))
-        again = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_refiner(length, gram), _OCCURRENCE)
+        again = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_refiner(length, gram, level, levels), _OCCURRENCE)
         finer_ones = materialise(occurrences.join(keys, "key", "left_anti").select(*again.columns).union(again), "segments")
         discard(occurrences)
         discard(contents)

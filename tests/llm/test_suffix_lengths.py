@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -29,8 +30,8 @@ def slow(texts, length):
     return data, out
 
 
-@pytest.mark.parametrize("hot", [2_000, 600_000])
-def test_two_lengths(spark, hot):
+@pytest.mark.parametrize(("hot", "levels"), [(2_000, 4), (600_000, 4), (1_000, 1), (1_000, 2)])
+def test_two_lengths(spark, hot, levels):
     rng = random.Random(hot)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -47,10 +48,27 @@ def test_two_lengths(spark, hot):
         texts.append(" ".join([*parts, text(rng.randint(0, 40))]))
     texts += [texts[0], "ab" * 500, "x" * 399, "y" * 401, "", None]
     docs = materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), "two-lengths")
-    got = {r["doc_id"]: r for r in suffix_dedup.digests(docs, hot=hot).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.digests(docs, hot=hot, levels=levels).collect()}
     data, long_ = slow(texts, 400)
     _, short = slow(texts, 200)
     for i, d in enumerate(data):
         kept = b"".join(d[b:a] for b, a in zip([0, *(r[1] for r in long_[i])], [*(r[0] for r in long_[i]), len(d)], strict=True))
         want = (len(d), sum(b - a for a, b in long_[i]), len(long_[i]), hashlib.sha256(kept).hexdigest(), len(short[i]), sum(b - a for a, b in short[i]))
         assert tuple(got[i])[1:] == want, i
+
+
+def test_windows_of_near_copies_part_at_every_level():
+    """Copies of one passage that differ in a byte each share a key; each level splits it, and the last leaves one window a key."""
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(700))
+    pieces = [passage[:k] + b"#" + passage[k + 1 :] for k in range(0, 700, 7)]
+    parts, largest = [(0, p) for p in pieces], [len(pieces)]
+    for level in range(1, 5):
+        out = []
+        for old, data in parts:
+            key, start, n = suffix_dedup.finer(data, old, level)
+            assert n.sum() == len(data) - 399
+            out += [(int(k), data[s : s + c + 399]) for k, s, c in zip(key, start, n, strict=True)]
+        parts = list(dict.fromkeys(out))
+        largest.append(max(Counter(k for k, _ in parts).values()))
+    assert largest[-1] == 1 and largest[1] <= largest[0] and largest[3] < largest[0] / 2
