@@ -2,6 +2,12 @@
 
 Each stage takes what the one before kept, as a stored table, and all but the last return the columns of documents. run() writes
 every stage to the shared folder, so that a lost executor costs a stage at most.
+
+Defined cases, stage by stage: quality rules reject a null, empty or short text; near-duplicates keep, of equal or near texts, the row of
+the smallest doc_id (nulls last; of these the first as stored), and documents without a word are copies of each other; repeated strings leave a null text null
+and never drop a row, even one whose whole text goes; decontamination keeps documents without words; packing gives them their closing
+id. Columns beyond those of documents pass through all stages but the last, whatever their names; a missing n_chars stays
+missing. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of PASSAGE bytes that occur twice are cut out of every document; n_chars follows the text."""
     df = suffix_dedup.remove_repeats(docs, length=PASSAGE)
-    return df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
