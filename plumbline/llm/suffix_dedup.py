@@ -521,5 +521,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 out.append(_keep(data, removed(len(data), r, length)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    df = whole.join(ranges, "_x_row", "left")
-    return df.select(*[clean(F.col(f"`{text}`"), F.col("ranges")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    df = whole.join(ranges.withColumnRenamed("ranges", "_x_ranges"), "_x_row", "left")
+    return df.select(*[clean(F.col(f"`{text}`"), F.col("_x_ranges")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
