@@ -17,8 +17,8 @@ _SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class ResponseFrame:
-    """df has respondent_id (string), ord (bigint, the order of respondents), responses (array of n_items doubles, null = missing)
-    and possibly applicable (array of Booleans) and further columns, which operators keep."""
+    """df has respondent_id (string), ord (bigint, the order of respondents), responses (array of at most n_items doubles, null = missing; what
+    is missing at the end may be left off) and possibly applicable (array of Booleans) and further columns, which operators keep."""
 
     df: DataFrame
     n_items: int
@@ -46,12 +46,23 @@ class ResponseFrame:
 
     @staticmethod
     def from_long(df: DataFrame, respondent: str, item: str, value: str, n_items: int) -> ResponseFrame:
-        """One row per answer; absent items are missing. Items are numbered from 0; respondents are ordered by their value."""
+        """One row per answer; absent items are missing. Items are numbered from 0; respondents are ordered by their value.
+
+        A respondent's cells are sorted and the gaps between them filled, so a row costs what it holds and ends with its last answer.
+        An item that a respondent has twice raises.
+        """
         cells = df.filter(F.col(item).between(0, n_items - 1)).select(
             F.col(respondent).alias("r"), F.struct(F.col(item).cast("int").alias("i"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v")).alias("c")
         )
-        found = cells.groupBy("r").agg(F.map_from_entries(F.collect_list("c")).alias("m"))
-        row = F.transform(F.sequence(F.lit(0), F.lit(n_items - 1)), lambda k: F.try_element_at(F.col("m"), k))
+        found = cells.groupBy("r").agg(F.sort_array(F.collect_list("c")).alias("m"))
+
+        def placed(m):
+            """Each cell with as many nulls before it as items are absent."""
+            before = lambda k: F.when(k > 0, F.get(m, k - 1)["i"]).otherwise(-1)
+            cells = F.transform(m, lambda c, k: F.concat(F.array_repeat(F.lit(None).cast("double"), c["i"] - before(k) - 1), F.array(c["v"])))
+            return F.when(F.size(F.map_from_entries(m)) > 0, F.flatten(cells))  # a map raises for a key that it gets twice
+
+        row = placed(F.col("m"))
         return ResponseFrame(found.select(F.col("r").cast("string").alias("respondent_id"), F.col("r").cast("bigint").alias("ord"), row.alias("responses")), n_items)
 
     @staticmethod
@@ -88,5 +99,5 @@ class ResponseFrame:
         return self.df.select("respondent_id", "ord", *[c.alias(k) for k, c in columns.items()])
 
     def long(self) -> DataFrame:
-        """ord, item, resp."""
+        """ord, item, resp: cells that rows hold."""
         return self.df.select("ord", F.posexplode("responses").alias("item", "resp"))

@@ -38,10 +38,15 @@ def row_mean(x: Column) -> Column:
     return let(compact(x), mean_of)
 
 
-def row_sd(x: Column, na_rm: bool = True) -> Column:
-    """na_rm: else any missing value makes it unavailable."""
+def whole(x: Column, size: int) -> Column:
+    """Whether all of `size` values are there; a row may end early."""
+    return F.size(compact(x)) == size
+
+
+def row_sd(x: Column, na_rm: bool = True, size: int | None = None) -> Column:
+    """na_rm: else any missing one of `size` values makes it unavailable."""
     out = let(compact(x), sd_of)
-    return out if na_rm else F.when(F.size(compact(x)) == F.size(x), out)
+    return out if na_rm else F.when(whole(x, size), out)
 
 
 def row_median(x: Column) -> Column:

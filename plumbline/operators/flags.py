@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
+from ..functions.order import percentiles
 
 
 def check_percentile(p, name: str = "percentile") -> float:
@@ -26,7 +27,12 @@ def resolve_cutoff(df: DataFrame, score: str, threshold: float | None, percentil
     """The threshold, or else the percentile of the available scores; 0 if there are none."""
     if threshold is not None:
         return check_threshold(threshold)
-    found = df.agg(F.percentile(F.col(score), check_percentile(percentile) / 100)).first()[0]
+    share = check_percentile(percentile) / 100
+    held = df.select(F.col(score).cast("double").alias("score")).persist()
+    try:
+        found = percentiles(held, {"cut": (F.col("score"), [share])})[0]["cut"][0]
+    finally:
+        held.unpersist()
     return 0.0 if found is None else float(found)
 
 

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..frame import ResponseFrame
 from ..functions import exprs as E
 from ..functions import numeric
+from ..functions.order import percentiles, places
 from . import kernels as K
-from .stats import MatrixStats, dichotomous
+from .stats import MatrixStats
 
 X = "responses"
+#: Ranks of equal values that are made from one row at a time.
+RUN = 100_000
 
 
 def _x() -> Column:
@@ -39,12 +42,12 @@ def irv(frame: ResponseFrame, na_rm: bool = True, split: bool = False, num_split
         if len(points) < 2 or points[0] != 0 or points[-1] != p or any(a >= b for a, b in zip(points, points[1:], strict=False)):
             raise ValueError("split_points must ascend strictly from 0 to the number of items")
     if not split:
-        return E.row_sd(_x(), na_rm)
+        return E.row_sd(_x(), na_rm, p)
     if split_points is None:
         if isinstance(num_split, bool) or num_split < 1:
             raise ValueError("num_split must be at least 1")
         points = np.cumsum([0, *(len(c) for c in np.array_split(np.arange(p), num_split))]).tolist()
-    parts = [E.row_sd(F.slice(_x(), a + 1, b - a), na_rm) for a, b in zip(points, points[1:], strict=False) if b > a]
+    parts = [E.row_sd(F.slice(_x(), a + 1, b - a), na_rm, b - a) for a, b in zip(points, points[1:], strict=False) if b > a]
     out = parts[0]
     for c in parts[1:]:
         out = out + c
@@ -79,12 +82,14 @@ def markov(frame: ResponseFrame, na_rm: bool = True) -> Column:
     """Entropy, in bits, of the next answer given the present one."""
     frame.need(3, "markov")
     out = K.kernel(K.transition_entropy, _x())
-    return out if na_rm else F.when(F.size(E.compact(_x())) == F.size(_x()), out)
+    return out if na_rm else F.when(E.whole(_x(), frame.n_items), out)
 
 
 def missing_rate(frame: ResponseFrame, item_indices: Sequence[int] | None = None, applicable: bool = False) -> Column:
     """Share of missing answers, with applicable only among the items that the frame's mask says apply."""
     items = range(frame.n_items) if item_indices is None else frame.check_items(item_indices, "missing_rate")
+    if not applicable and item_indices is None:
+        return (F.lit(frame.n_items) - F.size(E.compact(_x()))) / float(frame.n_items)
     if not applicable:
         return F.size(F.filter(F.array(*[F.get(_x(), F.lit(i)) for i in items]), lambda v: v.isNull())) / float(len(list(items)))
     cells = F.array(*[F.struct(F.get(_x(), F.lit(i)).alias("v"), F.coalesce(F.get("applicable", F.lit(i)), F.lit(False)).alias("k")) for i in items])
@@ -135,7 +140,7 @@ def acquiescence(frame: ResponseFrame, scale_min=None, scale_max=None, positive_
     else:
         mean = E.row_mean(_x())
         if not na_rm:
-            mean = F.when(F.size(E.compact(_x())) == F.size(_x()), mean)
+            mean = F.when(E.whole(_x(), frame.n_items), mean)
     part = (mean - lo) / (hi - lo)
     return F.when(part.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)))
 
@@ -208,8 +213,10 @@ def evenodd(frame: ResponseFrame, factors: Sequence[int], diag: bool = False):
     sizes = list(factors)
     if not sizes or any(isinstance(f, bool) or f < 1 for f in sizes) or sum(sizes) != frame.n_items:
         raise ValueError("factors must be positive and add up to the number of items")
-    score = K.kernel(lambda x: K.even_odd(x, sizes)[0], _x())
-    return (score, K.kernel(lambda x: K.even_odd(x, sizes)[1], _x())) if diag else score
+    if not diag:
+        return K.kernel(lambda x: K.even_odd(x, sizes)[0], _x(), frame.n_items)
+    both = K.kernels(lambda x: K.even_odd(x, sizes), ("score", "used"), _x(), frame.n_items)
+    return both["score"], both["used"]
 
 
 def onset(frame: ResponseFrame, window_size: int = 10, min_items: int = 20, na_rm: bool = True, stats: MatrixStats | None = None) -> Column:
@@ -228,7 +235,7 @@ def individual_reliability(frame: ResponseFrame, n_splits: int = 100, random_see
         raise ValueError("n_splits must be at least 1")
     rng, half = np.random.RandomState(random_seed), frame.n_items // 2
     orders = [rng.permutation(frame.n_items) for _ in range(n_splits)]
-    return K.kernel(lambda x: K.split_half(x, [(o[:half], o[half : 2 * half]) for o in orders]), _x())
+    return K.kernel(lambda x: K.split_half(x, [(o[:half], o[half : 2 * half]) for o in orders]), _x(), frame.n_items)
 
 
 def calculate_correlations(x: Column, y: Column) -> Column:
@@ -271,7 +278,7 @@ def person_total(frame: ResponseFrame, na_rm: bool = True, stats: MatrixStats |
     if not na_rm and s.any_missing:
         return E.none()
     means = s.means
-    return K.kernel(lambda x: numeric.row_correlations(x, np.broadcast_to(means, x.shape), np.nan), _x())
+    return K.kernel(lambda x: numeric.row_correlations(x, np.broadcast_to(means, x.shape), np.nan), _x(), frame.n_items)
 
 
 def _pairwise(frame: ResponseFrame, critval: float, opposite: bool, stats: MatrixStats | None, diag: bool, resample_na: bool, seed: int | None):
@@ -280,20 +287,29 @@ def _pairwise(frame: ResponseFrame, critval: float, opposite: bool, stats: Matri
         raise ValueError("the critical value has the wrong sign")
     s = _stats(frame, stats)
     pairs = s.pairs(critval, opposite)
-    score = K.kernel(lambda x: K.pair_correlation(x, pairs), _x()) if len(pairs) else E.none()
-    if len(pairs) and resample_na and critval == 0:
-        # Rows without a correlation get a random sign, drawn from the seed and the row's order.
-        none = K.kernel(lambda x: numeric.row_correlations(x[:, pairs[:, 0]], x[:, pairs[:, 1]], 0.0), _x()).isNull()
-        sign = F.when(F.pmod(F.xxhash64(F.lit(seed or 0), F.col("ord")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        score = F.when(none, sign).otherwise(score)
-    if not diag:
-        return score
-    there = [(F.get(_x(), F.lit(int(i))).isNotNull() & F.get(_x(), F.lit(int(j))).isNotNull()).cast("int") for i, j in pairs]
-    return score, sum(there, F.lit(0))
+    n = len(pairs)
+    if not n:
+        return (E.none(), F.lit(0)) if diag else E.none()
+    used = np.unique(pairs)
+    there = F.lit(True)
+    score = K.kernel(lambda x: K.pair_correlation(x, pairs), _x(), frame.n_items)
+    if not s.complete[used].all():  # only pairs of correlation 0 can have missing answers
+        there = F.forall(F.array(*[F.get(_x(), F.lit(int(i))) for i in used]), lambda v: v.isNotNull())
+        score = F.when(there, score)
+        if resample_na:
+            mean = abs(frame.df.select(score.alias("s")).agg(F.avg("s")).first()[0] or 0.0)
+            key = int(np.random.SeedSequence(seed).generate_state(1, np.uint64)[0])  # a new one without a seed
+            score = F.coalesce(score, K.mean_signs(F.col("ord"), n, key) * mean)
+        score = F.coalesce(score, F.lit(0.0))
+    return (score, F.when(there | resample_na, n).otherwise(0)) if diag else score
 
 
 def psychsyn(frame: ResponseFrame, critval: float = 0.6, anto: bool = False, diag: bool = False, resample_na: bool = False, random_seed: int | None = None, stats: MatrixStats | None = None):
-    """Correlation, over strongly correlated pairs of items, of a respondent's answers."""
+    """Correlation, over strongly correlated pairs of items, of a respondent's answers; 0 where one of them is missing.
+
+    resample_na: instead the mean size of the others' scores, times the mean of one fair sign a pair. The signs come from Philox keyed by the
+    seed and the row's order, so partitions don't matter. diag: the number of pairs as well, 0 where answers are missing and not resampled.
+    """
     return _pairwise(frame, critval, anto, stats, diag, resample_na, random_seed)
 
 
@@ -314,7 +330,7 @@ def guttman(frame: ResponseFrame, na_rm: bool = True, normalize: bool = True, st
     """Pairs of items answered against the order of the item means."""
     frame.need(2, "guttman")
     order = np.argsort(_stats(frame, stats).means)
-    return K.kernel(lambda x: K.guttman_errors(x, order, na_rm, normalize), _x())
+    return K.kernel(lambda x: K.guttman_errors(x, order, na_rm, normalize), _x(), frame.n_items)
 
 
 def mahad(frame: ResponseFrame, na_rm: bool = False, stats: MatrixStats | None = None) -> Column:
@@ -328,7 +344,7 @@ def mahad(frame: ResponseFrame, na_rm: bool = False, stats: MatrixStats | None =
     if n < frame.n_items:
         raise ValueError("there are fewer complete rows than items")
     inverse = numeric.pseudo_inverse(cov)
-    return K.kernel(lambda x: K.mahalanobis(x, mean, inverse), _x())
+    return K.kernel(lambda x: K.mahalanobis(x, mean, inverse), _x(), frame.n_items)
 
 
 def mahad_flag(scores: DataFrame, n_items: int, confidence: float = 0.95, method: str = "chi2", score: str = "score", flag: str = "flag") -> DataFrame:
@@ -339,7 +355,7 @@ def mahad_flag(scores: DataFrame, n_items: int, confidence: float = 0.95, method
     if method == "chi2":
         return scores.withColumn(flag, E.flag(c, float(np.sqrt(numeric.chi_square_quantile(confidence, n_items)))))
     if method == "iqr":
-        q1, q3 = scores.agg(F.percentile(c, 0.25), F.percentile(c, 0.75)).first()
+        q1, q3 = percentiles_of(scores, score, [0.25, 0.75])
         if q1 is None:
             return scores.withColumn(flag, F.lit(False))
         reach = 1.5 * (q3 - q1)
@@ -354,29 +370,19 @@ def mahad_flag(scores: DataFrame, n_items: int, confidence: float = 0.95, method
 
 
 def mahad_qqplot(scores: DataFrame, n_items: int, score: str = "score") -> DataFrame:
-    """rank, observed (squared distance) and expected (chi-square quantile), in order.
-
-    Ranks come from a range-partitioned sort and the counts of its partitions, so no single task holds all rows.
-    """
+    """rank, observed (squared distance) and expected (chi-square quantile). Equal distances take the ranks of their run."""
     df = scores.filter(F.col(score).isNotNull()).select((F.col(score) * F.col(score)).alias("observed"))
     n = df.count()
-    dealt = df.repartitionByRange("observed").sortWithinPartitions("observed").select("observed", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("first")).collect()
-    before, run = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        before[r["part"]] = run - r["first"]
-        run += r["k"]
-    shift = F.lit(0).cast("bigint")
-    for part, s in before.items():
-        shift = F.when(F.col("part") == part, F.lit(s)).otherwise(shift)
-
     @F.pandas_udf("double")
     def expected(rank):
         import pandas as pd
 
         return pd.Series([numeric.chi_square_quantile((k - 0.5) / n, n_items) for k in rank])
 
-    ranked = dealt.select((F.col("at") + shift + 1).alias("rank"), "observed")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RUN).cast("long"))  # long runs of ties in blocks, so that no array grows with them
+    blocks = places(df, "observed").withColumn("at", F.explode(starts))
+    last = F.col("before") + F.least(F.col("count"), F.col("at") + RUN)
+    ranked = blocks.select(F.explode(F.sequence(F.col("before") + F.col("at") + 1, last)).alias("rank"), "observed")
     return ranked.select("rank", "observed", expected("rank").alias("expected"))
 
 
@@ -396,17 +402,33 @@ def lz(frame: ResponseFrame, difficulty=None, discrimination=None, theta=None, m
     b = b if difficulty is None else np.asarray(difficulty, float)
     if len(a) != frame.n_items or len(b) != frame.n_items:
         raise ValueError("there must be one parameter for each item")
-    y = dichotomous(_x(), cut)
+
+    def split(x: np.ndarray) -> np.ndarray:
+        return x if cut is None else np.where(np.isnan(x), np.nan, x > cut)
+
     if theta is None:
-        return K.kernel(lambda x: K.person_fit(x, a, b, K.ability(x, a, b)), y)
-    given = F.array_append(y, F.col(theta))
-    return K.kernel(lambda x: K.person_fit(x[:, :-1], a, b, x[:, -1]), given)
+        return K.kernel(lambda x: K.person_fit(y := split(x), a, b, K.ability(y, a, b)), _x(), frame.n_items)
+    return K.kernel(lambda x, t: K.person_fit(split(x), a, b, t), _x(), frame.n_items, F.col(theta))
+
+
+def percentiles_of(scores: DataFrame, score: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact percentiles of one column, which is held meanwhile."""
+    held = scores.select(F.col(score).cast("double").alias("score")).persist()
+    try:
+        return percentiles(held, {"score": (F.col("score"), shares)})[0]["score"]
+    finally:
+        held.unpersist()
 
 
 def summary(scores: DataFrame, score: str = "score", suffix: str = "") -> DataFrame:
-    """mean, std, min, max and median of the available scores, with counts."""
-    c = F.col(score)
-    return scores.agg(
-        F.avg(c).alias("mean" + suffix), F.stddev_pop(c).alias("std" + suffix), F.min(c).alias("min" + suffix), F.max(c).alias("max" + suffix),
-        F.percentile(c, 0.5).alias("median" + suffix), F.count(F.lit(1)).alias("n_total"), F.count(c).alias("n_valid"),
-    )
+    """mean, std, min, max and median of the available scores, with counts: one row."""
+    held = scores.select(F.col(score).cast("double").alias("score")).persist()
+    c = F.col("score")
+    also = [F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(F.lit(1)).alias("n_total"), F.count(c).alias("n_valid")]
+    try:
+        found, seen = percentiles(held, {"score": (c, [0.5])}, also)
+    finally:
+        held.unpersist()
+    values = {k + suffix: seen[k] for k in ("mean", "std", "min", "max")} | {"median" + suffix: found["score"][0]} | {k: seen[k] for k in ("n_total", "n_valid")}
+    kinds = ", ".join(f"`{k}` {'bigint' if k.startswith('n_') else 'double'}" for k in values)
+    return scores.sparkSession.createDataFrame([tuple(values.values())], kinds)

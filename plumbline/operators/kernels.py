@@ -1,26 +1,117 @@
-"""Vectorised kernels over batches of rows. Each takes a matrix with NaN for missing answers and gives a vector."""
+"""Vectorised kernels over batches of rows. Each takes a matrix with NaN for missing answers and gives a vector.
+
+A kernel is an Arrow function of the answers. Arrow functions over one column that are selected together run in one Python node, so a screen sends its
+matrix to Python once; the matrix is made once for all of them, from the flat buffer of the lists.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.numeric import row_correlations
 
+#: Cells of a matrix that kernels work on at a time.
+CELLS = 1 << 22
+
+
+def matrix(rows: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Lists of doubles as a matrix with NaN where a value is missing or a list has ended. width: else that of the longest list."""
+    sizes = np.diff(rows.offsets.to_numpy())
+    flat = rows.flatten().to_numpy(zero_copy_only=False)  # a null list has no cells
+    sizes = np.where(rows.is_null().to_numpy(zero_copy_only=False), 0, sizes) if rows.null_count else sizes
+    width = int(sizes.max(initial=0)) if width is None else width
+    if len(sizes) and (sizes == width).all():
+        return flat.astype(float, copy=False).reshape(len(sizes), width)
+    out = np.full((len(sizes), width), np.nan)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+#: The last column that was made a matrix, by rows and width: kernels of one node take the same one.
+_made: list = [None, None, {}]
+
+
+def matrices(rows: pa.ListArray, width: int | None) -> Iterator[np.ndarray]:
+    """Consecutive rows of at most CELLS cells, or one row."""
+    key = (rows.offset, len(rows), rows.buffers()[1].address if rows.buffers()[1] else 0)
+    if _made[0] != key:
+        _made[:] = [key, rows, {}]  # holds on to the column, so that its address can't be another's
+    if width not in _made[2]:
+        wide = width or int(np.diff(rows.offsets.to_numpy()).max(initial=1))
+        if len(rows) * wide > CELLS:
+            step = max(1, CELLS // max(wide, 1))
+            yield from (matrix(rows.slice(k, step), width) for k in range(0, len(rows), step))
+            return
+        _made[2][width] = matrix(rows, width)
+    yield _made[2][width]
+
+
+def _run(body: Callable, rows: pa.ListArray, width: int | None, others: tuple[pa.Array, ...]) -> list[tuple[np.ndarray, ...]]:
+    """What the body gives for consecutive rows, as tuples of vectors."""
+    out, at = [], 0
+    for m in matrices(rows, width) if len(rows) else ():
+        given = [o.slice(at, len(m)).to_numpy(zero_copy_only=False).astype(float) for o in others]
+        made = body(m, *given)
+        out.append(made if isinstance(made, tuple) else (made,))
+        at += len(m)
+    return out
+
+
+def _column(parts: list[np.ndarray]) -> pa.Array:
+    out = np.concatenate([np.asarray(p, float) for p in parts]) if parts else np.zeros(0)
+    return pa.array(out, mask=np.isnan(out))
+
+
+def kernel(body: Callable[..., np.ndarray], x: Column, width: int | None = None, *others: Column) -> Column:
+    """body over Arrow batches of x and of columns of numbers; NaN comes back as null. width: columns of the matrix, where places matter; else
+    those of its longest row."""
+
+    def run(rows, *more):
+        return _column([p[0] for p in _run(body, rows, width, more)])
+
+    if others:
+
+        @F.arrow_udf("double")
+        def two(rows: pa.Array, given: pa.Array) -> pa.Array:
+            return run(rows, given)
 
-def kernel(body: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
-    """body over Arrow batches of x; NaN comes back as null."""
+        return two(x, *others)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series(body(np.array(rows.tolist(), dtype=float)) if len(rows) else np.zeros(0), dtype=float)
+    @F.arrow_udf("double")
+    def one(rows: pa.Array) -> pa.Array:
+        return run(rows)
 
-    return F.nanvl(run(x), F.lit(None).cast("double"))
+    return one(x)
+
+
+def kernels(body: Callable[..., tuple[np.ndarray, ...]], names: tuple[str, ...], x: Column, width: int | None = None) -> Column:
+    """A struct of what one body gives."""
+
+    @F.arrow_udf(", ".join(f"{k} double" for k in names))
+    def many(rows: pa.Array) -> pa.Array:
+        parts = _run(body, rows, width, ())
+        return pa.StructArray.from_arrays([_column([p[k] for p in parts]) for k in range(len(names))], list(names))
+
+    return many(x)
+
+
+def mean_signs(row: Column, n: int, key: int) -> Column:
+    """Mean of n fair signs, from the bits that Philox gives for the key and the row."""
+
+    @F.arrow_udf("double")
+    def drawn(rows: pa.Array) -> pa.Array:
+        out = np.empty(len(rows))
+        for k, r in enumerate(rows.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)):
+            words = np.random.Philox(key=np.array([key, r], np.uint64)).random_raw((n + 63) // 64)
+            out[k] = 2 * np.unpackbits(words.view(np.uint8))[:n].mean() - 1
+        return pa.array(out)
+
+    return drawn(row)
 
 
 def _packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +158,47 @@ def transition_entropy(x: np.ndarray) -> np.ndarray:
     return np.where(m > 1, bits / np.maximum(m - 1, 1) + 0.0, np.nan)
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Dense ranks within each row from 1; 0 for NaN."""
+    order = np.argsort(v, axis=1, kind="stable")
+    ordered = np.take_along_axis(v, order, axis=1)
+    step = np.ones(v.shape, np.int32)
+    step[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    out = np.empty(v.shape, np.int32)
+    np.put_along_axis(out, order, np.cumsum(step, axis=1, dtype=np.int32), axis=1)
+    out[np.isnan(v)] = 0
+    return out
+
+
+def rising_pairs(v: np.ndarray) -> np.ndarray:
+    """For each row the number of pairs of which the later value is greater; NaN takes no part.
+
+    Sorted runs are merged two by two in all rows at once. Before a merge, the values of the right run are looked up in the left one, where the
+    runs of all rows stand one after the other as one sorted vector.
+    """
+    packed, m = _packed(v)
+    width = int(m.max(initial=0))
+    rows, size = len(v), 1
+    count = np.zeros(rows, np.int64)
+    if width < 2:
+        return count
+    full = 1 << (width - 1).bit_length()
+    keys = np.zeros((rows, full), np.int64)  # 0 stands after all values, and nothing is less
+    keys[:, :width] = _ranks(packed[:, :width])
+    while size < full:
+        runs = keys.reshape(-1, 2, size)
+        base = np.arange(len(runs), dtype=np.int64)[:, None] * (full + 2)
+        left, right = (runs[:, 0] + base).ravel(), (runs[:, 1] + base).ravel()
+        below = np.searchsorted(left, right, "left").reshape(len(runs), size) - np.arange(len(runs))[:, None] * size
+        count += np.where(runs[:, 1] > 0, below, 0).reshape(rows, -1).sum(axis=1)
+        keys = np.sort(keys.reshape(-1, 2 * size), axis=1, kind="stable").reshape(rows, full)
+        size *= 2
+    return count
+
+
 def guttman_errors(x: np.ndarray, order: np.ndarray, na_rm: bool, normalize: bool) -> np.ndarray:
     a = x[:, order]
-    errors = np.zeros(len(a))
-    for i in range(a.shape[1] - 1):
-        errors += (a[:, i : i + 1] < a[:, i + 1 :]).sum(axis=1)
+    errors = rising_pairs(a).astype(float)
     if not normalize:
         return errors
     m = (~np.isnan(a)).sum(axis=1) if na_rm else np.full(len(a), a.shape[1])
@@ -129,6 +256,7 @@ def even_odd(x: np.ndarray, factors: list[int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def pair_correlation(x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """0 where there is none."""
     r = row_correlations(x[:, pairs[:, 0]], x[:, pairs[:, 1]], 0.0)
     return np.where(np.isnan(r), 0.0, r)
 

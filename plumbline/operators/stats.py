@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import ResponseFrame
+from ..functions.exprs import whole
+from .kernels import matrices
 
 
 def gram(df: DataFrame, centre: np.ndarray) -> np.ndarray:
@@ -21,20 +25,32 @@ def gram(df: DataFrame, centre: np.ndarray) -> np.ndarray:
     """
     p = len(centre)
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((p, p))
-        for pdf in batches:
-            if len(pdf):
-                d = np.nan_to_num(np.array(pdf["responses"].tolist(), dtype=float) - centre)
+        for batch in batches:
+            for x in matrices(batch.column(0), p) if len(batch) else ():
+                d = np.nan_to_num(x - centre)
                 total += d.T @ d
-        yield pd.DataFrame({"cell": np.arange(p * p), "s": total.ravel()})
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(p * p), "s": total.ravel()})
 
-    cells = df.select("responses").mapInPandas(part, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s")).toPandas()
+    cells = df.select("responses").mapInArrow(part, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s")).toPandas()
     out = np.zeros(p * p)
     out[cells["cell"]] = cells["s"]
     return out.reshape(p, p)
 
 
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, items and values of the available answers, from the flat buffer of the lists."""
+    rows = batch.column(0)
+    sizes = np.diff(rows.offsets.to_numpy())
+    if rows.null_count:
+        sizes = np.where(rows.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    item = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen = ~np.isnan(values)
+    return np.repeat(np.arange(len(rows)), sizes)[seen], item[seen], values[seen]
+
+
 class MatrixStats:
     """Figures of a frame, each group computed by one job when first asked for."""
 
@@ -46,23 +62,21 @@ class MatrixStats:
         """A row for each item; each partition gives one row an item, so cells are never exploded."""
         p = self.frame.n_items
 
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, there, total, lo, hi, odd = 0, np.zeros(p, int), np.zeros(p), np.full(p, np.inf), np.full(p, -np.inf), np.zeros(p, int)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["responses"].tolist(), dtype=float)
-                seen = ~np.isnan(x)
-                n += len(x)
-                there += seen.sum(axis=0)
-                total += np.where(seen, x, 0.0).sum(axis=0)
-                lo, hi = np.fmin(lo, np.where(seen, x, np.inf).min(axis=0)), np.fmax(hi, np.where(seen, x, -np.inf).max(axis=0))
-                odd += (seen & (x != 0) & (x != 1)).sum(axis=0)
-            yield pd.DataFrame({"item": np.arange(p), "n": n, "there": there, "sum": total, "lo": lo, "hi": hi, "odd": odd})
+            for batch in batches:
+                _, item, v = _cells(batch)
+                n += len(batch)
+                there += np.bincount(item, minlength=p)
+                total += np.bincount(item, v, p)
+                np.minimum.at(lo, item, v)
+                np.maximum.at(hi, item, v)
+                odd += np.bincount(item[(v != 0) & (v != 1)], minlength=p)
+            yield pa.RecordBatch.from_pydict({"item": np.arange(p, dtype=np.int32), "n": np.full(p, n), "there": there, "sum": total, "lo": lo, "hi": hi, "odd": odd})
 
         form = "item int, n bigint, there bigint, sum double, lo double, hi double, odd bigint"
         sums = [F.sum(c).alias(c) for c in ("n", "there", "sum")]
-        cells = self.frame.df.select("responses").mapInPandas(part, form).groupBy("item").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("odd").alias("odd"))
+        cells = self.frame.df.select("responses").mapInArrow(part, form).groupBy("item").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("odd").alias("odd"))
         out = cells.toPandas().sort_values("item", ignore_index=True)
         out = out[out["n"] > 0].reset_index(drop=True)
         none = out["there"] == 0
@@ -122,7 +136,7 @@ class MatrixStats:
     @cached_property
     def covariance(self) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of complete rows, their means and their sample covariance."""
-        rows = self.frame.df.filter(~F.exists("responses", lambda v: v.isNull()))
+        rows = self.frame.df.filter(whole(F.col("responses"), self.frame.n_items))
         if self.any_missing:
             inner = MatrixStats(ResponseFrame(rows, self.frame.n_items))
             n, mean = inner.n, inner.means if inner.n else np.zeros(0)
@@ -142,28 +156,30 @@ class MatrixStats:
     @cached_property
     def item_response(self) -> tuple[np.ndarray, np.ndarray, float | None]:
         """Discrimination, difficulty, and the cut between 0 and 1 (None for answers that are 0 or 1 already)."""
+        p = self.frame.n_items
         if self.bounds is None:
-            return np.ones(self.frame.n_items), np.zeros(self.frame.n_items), None
+            return np.ones(p), np.zeros(p), None
         cut = None if self.binary else sum(self.bounds) / 2
-        y = dichotomous(F.col("responses"), cut)
-        right = F.aggregate(F.filter(y, lambda v: v.isNotNull()), F.lit(0.0), lambda a, b: a + b)
-        rows = self.frame.df.select(y.alias("y"), right.alias("t")).select("t", F.posexplode("y").alias("item", "v"))
-        # Means first, then centred moments: answers and totals over the rows that answer the item.
-        first = rows.filter("v is not null").groupBy("item").agg(F.count("v").alias("n"), F.avg("v").alias("mv"), F.avg("t").alias("mt"))
-        both = rows.filter("v is not null").join(F.broadcast(first), "item").groupBy("item").agg(
-            F.first("n").alias("n"), F.first("mv").alias("p"),
-            F.sum((F.col("v") - F.col("mv")) * (F.col("t") - F.col("mt"))).alias("vt"),
-            F.sum((F.col("v") - F.col("mv")) ** 2).alias("vv"), F.sum((F.col("t") - F.col("mt")) ** 2).alias("tt"),
-        )
-        a, b = np.ones(self.frame.n_items), np.zeros(self.frame.n_items)
-        for r in both.collect():
-            p = min(max(r["p"], 0.001), 0.999)
-            b[r["item"]] = -np.log(p / (1 - p))
-            if r["vv"] > 0 and r["tt"] > 0:
-                c = min(max(r["vt"] / np.sqrt(r["vv"] * r["tt"]), -0.99), 0.99)
+        names = ("n", "y", "t", "tt", "yt")
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums, over the rows that answer an item, of right answers (y), of rows' numbers of them (t), and of products: whole numbers."""
+            total = np.zeros((len(names), p), np.int64)
+            for batch in batches:
+                row, item, v = _cells(batch)
+                y = (v if cut is None else v > cut).astype(float)
+                t = np.bincount(row, y, len(batch))[row]
+                total += np.stack([np.bincount(item, w, p) for w in (np.ones(len(y)), y, t, t * t, y * t)]).round().astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"item": np.arange(p, dtype=np.int32), **dict(zip(names, total, strict=True))})
+
+        cells = self.frame.df.select("responses").mapInArrow(part, "item int, " + ", ".join(f"{k} bigint" for k in names))
+        a, b = np.ones(p), np.zeros(p)
+        for r in cells.groupBy("item").agg(*[F.sum(k).alias(k) for k in names]).filter("n > 0").collect():
+            n, y, t, tt, yt = (r[k] for k in names)
+            share = min(max(y / n, 0.001), 0.999)
+            b[r["item"]] = -np.log(share / (1 - share))
+            below = (n * y - y * y) * (n * tt - t * t)  # whole numbers as long as they need be, so nothing cancels
+            if below > 0:
+                c = min(max((n * yt - y * t) / math.sqrt(below), -0.99), 0.99)
                 a[r["item"]] = min(max(1.7 * c / np.sqrt(1 - c * c), 0.2), 3.0)
         return a, b, cut
-
-
-def dichotomous(x, cut: float | None):
-    return x if cut is None else F.transform(x, lambda v: F.when(v.isNotNull(), F.when(v > cut, 1.0).otherwise(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..frame import ResponseFrame
 from ..functions import exprs as E
+from ..functions.order import places
 from .flags import flag_scores
 
 #: So many different medians (16 bytes each) may be held by the driver.
@@ -125,18 +126,12 @@ def _sums(values: np.ndarray, times: np.ndarray, mean: np.ndarray, var: np.ndarr
 
 
 def _part_means_of(usable: DataFrame, n: int, k: int) -> np.ndarray:
-    """The same over a table: exact ranks from a range-partitioned sort and the counts of its partitions."""
-    parts = usable.repartitionByRange("x").sortWithinPartitions("x").select("x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    sizes = sorted(parts.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.min("i").alias("first")).collect())
-    shift, run = F.lit(0).cast("bigint"), 0
-    for p, size, first in sizes:
-        shift = F.when(F.col("p") == p, F.lit(run - first)).otherwise(shift)
-        run += size
-    whole, more = divmod(n, k)
-    rank = F.col("i") + shift
-    part = F.when(rank < more * (whole + 1), F.floor(rank / (whole + 1))).otherwise(more + F.floor((rank - more * (whole + 1)) / max(whole, 1)))
-    found = {r["c"]: r["m"] for r in parts.select("x", part.alias("c")).groupBy("c").agg(F.avg("x").alias("m")).collect()}
-    return np.array([found[c] for c in range(k)])
+    """The same over a table: each different value falls into the parts that its run of ranks meets."""
+    ends = np.cumsum([0, *(n // k + (c < n % k) for c in range(k))]).tolist()
+    first, last = F.col("before"), F.col("before") + F.col("count")
+    met = [F.greatest(F.lit(0), F.least(last, F.lit(b)) - F.greatest(first, F.lit(a))) for a, b in zip(ends, ends[1:], strict=False)]
+    got = places(usable.select("x"), "x").agg(*[F.sum(F.col("x") * m) for m in met]).first()
+    return np.array(list(got)) / np.diff(ends)
 
 
 def _sums_of(usable: DataFrame, mean: np.ndarray, var: np.ndarray, weight: np.ndarray):

@@ -25,6 +25,11 @@ class CompositeResult:
     errors: dict[str, str] = field(default_factory=dict)
     scores: DataFrame | None = None
 
+    def release(self) -> None:
+        """Let go of the scores that are held for the table; it can still be computed."""
+        if self.scores is not None:
+            self.scores.unpersist()
+
 
 def _weights(given: Mapping[str, float] | None, names: Sequence[str]) -> dict[str, float]:
     out = dict.fromkeys(names, 1.0)
@@ -48,8 +53,12 @@ def combine(scores: DataFrame, names: Sequence[str], method: str = "mean", stand
     if not names:
         raise ValueError("no index could be scored: " + "; ".join(f"{k}: {v}" for k, v in sorted((errors or {}).items())))
     if standardize:
-        scores = scores.persist()  # read for the statistics and by whoever takes the table; result.scores.unpersist() lets it go
-        seen = scores.agg(*[f(F.col(f"score__{k}")).alias(f"{k}__{n}") for k in names for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]).first()
+        scores = scores.persist()  # read for the statistics and by whoever takes the table; result.release() lets it go
+        wild = lambda c: F.count_if(~(F.abs(c) < float("inf")))
+        seen = scores.agg(*[f(F.col(f"score__{k}")).alias(f"{k}__{n}") for k in names for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("wild", wild))]).first()
+        if infinite := [k for k in names if seen[f"{k}__wild"]]:
+            scores.unpersist()
+            raise ValueError(f"scores of {', '.join(infinite)} aren't finite")
     parts: dict[str, Column] = {}
     for k in names:
         c = F.col(f"score__{k}")
@@ -91,11 +100,17 @@ def composite(frame: ResponseFrame, indices: Sequence[str] | None = None, method
 def composite_scores(scores: DataFrame, method: str = "mean", standardize: bool = True, *, weights=None, min_valid_indices: int | None = None) -> CompositeResult:
     """The composite of stored scores."""
     names = validate_index_names([c.removeprefix("score__") for c in scores.columns if c.startswith("score__")], composite_index_names())
+    if not standardize and not scores.filter(" OR ".join(f"NOT abs(`score__{k}`) < double('infinity')" for k in names)).isEmpty():
+        raise ValueError("there are scores that aren't finite")
     return combine(scores, names, method, standardize, weights, min_valid_indices)
 
 
-def composite_flag(frame: ResponseFrame, *args, threshold: float | None = None, percentile: float = 95.0, **options) -> DataFrame:
-    return flag_scores(composite(frame, *args, **options).table, "composite", threshold, percentile, "high")
+def composite_flag(frame: ResponseFrame, *args, threshold: float | None = None, percentile: float = 95.0, digits: int | None = None, **options) -> DataFrame:
+    """The composite's table with a flag. digits: the composite is rounded to so many decimals first, so that noise can't decide at the cutoff."""
+    table = composite(frame, *args, **options).table
+    if digits is not None:
+        table = table.withColumn("composite", F.round("composite", digits) + F.lit(0.0))
+    return flag_scores(table, "composite", threshold, percentile, "high")
 
 
 def composite_summary(frame: ResponseFrame, *args, **options) -> tuple[CompositeResult, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..frame import ResponseFrame
 from ..functions.exprs import flag
+from ..functions.order import percentiles as percentiles_of
 from ..operators.flags import check_percentile, check_threshold
 from .registry import INDICES, IndexOptions, default_screen_indices, score_columns, score_table, validate_count, validate_index_names, validate_min_valid
 
@@ -25,6 +26,11 @@ class ScreenResult:
     settings: dict = field(default_factory=dict)
     scores: DataFrame | None = None
 
+    def release(self) -> None:
+        """Let go of the scores that are held for the table; it can still be computed."""
+        if self.scores is not None:
+            self.scores.unpersist()
+
 
 def _overrides(given: Mapping[str, float] | None, names: Sequence[str], check, what: str) -> dict[str, float]:
     out = {}
@@ -42,7 +48,8 @@ def _overrides(given: Mapping[str, float] | None, names: Sequence[str], check, w
 def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, min_flags: int = 2, min_valid_indices: int | None = None, thresholds=None, percentiles=None, selected: int | None = None, errors=None) -> ScreenResult:
     """The decisions on a table with a column score__<index> for each name.
 
-    One aggregation gives every cutoff and summary figure, one projection the flags, and one more aggregation counts them.
+    The cutoffs come from exact percentiles of all indices at once, the summary figures from their first pass, the flags from one projection, and
+    one more aggregation counts them.
     """
     check_percentile(percentile)
     validate_count(min_flags, "min_flags")
@@ -50,14 +57,22 @@ def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, mi
     fixed, own = _overrides(thresholds, names, check_threshold, "thresholds"), _overrides(percentiles, names, check_percentile, "percentiles")
     if both := set(fixed) & set(own):
         raise ValueError(f"both a threshold and a percentile for {', '.join(sorted(both))}")
-    scores = scores.persist()  # read for the cutoffs, for the counts and by whoever takes the table; result.scores.unpersist() lets it go
+    scores = scores.persist()  # read for the cutoffs, for the counts and by whoever takes the table; result.release() lets it go
     columns = {k: F.col(f"score__{k}") for k in names}
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    aggs: list[Column] = [F.count(F.lit(1)).alias("n"), *[F.count_if(~(F.abs(c) < float("inf"))).alias(f"{k}__wild") for k, c in columns.items()]]
+    wanted: dict[str, tuple[Column, list[float]]] = {}
     for k, c in columns.items():
         p = own.get(k, percentile)
         p = p if INDICES[k].direction == "high" else 100 - p
-        aggs += [F.percentile(c, p / 100).alias(f"{k}__cut"), F.avg(c).alias(f"{k}__mean"), F.stddev_pop(c).alias(f"{k}__std"), F.min(c).alias(f"{k}__min"), F.max(c).alias(f"{k}__max"), F.count(c).alias(f"{k}__valid")]
-    seen = scores.agg(*aggs).first()
+        wanted[k] = (c, [p / 100] if k not in fixed and INDICES[k].mode != "presence" else [])
+        aggs += [F.avg(c).alias(f"{k}__mean"), F.stddev_pop(c).alias(f"{k}__std"), F.min(c).alias(f"{k}__min"), F.max(c).alias(f"{k}__max"), F.count(c).alias(f"{k}__valid")]
+    try:
+        cuts, seen = percentiles_of(scores, wanted, aggs)
+        if wild := [k for k in names if seen[f"{k}__wild"]]:
+            raise ValueError(f"scores of {', '.join(wild)} aren't finite")
+    except Exception:
+        scores.unpersist()
+        raise
     cutoffs: dict[str, float | None] = {}
     flags: dict[str, Column] = {}
     for k, c in columns.items():
@@ -65,7 +80,7 @@ def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, mi
         if spec.mode == "presence":
             cutoffs[k], flags[k] = None, c.isNotNull()
             continue
-        found = seen[f"{k}__cut"]
+        found = cuts[k][0] if cuts[k] else None
         cutoffs[k] = fixed.get(k, 0.0 if found is None else found)
         flags[k] = flag(c, cutoffs[k], spec.direction, k in fixed)
     table = scores.withColumns({f"flag__{k}": f for k, f in flags.items()})

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import ResponseFrame
-from .functions import exprs as E
-from .operators import flags as FL
 from .operators import index_flags as IF
 from .operators import indices as I
 from .operators import timing as T
@@ -401,9 +399,9 @@ def _rounded(spark: SparkSession, sf: str, names=SCREENED) -> DataFrame:
     return R.score_table(f, {k: _r(c, 9) for k, c in columns.items()})
 
 
-def _joined() -> str:
-    """x(r, irv, longstring, ...): rounded scores."""
-    made = ", ".join(f"i_{k} AS (WITH {_PART[k]} SELECT r, round(score, 9) + 0.0 AS score FROM s)" for k in SCREENED)
+def _joined(score: str = "round(score, 9) + 0.0") -> str:
+    """x(r, irv, longstring, ...): scores, rounded unless told otherwise."""
+    made = ", ".join(f"i_{k} AS (WITH {_PART[k]} SELECT r, {score} AS score FROM s)" for k in SCREENED)
     return f"{M_OA}, {made}, x AS (SELECT i_irv.r AS r, " + ", ".join(f"i_{k}.score AS {k}" for k in SCREENED) + " FROM i_irv " + " ".join(f"JOIN i_{k} ON i_{k}.r = i_irv.r" for k in SCREENED[1:]) + ")"
 
 
@@ -444,6 +442,14 @@ QUERIES["screen_summary"] = lambda s, d: S.screen_scores(_rounded(s, d)).summary
     "index", *[_r(F.col(k)).alias(k) for k in ("mean", "std", "min", "max")], "n_valid", "n_unavailable", "n_flagged", _r(F.col("flag_rate")).alias("flag_rate")
 )
 SQL["screen_summary"] = _screen_sql(summary=True)
+
+
+def _screen_frame(spark: SparkSession, sf: str) -> DataFrame:
+    t = S.screen(oa(spark, sf), SCREENED, percentile=90.0).table
+    return t.select(F.col("ord").alias("r"), *[F.col(f"flag__{k}").alias(f"flag_{k}") for k in SCREENED], "flag_count", "valid_index_count", "consensus_flag")
+
+
+QUERIES["screen_frame"], SQL["screen_frame"] = _screen_frame, _screen_sql(percentile=90.0)
 QUERIES["screen_default"] = lambda s, d: S.screen(emb(s, d)).table.select(F.col("ord").alias("r"), "flag_count", "valid_index_count", "consensus_flag")
 
 # --- composites -------------------------------------------------------------------------------------------------------
@@ -452,7 +458,7 @@ COMBINED = ("irv", "longstring", "psychsyn", "person_total")
 WEIGHTS = {"irv": 2.0, "person_total": 0.5}
 
 
-def _composite_sql(method: str = "mean", standardize: bool = True, weights: dict | None = None, least: int | None = None, last: str = "SELECT r, round(c, 6) + 0.0 AS composite FROM y") -> str:
+def _composite_sql(method: str = "mean", standardize: bool = True, weights: dict | None = None, least: int | None = None, last: str = "SELECT r, round(c, 6) + 0.0 AS composite FROM y", score: str = "round(score, 9) + 0.0") -> str:
     sign = {k: R.INDICES[k].sign for k in COMBINED}
     z = {k: f"({sign[k]}.0 * " + (f"CASE WHEN sd_{k} > 0 THEN ({k} - mu_{k}) / sd_{k} WHEN {k} IS NOT NULL THEN 0.0 END" if standardize else k) + ")" for k in COMBINED}
     w = dict.fromkeys(COMBINED, 1.0) | (weights or {})
@@ -465,7 +471,7 @@ def _composite_sql(method: str = "mean", standardize: bool = True, weights: dict
     valid = " + ".join(f"CAST(z_{k} IS NOT NULL AS INT)" for k in COMBINED)
     if least is not None:
         out = f"CASE WHEN {valid} >= {least} THEN {out} END"
-    return f"WITH {_joined()}, mu AS (SELECT {stats} FROM x), zs AS (SELECT r, {parts} FROM x, mu), y AS (SELECT r, {out} AS c FROM zs) {last}"
+    return f"WITH {_joined(score)}, mu AS (SELECT {stats} FROM x), zs AS (SELECT r, {parts} FROM x, mu), y AS (SELECT r, {out} AS c FROM zs) {last}"
 
 
 def _composite(**settings) -> Callable:
@@ -484,15 +490,10 @@ for _name, _options in (
     SQL[_name] = _composite_sql(**{("least" if k == "min_valid_indices" else k): v for k, v in _options.items()})
 
 
-def _composite_flag(spark: SparkSession, sf: str) -> DataFrame:
-    t = C.composite_scores(_rounded(spark, sf, COMBINED)).table.withColumn("q", _r(F.col("composite"), 9))
-    return FL.flag_scores(t, "q", None, 95.0, "high").select(F.col("ord").alias("r"), _r(F.col("q")).alias("composite"), "flag")
-
-
-QUERIES["composite_flag"] = _composite_flag
-SQL["composite_flag"] = _composite_sql(last=", q AS (SELECT r, round(c, 9) + 0.0 AS q FROM y) SELECT r, round(q, 6) + 0.0 AS composite, coalesce(q > (SELECT quantile_cont(q, 0.95) FROM q), false) AS flag FROM q")
-QUERIES["composite_probability"] = lambda s, d: C.composite_scores(_rounded(s, d, COMBINED)).table.select(F.col("ord").alias("r"), _r(E.logistic(F.col("composite"))).alias("probability"))
-SQL["composite_probability"] = _composite_sql(last="SELECT r, round(1 / (1 + exp(-c)), 6) AS probability FROM y")
+QUERIES["composite_flag"] = lambda s, d: C.composite_flag(oa(s, d), COMBINED).select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"), "flag")
+SQL["composite_flag"] = _composite_sql(score="score", last="SELECT r, round(c, 6) + 0.0 AS composite, coalesce(c > (SELECT quantile_cont(c, 0.95) FROM y), false) AS flag FROM y")
+QUERIES["composite_probability"] = lambda s, d: C.composite_probability(oa(s, d), COMBINED).select(F.col("ord").alias("r"), _r(F.col("probability")).alias("probability"))
+SQL["composite_probability"] = _composite_sql(score="score", last="SELECT r, round(1 / (1 + exp(-c)), 6) AS probability FROM y")
 
 
 def _composite_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,7 +503,7 @@ def _composite_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["composite_summary"] = _composite_summary
 SQL["composite_summary"] = _composite_sql(
-    last="SELECT round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) + 0.0 AS std, round(min(c), 6) + 0.0 AS min, round(max(c), 6) + 0.0 AS max, count(*) AS n_total, count(c) AS n_valid FROM y"
+    score="score", last="SELECT round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) + 0.0 AS std, round(min(c), 6) + 0.0 AS min, round(max(c), 6) + 0.0 AS max, count(*) AS n_total, count(c) AS n_valid FROM y"
 )
 QUERIES["composite_best_subset"] = lambda s, d: C.composite(ev(s, d), method="best_subset").table.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
 QUERIES["index_catalog"] = lambda s, d: R.index_catalog(s).select("index", "direction", "flag_mode", "screen_default", "composite_default", "composite_allowed", F.coalesce("composite_multiplier", F.lit(0)).alias("composite_multiplier"))

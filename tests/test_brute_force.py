@@ -17,7 +17,8 @@ def column(df, name):
 
 
 def matrix(frame):
-    return np.array([[np.nan if v is None else v for v in r[0]] for r in frame.df.orderBy("ord").select("responses").collect()], float)
+    rows = [r[0] for r in frame.df.orderBy("ord").select("responses").collect()]
+    return np.array([[np.nan if v is None else v for v in r] + [np.nan] * (frame.n_items - len(r)) for r in rows], float)
 
 
 def mixture(x, k, seed, rounds=100, tolerance=1e-6):
