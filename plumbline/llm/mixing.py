@@ -8,7 +8,8 @@ finds the sum nearest to what remains of the budget. Which documents of a length
 counted, all documents of lower buckets are taken, and only those of the one bucket where the count ends are ranked.
 
 No task holds a source: sizes are counted by (source, length, bucket) before anything is dealt, the fit of a source holds its different
-lengths (at most the square root of twice its words), and documents meet their length's decision in a join whose keys are salted.
+lengths (at most the square root of twice its words), and documents meet their length's decision in a join whose other side has one row a
+key, so that the adaptive skew join can split a length of any number of documents.
 
 Defined cases: a null text has no words; a null source is a source, the last; documents without words take nothing and are never chosen;
 sources without words have target 0; equal rows are interchangeable; ids may be null or repeated. Further columns, whatever their
@@ -30,8 +31,6 @@ from .common import discard, materialise, words
 
 #: Parts of the hash by which documents of one length are counted.
 BUCKETS = 1024
-#: Rows that share a key of the join are dealt to so many tasks.
-SALTS = 32
 #: Words' worth of chosen short documents that the knapsack may choose anew.
 ROOM = 4096
 
@@ -165,15 +164,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = F
     ends = counted.join(some, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("upto", upto)
     ends = ends.filter((F.col("upto") >= F.col("chosen")) & (F.col("upto") - F.col("n") < F.col("chosen")))
     ends = ends.select("s", "z", F.col("bucket").alias("end"), (F.col("chosen") - F.col("upto") + F.col("n")).alias("rest"), (F.col("upto") == F.col("chosen")).alias("all"))
+    nothing = goals.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("z"), F.lit(0).cast("long").alias("passes"), F.lit(-1).alias("end"), F.lit(None).cast("long").alias("rest"))
     decided = planned.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(
         F.col("source").alias("s"), F.col("size").alias("z"), "passes", F.when(F.col("chosen") == F.col("n"), BUCKETS).when(F.col("chosen") == 0, -1).otherwise(F.when(F.col("all"), F.col("end") + 1).otherwise(F.col("end"))).alias("end"),
         F.when(~F.col("all"), F.col("rest")).alias("rest"),
     )
-    decided = materialise(decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "mixing-decisions")
-    small = goals.select(F.col("source").alias("g"), "source_size", "target").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = sized.withColumn("x", F.pmod(F.col("draw"), F.lit(SALTS)).cast("int")).withColumn("bucket", bucket)
-    found = salted.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("x") == F.col("salt")), "left").drop("salt")
-    found = found.join(small, F.col("source").eqNullSafe(F.col("g")) & (F.col("x") == F.col("salt")))
+    decided = decided.unionByName(nothing)
+    decided = decided.join(goals.withColumnRenamed("source", "g"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
+    decided = materialise(decided, "mixing-decisions")
+    found = sized.withColumn("bucket", bucket).join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     at_end = F.col("rest").isNotNull() & (F.col("bucket") == F.col("end"))
     once = F.coalesce(F.col("bucket") < F.col("end"), F.lit(False))
     rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("draw", "doc_id"))
