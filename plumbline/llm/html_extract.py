@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 PAGES, TREES, DEPTH, RATE = 700, 50, 3, 0.3
 
-#: Elements whose content is dropped unread, up to their end tag or the end of the page.
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in "script style noscript template iframe textarea title svg math select button".split()}
+#: Elements whose content is raw text and no part of the page, up to their end tag; without one, up to the next tag of a block.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in "script style noscript template iframe textarea title".split()}
+#: Elements that stand in the flow of a sentence and are judged by themselves; of what is in them only text counts. A block's tag ends them.
+_WITHIN = frozenset("button select svg math".split())
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: The end of a tag, or the quote that opens an attribute's value.
 _STOP = re.compile(r">|(?<==)[\"']|(?<== )[\"']")
@@ -44,9 +46,10 @@ _INLINE = frozenset(
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_ENDS_P | {'li', 'dt', 'dd', 'tr', 'td', 'th', 'tbody', 'thead', 'body', 'html'}, reverse=True))})(?=[\s/>])", re.I)
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section div main body aside nav".split())
-_TAGS = "body article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre figure nav header footer aside form".split()
+_TAGS = "body article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre figure nav header footer aside form button select svg math".split()
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 #: Attribute tokens with a slot of their own; others share hashed slots.
 _BESIDE = (
@@ -76,6 +79,7 @@ def _markup(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
     they are taken as plain characters from there on. A ``<`` that begins no tag, or has no ``>`` after it, is text.
     """
     at, quotes, size = 0, True, len(page)
+    ends: dict[str, list[tuple[int, int]]] = {}  # of raw elements: all their end tags, from the last
     last = page.rfind(">")
     closing = {'"': page.rfind('"'), "'": page.rfind("'")}
     while (p := page.find("<", at)) >= 0:
@@ -113,8 +117,15 @@ def _markup(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
         tag, attrs = name[2].lower(), page[name.end() : end]
         if tag in _RAW and not name[1]:
             if not attrs.endswith("/") or tag in ("script", "style"):
-                done = _RAW[tag].search(page, at)
-                at = done.end() if done else size
+                if tag not in ends:
+                    ends[tag] = [m.span() for m in _RAW[tag].finditer(page)][::-1]
+                while ends[tag] and ends[tag][-1][0] < at:
+                    ends[tag].pop()
+                if ends[tag]:
+                    at = ends[tag][-1][1]
+                else:
+                    block = _BLOCK.search(page, at)
+                    at = block.start() if block else size
             yield p, at, False, None, ""
         else:
             yield p, at, bool(name[1]), tag, attrs
@@ -150,10 +161,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, bool, str]]]:
         elif pieces and not fresh:
             pieces.append((i, False, " "))
 
-    def close(k: int) -> None:
+    def close(k: int, block: bool = True) -> None:
         nonlocal fresh, links
         while len(tags) > k:
-            fresh = True
+            fresh = fresh or block
             stack.pop()
             t = tags.pop()
             open_[t].pop()
@@ -176,7 +187,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, bool, str]]]:
             if tag == "body" and not ends:
                 nodes[1].attrs = attrs
             continue
-        fresh = True
+        if tags[-1] in _WITHIN and tag != tags[-1]:
+            if not _BLOCK.match(page, start):  # a part of it
+                text(" ")
+                continue
+            if not ends:
+                close(len(tags) - 1)
+        if tag in _WITHIN:
+            if ends:
+                if tags[-1] == tag:
+                    close(len(tags) - 1, False)
+                continue
+            if tags[-1] == tag:
+                close(len(tags) - 1, False)
+        else:
+            fresh = True
         if ends:
             if open_.get(tag):
                 close(open_[tag][-1])
@@ -280,7 +305,12 @@ def _training_page(rng: random.Random) -> str:
     prose = lambda: " ".join(line(4, 14) for _ in range(rng.randint(1, 9)))
     marked = lambda w: rng.choice((f'<a href="/{word()}">{w}</a>', f"<i>{w}</i>", f"<em>{w}</em>"))
     written = lambda: " ".join(marked(w) if rng.random() < 0.1 else w for w in prose().split())
-    ended = lambda t, s: f"<{t}>{s}" + (f"</{t}>" if rng.random() < 0.9 else "")
+    ended = lambda t, s: f"<{t}>{flow(s) if t == 'p' else s}" + (f"</{t}>" if rng.random() < 0.9 else "")
+    more = random.Random(rng.getrandbits(32))  # of what stands within sentences, and of controls by themselves
+    flow = lambda s: s if more.random() > 0.12 else s.replace(" ", f" {within()} ", 1)
+    within = lambda: more.choice((f"<button>{word_()}</button>", f"<math><mi>{word_()}</mi></math>", f'<button type="button">{word_()} {word_()}</button>', f"<math><mi>x</mi><mo>=</mo><mn>{more.randint(1, 99)}</mn></math>"))
+    word_ = lambda: "".join(more.choice("aeiou") + more.choice("bdfglmnrst") for _ in range(more.randint(1, 3)))
+    control = lambda: "" if more.random() > 0.12 else more.choice((f"<button data-drop>{word_()}</button>", f'<button class="btn" data-drop>{word_()} {word_()}</button>', f"<select data-drop><option>{word_()}<option>{word_()}<option>{word_()}</select>", f"<svg data-drop><path d=1 /><text>{word_()}</text></svg>"))
     links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
 
     def bad() -> str:
@@ -313,7 +343,7 @@ def _training_page(rng: random.Random) -> str:
     inside = [good() for _ in range(rng.randint(0, 12))]
     for _ in range(rng.randint(0, 2) if rng.random() < 0.4 else 0):
         inside.insert(rng.randint(0, len(inside)), bad().replace(">", " data-drop>", 1))
-    body = box.replace(">", " data-keep>") + (f"<h1>{line(2, 9)}</h1>" if rng.random() < 0.8 else "") + "".join(inside) + f"</{tag}>"
+    body = box.replace(">", " data-keep>") + (f"<h1>{line(2, 9)}</h1>" if rng.random() < 0.8 else "") + "".join(x + control() for x in inside) + f"</{tag}>"
     if rng.random() < 0.4:
         wrap = rng.choice(("<div>", '<div class="container">', '<div id="wrapper">', "<main>"))
         body = wrap + (bad() if rng.random() < 0.4 else "") + body + (bad() if rng.random() < 0.5 else "") + f"</{wrap[1:].split()[0].rstrip('>')}>"

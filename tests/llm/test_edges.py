@@ -58,6 +58,14 @@ def test_main_text_of_written_pages():
         f'<html><head><title>T</title></head><body><nav><a href="/">Home</a> <a href="/b">About</a></nav><article><h1>Flood</h1><p>{prose}<p>{more}</article><footer>Copyright</footer>': f"Flood\n{prose}\n{more}",
         f'<body><div class="header"><ul><li><a href="/">Home</a><li><a href="/x">News</a></ul></div><div id="content"><h1>Flood &amp; after</h1><p>{prose}</p><div class="ad"><p>Buy now.</p></div><blockquote><p>{more}</p></blockquote></div><div class="comments"><div class="comment"><p>I was there.</p></div></div><script>var x = "<p>no</p>";</script>': f"Flood & after\n{prose}\n{more}",
         f"<main>{'<div>' * 300}<p>{prose}</p>{'</div>' * 300}<p>{more}</p></main>": f"{prose}\n{more}",
+        # Controls and formulas within sentences, or without an end tag; raw text without one.
+        f"<article><h1>Flood</h1><p>{prose}</p><button>Go<p>{more}</p></article>": f"Flood\n{prose}\n{more}",
+        f"<article><p>{prose}</p><svg viewBox='0 0 1 1'><path d=1><p>{more}</p></article>": f"{prose}\n{more}",
+        f"<article><p>{prose}</p><select><option>a<p>{more}</p></article>": f"{prose}\n{more}",
+        f"<article><p>{prose} Let <math><mi>x</mi></math> be real.</p><p>{more}</p></article>": f"{prose} Let x be real.\n{more}",
+        f"<article><p>{prose} Press <button>OK</button> to go on.</p><p>{more}</p></article>": f"{prose} Press OK to go on.\n{more}",
+        f"<article><p>{prose}</p><button>Share</button><p>{more}</p></article>": f"{prose}\n{more}",
+        f"<article><p>{prose}</p><script>var a = 1; <p>{more}</p></article>": f"{prose}\n{more}",
     }
     got = html_extract.extract_many(list(pages), model)
     for found, want in zip(got, pages.values(), strict=True):
