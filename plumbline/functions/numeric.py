@@ -42,6 +42,8 @@ def gamma_tails(a: float, x: float) -> tuple[float, float]:
         h *= d * c
         if abs(d * c - 1) < 1e-16:
             break
+    else:
+        raise ArithmeticError(f"the gamma function of {a} and {x} doesn't converge")
     high = front * h
     return 1 - high, high
 

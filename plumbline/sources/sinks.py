@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +33,33 @@ def _json_value(v):
     return None if isinstance(v, float) and not math.isfinite(v) else v
 
 
+def _columns_as_json(ordered: DataFrame) -> Iterator[tuple[int, str]]:
+    """Column numbers and the JSON of stretches of their values, without brackets, made by the executors in one pass over the rows."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                texts = [json.dumps([_json_value(v) for v in c.to_pylist()], allow_nan=False, default=str)[1:-1] for c in batch.columns]
+                yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts)), pa.int32()), "text": texts})
+
+    return ((r["k"], r["text"]) for r in ordered.mapInArrow(encode, "k int, text string").toLocalIterator())
+
+
 def json_pieces(table: DataFrame, metadata: dict) -> Iterator[str]:
-    """One JSON object: the metadata and an array for each column, streamed column by column from the executors, which sort once."""
+    """One JSON object: the metadata and an array for each column. The table is read once; columns come together in files that the driver has
+    for the time being, of which it holds a stretch."""
     head = json.dumps({k: _json_value(v) for k, v in metadata.items()}, allow_nan=False, default=lambda o: {k: _json_value(v) for k, v in dict(o).items()})
     yield head[:-1] + (", " if metadata else "") + '"columns": {'
-    ordered = (table.orderBy("ord") if "ord" in table.columns else table).persist()
-    for n, name in enumerate(table.columns):
-        yield (", " if n else "") + json.dumps(name) + ": ["
-        for k, row in enumerate(ordered.select(f"`{name}`").toLocalIterator()):
-            yield (", " if k else "") + json.dumps(_json_value(row[0]), allow_nan=False, default=str)
-        yield "]"
-    ordered.unpersist()
+    with contextlib.ExitStack() as stack:
+        parts = [stack.enter_context(tempfile.TemporaryFile("w+", encoding="utf-8", newline="")) for _ in table.columns]
+        for k, text in _columns_as_json(table.orderBy("ord") if "ord" in table.columns else table):
+            parts[k].write((", " if parts[k].tell() else "") + text)
+        for n, (name, part) in enumerate(zip(table.columns, parts, strict=True)):
+            yield (", " if n else "") + json.dumps(name) + ": ["
+            part.seek(0)
+            while stretch := part.read(1 << 20):
+                yield stretch
+            yield "]"
     yield "}}\n"
 
 
