@@ -6,6 +6,8 @@ import argparse
 import sys
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,7 +157,7 @@ def _emit(args: argparse.Namespace, table: DataFrame, metadata: dict, report: Ca
     else:
         text = "\n".join(report()) + "\n"
         if args.output:
-            with open(args.output, "w") as f:
+            with sinks.text_file(args.output) as f:
                 f.write(text)
         else:
             sys.stdout.write(text)
@@ -173,13 +175,16 @@ def _screen(spark: SparkSession, args: argparse.Namespace) -> None:
     _soft(found.errors)
 
     def report() -> list[str]:
-        lines = [f"{'index':24}{'cutoff':>12}{'mean':>12}{'std':>12}{'flagged':>10}{'of':>8}"]
+        lines = [f"{'index':24}{'cutoff':>12}  {'from':16}{'mean':>12}{'std':>12}{'flagged':>10}{'of':>8}"]
         for r in found.summary.collect():
-            lines.append(f"{r['index']:24}{_number(found.cutoffs[r['index']]):>12}{_number(r['mean']):>12}{_number(r['std']):>12}{r['n_flagged']:>10}{r['n_valid']:>8}")
+            k = r["index"]
+            source, p = found.settings["cutoff_sources"][k], found.settings["percentiles"][k]
+            lines.append(f"{k:24}{_number(found.cutoffs[k]):>12}  {source if p is None else f'percentile {p:g}':16}{_number(r['mean']):>12}{_number(r['std']):>12}{r['n_flagged']:>10}{r['n_valid']:>8}")
         lines.append(f"respondents with at least {args.min_flags} flags: {found.table.filter('consensus_flag').count()}")
         return lines + [f"  {r['respondent_id']}: {r['flag_count']} of {r['valid_index_count']}" for r in sinks.top(found.table, "flag_count", args.top)]
 
     _emit(args, found.table, {**found.settings, "cutoffs": found.cutoffs, "errors": found.errors}, report)
+    found.release()
 
 
 def _composite(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -203,7 +208,11 @@ def _composite(spark: SparkSession, args: argparse.Namespace) -> None:
         lines = [f"indices: {', '.join(found.names)}", f"respondents: {s['n_valid']} of {s['n_total']}; mean {_number(s['mean'])}, std {_number(s['std'])}"]
         return lines + [f"  {r['respondent_id']}: {_number(r['composite'])}" for r in sinks.top(table, "composite", args.top)]
 
-    _emit(args, table, {"method": args.method, "indices": found.names, "errors": found.errors}, report)
+    _emit(args, table, {
+        "method": args.method, "indices": found.names, "standardize": args.standardize, "weights": _named(args.weight) or {}, "min_valid_indices": args.min_valid_indices,
+        "threshold": args.threshold, "percentile": args.percentile, "errors": found.errors,
+    }, report)
+    found.release()
 
 
 def _response_time(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -243,6 +252,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    except (PySparkException, Py4JJavaError) as e:  # a cell or a row that an executor refuses
+        said = str(e.java_exception.getMessage()) if isinstance(e, Py4JJavaError) else str(e)
+        print("error: " + next((x for x in said.splitlines() if x.strip()), "the job failed"), file=sys.stderr)
+        return 1
     return 0
 
 

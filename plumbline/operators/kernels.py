@@ -1,7 +1,7 @@
 """Vectorised kernels over batches of rows. Each takes a matrix with NaN for missing answers and gives a vector.
 
 A kernel is an Arrow function of the answers. Arrow functions over one column that are selected together run in one Python node, so a screen sends its
-matrix to Python once; the matrix is made once for all of them, from the flat buffer of the lists.
+answers to Python once; matrices are made from the flat buffer of the lists, without Python lists.
 """
 
 from __future__ import annotations
@@ -32,23 +32,11 @@ def matrix(rows: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
-#: The last column that was made a matrix, by rows and width: kernels of one node take the same one.
-_made: list = [None, None, {}]
-
-
 def matrices(rows: pa.ListArray, width: int | None) -> Iterator[np.ndarray]:
     """Consecutive rows of at most CELLS cells, or one row."""
-    key = (rows.offset, len(rows), rows.buffers()[1].address if rows.buffers()[1] else 0)
-    if _made[0] != key:
-        _made[:] = [key, rows, {}]  # holds on to the column, so that its address can't be another's
-    if width not in _made[2]:
-        wide = width or int(np.diff(rows.offsets.to_numpy()).max(initial=1))
-        if len(rows) * wide > CELLS:
-            step = max(1, CELLS // max(wide, 1))
-            yield from (matrix(rows.slice(k, step), width) for k in range(0, len(rows), step))
-            return
-        _made[2][width] = matrix(rows, width)
-    yield _made[2][width]
+    wide = width or int(np.diff(rows.offsets.to_numpy()).max(initial=1))
+    step = max(1, CELLS // max(wide, 1))
+    yield from (matrix(rows.slice(k, step), width) for k in range(0, len(rows), step))
 
 
 def _run(body: Callable, rows: pa.ListArray, width: int | None, others: tuple[pa.Array, ...]) -> list[tuple[np.ndarray, ...]]:

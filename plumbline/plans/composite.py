@@ -83,7 +83,8 @@ def combine(scores: DataFrame, names: Sequence[str], method: str = "mean", stand
     return CompositeResult(table.withColumn("composite", out), list(names), dict(errors or {}), scores)
 
 
-def composite(frame: ResponseFrame, indices: Sequence[str] | None = None, method: str = "mean", standardize: bool = True, *, options: IndexOptions | None = None, weights=None, min_valid_indices: int | None = None, strict: bool = False, workers: int = 1) -> CompositeResult:
+def composite(frame: ResponseFrame, indices: Sequence[str] | None = None, method: str = "mean", standardize: bool = True, *, options: IndexOptions | None = None, weights=None, min_valid_indices: int | None = None, strict: bool = False, workers: int = 1, return_diagnostics: bool = False) -> CompositeResult | tuple[CompositeResult, dict[str, str]]:
+    """The composite of a frame's indices. return_diagnostics: also, by itself, why indices weren't scored (the result's errors)."""
     if method not in METHODS:
         raise ValueError("method must be mean, sum, max or best_subset")
     options = options or IndexOptions()
@@ -94,7 +95,8 @@ def composite(frame: ResponseFrame, indices: Sequence[str] | None = None, method
     validate_min_valid(min_valid_indices, len(names))
     w = _weights(weights, names)
     columns, errors = score_columns(frame, names, options, strict, workers)
-    return combine(score_table(frame, columns), list(columns), method, standardize, {k: v for k, v in w.items() if k in columns}, min_valid_indices, len(names), errors)
+    found = combine(score_table(frame, columns), list(columns), method, standardize, {k: v for k, v in w.items() if k in columns}, min_valid_indices, len(names), errors)
+    return (found, dict(errors)) if return_diagnostics else found
 
 
 def composite_scores(scores: DataFrame, method: str = "mean", standardize: bool = True, *, weights=None, min_valid_indices: int | None = None) -> CompositeResult:
@@ -105,12 +107,14 @@ def composite_scores(scores: DataFrame, method: str = "mean", standardize: bool
     return combine(scores, names, method, standardize, weights, min_valid_indices)
 
 
-def composite_flag(frame: ResponseFrame, *args, threshold: float | None = None, percentile: float = 95.0, digits: int | None = None, **options) -> DataFrame:
-    """The composite's table with a flag. digits: the composite is rounded to so many decimals first, so that noise can't decide at the cutoff."""
-    table = composite(frame, *args, **options).table
-    if digits is not None:
-        table = table.withColumn("composite", F.round("composite", digits) + F.lit(0.0))
-    return flag_scores(table, "composite", threshold, percentile, "high")
+def composite_flag(frame: ResponseFrame, *args, threshold: float | None = None, percentile: float = 95.0, return_diagnostics: bool = False, **options) -> DataFrame | tuple[DataFrame, dict[str, str]]:
+    """The composite's table with a flag."""
+    found = composite(frame, *args, **options)
+    try:
+        flagged = flag_scores(found.table, "composite", threshold, percentile, "high")
+    finally:
+        found.release()
+    return (flagged, found.errors) if return_diagnostics else flagged
 
 
 def composite_summary(frame: ResponseFrame, *args, **options) -> tuple[CompositeResult, DataFrame]:
@@ -122,7 +126,6 @@ def composite_summary(frame: ResponseFrame, *args, **options) -> tuple[Composite
 
 def composite_probability(frame: ResponseFrame, *args, **options) -> DataFrame:
     """The composite of standardised scores, through the logistic function."""
-    table = composite(frame, *args, **{**options, "standardize": True}).table
-    return table.withColumn("probability", logistic(F.col("composite")))
-
-
+    found = composite(frame, *args, **{**options, "standardize": True})
+    found.release()
+    return found.table.withColumn("probability", logistic(F.col("composite")))

@@ -95,7 +95,9 @@ def decide(scores: DataFrame, names: Sequence[str], percentile: float = 95.0, mi
         v, f = seen[f"{k}__valid"], int(flagged[k] or 0)
         rows.append((k, *(seen[f"{k}__{s}"] for s in ("mean", "std", "min", "max")), v, seen["n"] - v, f, f / v if v else None))
     schema = "index string, mean double, std double, min double, max double, n_valid bigint, n_unavailable bigint, n_flagged bigint, flag_rate double"
-    settings = {"percentile": percentile, "min_flags": min_flags, "min_valid_indices": min_valid_indices}
+    sources = {k: "presence" if INDICES[k].mode == "presence" else "fixed" if k in fixed else "percentile" for k in names}
+    used = {k: own.get(k, percentile) if sources[k] == "percentile" else None for k in names}
+    settings = {"percentile": percentile, "min_flags": min_flags, "min_valid_indices": min_valid_indices, "cutoff_sources": sources, "percentiles": used}
     return ScreenResult(table, scores.sparkSession.createDataFrame(rows, schema), cutoffs, dict(errors or {}), settings, scores)
 
 

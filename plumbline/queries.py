@@ -422,9 +422,20 @@ count(*) - count({k}) AS n_unavailable, count(*) FILTER (flag_{k}) AS n_flagged,
     return head + f" SELECT r, {', '.join(f'flag_{k}' for k in SCREENED)}, CAST({count} AS INT) AS flag_count, CAST({valid} AS INT) AS valid_index_count, ({valid}) >= {least} AND ({count}) >= {min_flags} AS consensus_flag FROM f"
 
 
+_held: list[S.ScreenResult | C.CompositeResult] = []
+
+
+def _one(result):
+    """A result whose scores are held until the next query has one: a table that a query returns is computed later."""
+    while _held:
+        _held.pop().release()
+    _held.append(result)
+    return result
+
+
 def _screen(**settings) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        t = S.screen_scores(_rounded(spark, sf), **settings).table
+        t = _one(S.screen_scores(_rounded(spark, sf), **settings)).table
         return t.select(F.col("ord").alias("r"), *[F.col(f"flag__{k}").alias(f"flag_{k}") for k in SCREENED], "flag_count", "valid_index_count", "consensus_flag")
 
     return run
@@ -438,19 +449,19 @@ for _name, _spark, _sql in (
     ("screen_min_valid", {"min_valid_indices": 5, "min_flags": 1}, {"least": 5, "min_flags": 1}),
 ):
     QUERIES[_name], SQL[_name] = _screen(**_spark), _screen_sql(**_sql)
-QUERIES["screen_summary"] = lambda s, d: S.screen_scores(_rounded(s, d)).summary.select(
+QUERIES["screen_summary"] = lambda s, d: _one(S.screen_scores(_rounded(s, d))).summary.select(
     "index", *[_r(F.col(k)).alias(k) for k in ("mean", "std", "min", "max")], "n_valid", "n_unavailable", "n_flagged", _r(F.col("flag_rate")).alias("flag_rate")
 )
 SQL["screen_summary"] = _screen_sql(summary=True)
 
 
 def _screen_frame(spark: SparkSession, sf: str) -> DataFrame:
-    t = S.screen(oa(spark, sf), SCREENED, percentile=90.0).table
+    t = _one(S.screen(oa(spark, sf), SCREENED, percentile=90.0)).table
     return t.select(F.col("ord").alias("r"), *[F.col(f"flag__{k}").alias(f"flag_{k}") for k in SCREENED], "flag_count", "valid_index_count", "consensus_flag")
 
 
 QUERIES["screen_frame"], SQL["screen_frame"] = _screen_frame, _screen_sql(percentile=90.0)
-QUERIES["screen_default"] = lambda s, d: S.screen(emb(s, d)).table.select(F.col("ord").alias("r"), "flag_count", "valid_index_count", "consensus_flag")
+QUERIES["screen_default"] = lambda s, d: _one(S.screen(emb(s, d))).table.select(F.col("ord").alias("r"), "flag_count", "valid_index_count", "consensus_flag")
 
 # --- composites -------------------------------------------------------------------------------------------------------
 
@@ -476,7 +487,7 @@ def _composite_sql(method: str = "mean", standardize: bool = True, weights: dict
 
 def _composite(**settings) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        t = C.composite_scores(_rounded(spark, sf, COMBINED), **settings).table
+        t = _one(C.composite_scores(_rounded(spark, sf, COMBINED), **settings)).table
         return t.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
 
     return run
@@ -497,7 +508,8 @@ SQL["composite_probability"] = _composite_sql(score="score", last="SELECT r, rou
 
 
 def _composite_summary(spark: SparkSession, sf: str) -> DataFrame:
-    _, s = C.composite_summary(oa(spark, sf), COMBINED)
+    found, s = C.composite_summary(oa(spark, sf), COMBINED)
+    _one(found)
     return s.select(*[_r(F.col(k)).alias(k) for k in ("mean", "std", "min", "max")], "n_total", "n_valid")
 
 
@@ -505,7 +517,7 @@ QUERIES["composite_summary"] = _composite_summary
 SQL["composite_summary"] = _composite_sql(
     score="score", last="SELECT round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) + 0.0 AS std, round(min(c), 6) + 0.0 AS min, round(max(c), 6) + 0.0 AS max, count(*) AS n_total, count(c) AS n_valid FROM y"
 )
-QUERIES["composite_best_subset"] = lambda s, d: C.composite(ev(s, d), method="best_subset").table.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
+QUERIES["composite_best_subset"] = lambda s, d: _one(C.composite(ev(s, d), method="best_subset")).table.select(F.col("ord").alias("r"), _r(F.col("composite")).alias("composite"))
 QUERIES["index_catalog"] = lambda s, d: R.index_catalog(s).select("index", "direction", "flag_mode", "screen_default", "composite_default", "composite_allowed", F.coalesce("composite_multiplier", F.lit(0)).alias("composite_multiplier"))
 SQL["index_catalog"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{s.name}', '{s.direction}', '{s.mode}', {s.screened}, {s.combined}, {bool(s.sign)}, CAST({s.sign} AS INT))" for s in R.INDICES.values()

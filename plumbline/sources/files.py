@@ -43,7 +43,7 @@ def _numeric(cell: str) -> bool:
 def sniff(head: str, delimiter: str | None = None) -> str | None:
     """The delimiter of a text's beginning: comma, tab or semicolon; None for white space."""
     if delimiter is not None:
-        if len(delimiter) != 1:
+        if len(delimiter) != 1 or delimiter in '\r\n"':
             raise ValueError("a delimiter is one character")
         return delimiter
     first = ""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gzip
 import json
 import math
 import os
@@ -25,8 +26,14 @@ def plain(table: DataFrame) -> DataFrame:
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """A folder of CSV files, written by the executors."""
-    plain(table).orderBy("ord").write.mode("overwrite").csv(path, header=True) if "ord" in table.columns else plain(table).write.mode("overwrite").csv(path, header=True)
+    """A folder of CSV files, written by the executors; compressed for a path that ends in .gz."""
+    rows = plain(table).orderBy("ord") if "ord" in table.columns else plain(table)
+    rows.write.mode("overwrite").csv(path, header=True, compression="gzip" if path.endswith(".gz") else "none")
+
+
+def text_file(path: str):
+    """A text file to write, compressed for a path that ends in .gz."""
+    return gzip.open(path, "wt", encoding="utf-8") if path.endswith(".gz") else open(path, "w", encoding="utf-8")
 
 
 def _json_value(v):
@@ -65,8 +72,8 @@ def json_pieces(table: DataFrame, metadata: dict) -> Iterator[str]:
 
 def write_json(table: DataFrame, path: str, metadata: dict | None = None) -> None:
     """One file, put in place when it is complete."""
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "w") as f:
+    temporary = f"{path}.{uuid.uuid4().hex}" + ".gz" * path.endswith(".gz")
+    with text_file(temporary) as f:
         f.writelines(json_pieces(table, metadata or {}))
     os.replace(temporary, path)
 

@@ -84,18 +84,16 @@ def test_best_subset_query(spark):
     assert np.allclose(got, np.nanmean(z, axis=0), atol=1e-6)
 
 
-def test_lz_of_missing_answers(frame):
+def plain_lz(x):
     """Parameters, abilities and fit from the definitions, by bisection instead of Newton steps."""
-    rng = np.random.default_rng(4)
-    x = rng.integers(0, 2, (40, 12)).astype(float)
-    x[rng.random(x.shape) < 0.15] = np.nan
     p = np.clip(np.nanmean(x, axis=0), 0.001, 0.999)
     b, total = -np.log(p / (1 - p)), np.nansum(x, axis=1)
     a = []
     for v in x.T:
         ok = ~np.isnan(v)
-        r = np.clip(np.corrcoef(v[ok], total[ok])[0, 1], -0.99, 0.99)
-        a.append(np.clip(1.7 * r / np.sqrt(1 - r * r), 0.2, 3))
+        varied = ok.sum() > 1 and v[ok].std() > 0 and total[ok].std() > 0
+        r = np.clip(np.corrcoef(v[ok], total[ok])[0, 1], -0.99, 0.99) if varied else None
+        a.append(np.clip(1.7 * r / np.sqrt(1 - r * r), 0.2, 3) if varied else 1.0)
     a, want = np.array(a), []
     for v in x:
         ok = ~np.isnan(v)
@@ -111,6 +109,14 @@ def test_lz_of_missing_answers(frame):
         q = np.clip(prob(t), 1e-10, 1 - 1e-10)
         fit = np.where(v[ok] == 1, np.log(q), np.log(1 - q)).sum() - (q * np.log(q) + (1 - q) * np.log(1 - q)).sum()
         want.append(fit / np.sqrt((q * (1 - q) * np.log(q / (1 - q)) ** 2).sum()))
+    return np.array(want)
+
+
+def test_lz_of_missing_answers(frame):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (40, 12)).astype(float)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    want = plain_lz(x)
     f = frame(x.tolist())
     got = column(f.with_scores(score=P.lz(f)), "score")
     assert np.allclose(got, want, atol=1e-6)
@@ -118,6 +124,29 @@ def test_lz_of_missing_answers(frame):
     assert [r["flag"] for r in flags] == [s < -0.5 for s in want]
 
 
+def test_lz_queries(spark):
+    x = matrix(Q.ev(spark, SF))
+    want = plain_lz(np.where(np.isnan(x), np.nan, x > (np.nanmin(x) + np.nanmax(x)) / 2))
+    got = {r["r"]: r["score"] for r in Q.QUERIES["lz"](spark, SF).collect()}
+    flags = {r["r"]: (r["score"], r["flag"]) for r in Q.QUERIES["lz_flag"](spark, SF).collect()}
+    order = sorted(got)
+    assert np.allclose([got[r] for r in order], want, atol=2e-6)
+    assert [flags[r] for r in order] == [(got[r], bool(w < -1.96)) for r, w in zip(order, want, strict=True)]
+
+
+def test_mahad_of_many_items(spark):
+    """All 64 dimensions of the embeddings, whose covariance is well conditioned, and the flags of each method."""
+    f = Q.emb(spark, SF)
+    x = matrix(f)
+    d = x - x.mean(axis=0)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(x, rowvar=False)), d))
+    scores = f.with_scores(score=P.mahad(f))
+    assert np.allclose(column(scores, "score"), want, atol=1e-8)
+    q1, q3 = np.percentile(want, [25, 75])
+    assert column(P.mahad_flag(scores, 64, method="iqr"), "flag").tolist() == ((want > q3 + 1.5 * (q3 - q1)) | (want < q1 - 1.5 * (q3 - q1))).tolist()
+    assert P.mahad_summary(f).first()["median"] == pytest.approx(np.median(want))
+
+
 def test_default_screen_query(spark):
     """Flags and their counts from the scores themselves."""
     t = screen(Q.emb(spark, SF)).table.orderBy("ord").toPandas()
