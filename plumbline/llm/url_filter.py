@@ -12,7 +12,7 @@ spread by its templates. No user functions.
 
 Defined cases: a null url or one without ``://`` has empty host and path and takes part as the empty host's root template;
 repeated rows are judged alike; among rules of equal length the first listed wins; an empty table gives an empty table; what a path
-has below DEPTH segments counts as one last segment, whole; columns of pages named like a column that is made give way. Working
+has below `depth` segments counts as one last segment, whole; columns of pages named like a column that is made give way. Working
 columns carry a leading ``_u_``.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: (verdict, host/path), as the production filter has them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -52,30 +52,31 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def segments_of(path: Column) -> Column:
-    """DEPTH + 1 strings: the path's segments, variable ones as ``*``, missing ones empty, and all deeper ones joined."""
+def segments_of(path: Column, depth: int = DEPTH) -> Column:
+    """depth + 1 strings: the path's segments, variable ones as ``*``, missing ones empty, and all deeper ones joined."""
     parts = F.split(path, "/")
     bare = F.transform(
         parts,
         lambda s: F.when(F.regexp_replace(s, r"\.[a-z]{1,5}$", "").rlike(VARIABLE), F.lit("*")).otherwise(s),
     )
     return F.array(
-        *[F.coalesce(F.get(bare, F.lit(k + 1)), F.lit("")) for k in range(DEPTH)],
-        F.array_join(F.slice(bare, DEPTH + 2, F.greatest(F.size(parts), F.lit(1))), "/"),
+        *[F.coalesce(F.get(bare, F.lit(k + 1)), F.lit("")) for k in range(depth)],
+        F.array_join(F.slice(bare, depth + 2, F.greatest(F.size(parts), F.lit(1))), "/"),
     )
 
 
-def template_tree(pages: DataFrame) -> DataFrame:
+def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """_u_host, _u_segments (as written), _u_template, _u_purity: one row for each distinct host and list of segments.
 
-    pages has _u_host, _u_segments, _u_bad (1, 0 or null).
+    pages has _u_host, _u_segments (depth + 1 of them), _u_bad (1, 0 or null).
     """
     df = pages.groupBy("_u_host", "_u_segments").agg(
         F.count(F.lit(1)).alias("_u_n"), F.count("_u_bad").alias("_u_labelled"), F.sum(F.coalesce("_u_bad", F.lit(0))).alias("_u_bad")
     )
     df = materialise(df.withColumn("_u_template", F.lit("")), "templates")
     sums = [F.sum(c).alias(c) for c in ("_u_n", "_u_labelled", "_u_bad")]
-    for level in range(DEPTH + 1):
+    for level in range(depth + 1):
+        before = df
         df = df.withColumn("_u_segment", F.get("_u_segments", F.lit(level)))
         children = df.groupBy("_u_host", "_u_template", "_u_segment").agg(*sums)
         node = children.groupBy("_u_host", "_u_template").agg(
@@ -93,6 +94,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         df = df.join(said, ["_u_host", "_u_template", "_u_segment"])
         df = df.withColumn("_u_template", F.concat("_u_template", F.lit("/"), "_u_step")).drop("_u_step", "_u_segment")
         df = materialise(df, "templates")  # each level reads the one before three times
+        discard(before)
     own = df.groupBy("_u_host", "_u_template").agg(F.sum("_u_bad").alias("_u_bad"), F.sum("_u_labelled").alias("_u_labelled"))
     anywhere = own.groupBy("_u_template").agg(
         ((F.sum("_u_bad") + F.lit(PRIOR * WEIGHT)) / (F.sum("_u_labelled") + F.lit(WEIGHT))).alias("_u_anywhere")
@@ -102,14 +104,14 @@ def template_tree(pages: DataFrame) -> DataFrame:
     return df.select("_u_host", "_u_segments", "_u_template").join(purity, ["_u_host", "_u_template"])
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, bad: str | None = None) -> DataFrame:
-    """pages with host, path, rule, template, purity, verdict. bad: a column of labels (1 bad, 0 good, null unknown)."""
+def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, bad: str | None = None, depth: int = DEPTH) -> DataFrame:
+    """pages with host, path, rule, template, purity, verdict. bad: a column of labels (1 bad, 0 good, null unknown). depth: levels of the tree."""
     host, path = host_and_path(F.col(url))
     df = pages.withColumns({"_u_host": host, "_u_path": path})
     rule, verdict = rule_of(F.col("_u_host"), F.col("_u_path"), rules)
-    df = df.withColumns({"_u_rule": rule, "_u_verdict": verdict, "_u_segments": segments_of(F.col("_u_path"))})
+    df = df.withColumns({"_u_rule": rule, "_u_verdict": verdict, "_u_segments": segments_of(F.col("_u_path"), depth)})
     label = F.col(bad).cast("int") if bad else F.when(F.col("_u_verdict") == "block", 1).when(F.col("_u_verdict") == "allow", 0)
-    tree = template_tree(df.select("_u_host", "_u_segments", label.alias("_u_bad")))
+    tree = template_tree(df.select("_u_host", "_u_segments", label.alias("_u_bad")), depth)
     df = df.join(tree, ["_u_host", "_u_segments"], "left")
     own = F.when(F.col("_u_purity") >= THRESHOLD, F.lit("block")).otherwise(F.lit("allow"))
     made = {"host": "_u_host", "path": "_u_path", "rule": "_u_rule", "template": "_u_template", "purity": "_u_purity"}

@@ -55,3 +55,26 @@ def test_empty_tables(spark, folder):
     sf, _, _ = folder
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, materialise(table(spark, sf, "documents").limit(0), "empty"), sf).count() == 0, name
+
+
+def test_columns_of_any_name_ties_and_long_texts_pass_every_stage(spark, folder):
+    """Names that operators use within, a dotted one, null and repeated ids, and a text of half a million characters."""
+    sf, texts, passage = folder
+    rng = random.Random(9)
+    long = " ".join(f"{rng.choice(('the', 'of', 'and'))} {rng.choice('bdfgl')}{k}{rng.choice('aeiou')}" for k in range(60_000)) + "."
+    rows = [(i, t, "en", "s", len(t or ""), *[k] * 9) for k, (i, t) in enumerate([*enumerate(texts), (100, long), (100, long), (None, texts[3]), (None, texts[4][::-1])])]
+    extra = ["ranges", "shorter", "parts", "hits", "kept", "fingerprint", "key", "row", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` int" for c in extra))
+    docs = materialise(df, "clash")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf), "clash")
+        got = docs.toPandas()
+        if name == "packing":
+            assert (got.dropna(subset="doc_id").groupby("doc_id")["length"].sum() == got.dropna(subset="doc_id").groupby("doc_id")["doc_tokens"].first()).all()
+            assert 100 in set(got["doc_id"])
+            continue
+        assert docs.columns == df.columns, name
+        for c in extra:  # each row keeps its own values
+            assert got[c].tolist() == got[extra[0]].tolist() and got[c].is_unique
+        assert (got["doc_id"] == 100).sum() == (2 if name == "quality rules" else 1), name
+    assert (got["doc_tokens"] > 0).all()

@@ -349,6 +349,8 @@ def test_held_out_accuracy(spark, name, label, least):
     held = got[got["held_out"]].merge(marks, on="doc_id")
     good, bad = held["score"][held[label] == 1].to_numpy(), held["score"][held[label] == 0].to_numpy()
     assert (good[:, None] > bad[None, :]).mean() > least
+    if label == "toxic":
+        assert (good >= 0.3).mean() >= 0.88 and (good >= 0.3).sum() >= 0.85 * (held["score"] >= 0.3).sum()
 
 
 @pytest.mark.parametrize("module, label", [(quality_model, "quality"), (toxicity, "toxic")])
