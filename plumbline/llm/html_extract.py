@@ -298,19 +298,19 @@ _BAD_BOXES = (
 )
 
 
-def _training_page(rng: random.Random) -> str:
-    """A page; what is inside of an element with the attribute data-keep is main text."""
+def _training_page(rng: random.Random, more: random.Random | None = None) -> str:
+    """A page; what is inside of an element with the attribute data-keep is main text. more: draws what stands within sentences, and controls
+    by themselves, of which there are none otherwise."""
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdfglmnrst") for _ in range(rng.randint(1, 4)))
     line = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
     prose = lambda: " ".join(line(4, 14) for _ in range(rng.randint(1, 9)))
     marked = lambda w: rng.choice((f'<a href="/{word()}">{w}</a>', f"<i>{w}</i>", f"<em>{w}</em>"))
     written = lambda: " ".join(marked(w) if rng.random() < 0.1 else w for w in prose().split())
     ended = lambda t, s: f"<{t}>{flow(s) if t == 'p' else s}" + (f"</{t}>" if rng.random() < 0.9 else "")
-    more = random.Random(rng.getrandbits(32))  # of what stands within sentences, and of controls by themselves
-    flow = lambda s: s if more.random() > 0.12 else s.replace(" ", f" {within()} ", 1)
+    flow = lambda s: s if more is None or more.random() > 0.12 else s.replace(" ", f" {within()} ", 1)
     within = lambda: more.choice((f"<button>{word_()}</button>", f"<math><mi>{word_()}</mi></math>", f'<button type="button">{word_()} {word_()}</button>', f"<math><mi>x</mi><mo>=</mo><mn>{more.randint(1, 99)}</mn></math>"))
     word_ = lambda: "".join(more.choice("aeiou") + more.choice("bdfglmnrst") for _ in range(more.randint(1, 3)))
-    control = lambda: "" if more.random() > 0.12 else more.choice((f"<button data-drop>{word_()}</button>", f'<button class="btn" data-drop>{word_()} {word_()}</button>', f"<select data-drop><option>{word_()}<option>{word_()}<option>{word_()}</select>", f"<svg data-drop><path d=1 /><text>{word_()}</text></svg>"))
+    control = lambda: "" if more is None or more.random() > 0.3 else more.choice((f"<button data-drop>{word_()}</button>", f'<button class="btn" data-drop>{word_()} {word_()}</button>', f"<select data-drop><option>{word_()}<option>{word_()}<option>{word_()}</select>", f"<svg data-drop><path d=1 /><text>{word_()}</text></svg>"))
     links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
 
     def bad() -> str:
@@ -424,9 +424,10 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES,
 
 @functools.cache
 def default_model(pages: int = PAGES, seed: int = 7) -> Trees:
-    rng, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
-        nodes, _ = parse(_training_page(rng))
+    rng, more, xs, ys = random.Random(seed), random.Random(seed), [], []
+    for k in range(pages + pages // 2):  # the last third with controls and formulas, or of a few words and nothing else
+        bare = k >= pages and more.random() < 0.1
+        nodes, _ = parse("<body data-keep>" + " ".join(["word"] * more.randint(1, 12)) if bare else _training_page(rng, more if k >= pages else None))
         xs.append(features(nodes)[1:])
         ys.append(_labels(nodes)[1:])
     x, y = np.concatenate(xs), np.concatenate(ys)
