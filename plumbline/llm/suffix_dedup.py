@@ -5,9 +5,10 @@ Every string of LENGTH bytes that starts at two places anywhere is found, and th
 1. Dealing out. A window of LENGTH bytes is keyed by its minimizer, the leftmost smallest hash of its GRAM-byte strings. Windows
    in a row with one minimizer form a segment of at most 2 * LENGTH - GRAM bytes. Equal windows have equal keys, so only segments
    that share a key need meet. Equal segments (64-bit hash, within a key) are collapsed into one with a count before anything is gathered;
-   keys that are met once are dropped. A key with more than HOT bytes of different segments is dealt again by three minimizers
-   (of the whole window, of its first and of its last quarter), under another hash each time, up to LEVELS - 1 times; what is still
-   hot then is dealt by its windows themselves, so that no key gathers more than copies of one. Where repeated windows of fewer bytes
+   keys that are met once are dropped. Of each different segment that is left the bytes are fetched once. A key with more than HOT bytes
+   of them is dealt again by three minimizers (of the whole window, of its first and of its last quarter), under another hash each time, up to LEVELS - 1 times; what is still
+   hot then is dealt by its windows themselves, so that no key gathers more than copies of one. A level takes the hot keys' different
+   segments for its texts, so it costs what they hold; the documents and the other keys aren't read again. Where repeated windows of fewer bytes
    are known, only what they cover is looked at: each window of LENGTH bytes that is found twice consists of them.
 2. Construction. In each task, the segments of whole keys form collections of about CHUNK bytes. A segment stands for WORD
    documents, one for each phase, whose symbols are the hashes of its WORD-byte words: a suffix of whole words for every byte.
@@ -48,8 +49,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -182,17 +183,20 @@ def _joined(ranges, length: int) -> list[tuple[int, int]]:
 
 
 def _refiner(length: int, gram: int, level: int, levels: int):
-    """Occurrences of hot keys (_x_row, text, parts) to those of finer keys."""
+    """Segments of hot keys (_x_row, key, text) to occurrences of finer keys in them."""
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row, text, parts in pdf[["_x_row", "text", "parts"]].itertuples(index=False):
-                data, rows = _bytes(text), []
-                for p in parts:
-                    piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
-                    key, start, n = finer(piece, p["key"], level, length, gram, levels)
-                    rows.append((row, key, _names(piece, start, n, length), start + p["start"], n))
-                yield _table(rows)
+            rows, size = [], 0
+            for row, old, text in pdf[["_x_row", "key", "text"]].itertuples(index=False, name=None):
+                data = _bytes(text)
+                key, start, n = finer(data, old, level, length, gram, levels)
+                rows.append((row, key, _names(data, start, n, length), start, n))
+                size += len(n)
+                if size > 200_000:
+                    yield _table(rows)
+                    rows, size = [], 0
+            yield _table(rows)
 
     return refine
 
@@ -205,12 +209,12 @@ def _fetcher(length: int):
                 data = _bytes(text)
                 for p in parts:
                     piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
-                    out.append((p["key"], p["h1"], p["n"], piece))
+                    out.append((p["key"], p["h1"], p["n"], p["hot"], piece))
                     size += len(piece)
                 if size > 16_000_000:
-                    yield pd.DataFrame(out, columns=["key", "h1", "n", "data"])
+                    yield pd.DataFrame(out, columns=["key", "h1", "n", "hot", "data"])
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=["key", "h1", "n", "data"])
+            yield pd.DataFrame(out, columns=["key", "h1", "n", "hot", "data"])
 
     return fetch
 
@@ -385,7 +389,7 @@ def _finder(length: int, word: int, chunk: int):
 
 def _parts(df: DataFrame) -> DataFrame:
     """_x_row, parts: what to cut out of each document."""
-    return df.groupBy("_x_row").agg(F.collect_list(F.struct("key", "h1", "start", "n")).alias("parts"))
+    return df.groupBy("_x_row").agg(F.collect_list(F.struct("key", "h1", "start", "n", "hot")).alias("parts"))
 
 
 def _reaches(length: int, inner: int):
@@ -421,36 +425,43 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
     discard(every)
     discard(met)
     release(spark)
+    out = _ranges_in(docs, occurrences, length, gram, word, chunk, hot, levels)
+    if within is not None:
+        discard(docs)
+        release(spark)
+    return out
+
+
+def _ranges_in(docs: DataFrame, occurrences: DataFrame, length: int, gram: int, word: int, chunk: int, hot: int, levels: int, level: int = 1) -> DataFrame:
+    """_x_row, ranges of docs, whose segments are `occurrences` (deleted here). Keys that are hot are split by the hashes of `level`."""
+    spark = docs.sparkSession
     contents = materialise(_contents(occurrences, length), "contents")
     release(spark)
-    for level in range(1, levels + 1):
-        large = contents.filter((F.col("size") > hot) & (F.col("different") > 1))
-        if large.isEmpty():
-            break
-        keys = large.select("key").distinct()
-        parts = _parts(occurrences.join(keys, "key", "left_semi"))
-        again = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_refiner(length, gram, level, levels), _OCCURRENCE)
-        finer_ones = materialise(occurrences.join(keys, "key", "left_anti").select(*again.columns).union(again), "segments")
-        discard(occurrences)
-        discard(contents)
-        release(spark)
-        occurrences = finer_ones
-        contents = materialise(_contents(occurrences, length), "contents")
-        release(spark)
-    parts = _parts(contents.filter("different > 1").select("key", "h1", "n", "one._x_row", "one.start"))
-    cut = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_fetcher(length), "key bigint, h1 bigint, n int, data binary")
-    found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(
+    several = contents.filter("different > 1").withColumn("hot", F.lit(level <= levels) & (F.col("size") > hot))
+    parts = _parts(several.select(*_NAME, "hot", "one._x_row", "one.start"))
+    cut = docs.select("_x_row", "text").join(parts, "_x_row").mapInPandas(_fetcher(length), "key bigint, h1 bigint, n int, hot boolean, data binary")
+    cut = materialise(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    release(spark)
+    found = cut.filter("NOT hot").select(*_NAME, "data").repartition("key").sortWithinPartitions("key").mapInPandas(
         _finder(length, word, chunk), "key bigint, h1 bigint, n int, ranges array<struct<a:int,b:int>>"
     )
     found = materialise(found, "found")
     release(spark)
+    made, known = [occurrences, contents, cut, found], found
+    if not several.filter("hot").isEmpty():
+        pieces = cut.filter("hot").select(F.col("piece").alias("_x_row"), *_NAME, F.col("data").alias("text"))
+        finer_ones = materialise(pieces.select("_x_row", "key", "text").mapInPandas(_refiner(length, gram, level, levels), _OCCURRENCE), "segments")
+        inner = _ranges_in(pieces.select("_x_row", "text"), finer_ones, length, gram, word, chunk, hot, levels, level + 1)
+        split = pieces.select("_x_row", *_NAME).join(inner, "_x_row").select(*_NAME, F.col("ranges").cast("array<struct<a:int,b:int>>").alias("ranges"))
+        known = found.unionByName(split)
+        made.append(inner)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges")
     copies = contents.filter("times > 1").select(*_NAME, whole)
-    single = found.join(contents.filter("times > 1").select(*_NAME), list(_NAME), "left_anti")
+    single = known.join(contents.filter("times > 1").select(*_NAME), list(_NAME), "left_anti")
     ranges = occurrences.join(single.unionByName(copies).drop("n"), ["key", "h1"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     out = materialise(ranges.groupBy("_x_row").agg(F.flatten(F.collect_list(moved)).alias("ranges")), "ranges")
-    for t in (occurrences, contents, found, *([docs] if within is not None else [])):
+    for t in made:
         discard(t)
     release(spark)
     return out

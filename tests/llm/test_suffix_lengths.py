@@ -72,3 +72,25 @@ def test_windows_of_near_copies_part_at_every_level():
         parts = list(dict.fromkeys(out))
         largest.append(max(Counter(k for k, _ in parts).values()))
     assert largest[-1] == 1 and largest[1] <= largest[0] and largest[3] < largest[0] / 2
+
+
+def test_hot_keys_read_no_text_again(spark):
+    """Splitting hot keys, at any number of levels, costs what they hold: every text is read twice, as without hot keys."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(700))
+    texts = [passage[:k] + "#" + passage[k + 1 :] for k in range(0, 700, 7)] + ["".join(rng.choice("qrstuvwxyz ") for _ in range(500)) for _ in range(50)]
+    stored = materialise(spark.createDataFrame(list(enumerate(texts)), "_x_row bigint, text string").repartition(2), "hot-keys")
+    got, reads = {}, {}
+    for hot in (10**9, 2_000):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for pdf in batches:
+                read.add(len(pdf))
+                yield pdf
+
+        rows = suffix_dedup.repeated_ranges(stored.mapInPandas(counted, stored.schema), hot=hot).collect()
+        got[hot], reads[hot] = {r[0]: suffix_dedup.removed(700, r["ranges"]) for r in rows}, read.value
+    assert got[2_000] == got[10**9]
+    assert got[2_000].keys() == {i for i, k in enumerate(range(0, 700, 7)) if k >= 400 or k < 300}
+    assert reads[2_000] == reads[10**9] == 2 * len(texts)
