@@ -24,12 +24,12 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,8 @@ KEYS = 4
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
 TOKENIZER = "word_bpe_49k.json"
 _CACHED, _CACHED_CHARS = 900_000, 48
+#: Characters of the texts whose chunks are looked up together.
+_AT_ONCE = 2_000_000
 #: Between a letter and a full stop or comma, a space changes no token of this tokenizer.
 _BREAK = re.compile("[.,](?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,])")
 #: Where a full stop or comma follows anything but an ASCII letter or digit, a Latin-1 letter or white space: it may share a token with that.
@@ -168,20 +170,12 @@ class Encoder:
         raw, cut = np.array(ids, "<u4").tobytes(), (4 * np.searchsorted(where, start, "left")).tolist()
         return {c: raw[a:b] for c, a, b in zip(chunks, cut[:-1], cut[1:], strict=True)}
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, little-endian and unsigned of 32 bits."""
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks; what wasn't known is learnt."""
         if len(self.known) > _CACHED:
             self.known.clear()
-        known, split = self.known, []
-        for t in texts:
-            t = t or ""
-            t = t.lower() if t.isascii() or _lowers_by_character(t) else t
-            t = _BREAK.sub(r" \g<0>", t) if _JOINED.search(t) else t.replace(",", " ,").replace(".", " .")
-            split.append(t.replace("\n", " ").split(" "))
-        missing = set(chain.from_iterable(split)).difference(known)
-        extra: dict[str, bytes] = {}
-        known[""] = b""
-        missing.discard("")
+        known, extra = self.known, {"": b""}
+        missing = {c for c in chunks if c and c not in known}
         # Lower-case Latin-1 words are one piece to the tokenizer, and stay as they are: their merges are done together.
         simple = {c: c.encode() for c in missing if len(c) <= _CACHED_CHARS and c.isalpha() and c == c.lower() and _lowers_by_character(c)}
         ids_of = self.merger.encode(list(simple.values())) if simple else {}
@@ -196,9 +190,35 @@ class Encoder:
                 at += 1
             for c, ids in self._learn(some).items():
                 (known if len(c) <= _CACHED_CHARS else extra)[c] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
+        return [known[c] if c in known else extra[c] for c in chunks]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian and unsigned of 32 bits."""
+        out, some, size = [], [], 0
+        for t in texts:
+            t = t or ""
+            t = t.lower() if t.isascii() or _lowers_by_character(t) else t
+            t = _BREAK.sub(r" \g<0>", t) if _JOINED.search(t) else t.replace(",", " ,").replace(".", " .")
+            some.append(t.replace("\n", " "))
+            size += len(t)
+            if size > _AT_ONCE:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some) if some else out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The different chunks of all texts are looked up once, and their ids put in the places of the chunks."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        code, ids_of = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        n = sizes[code]
+        ends = np.cumsum(n)
+        take = np.arange(ends[-1])
+        take += np.repeat((np.cumsum(sizes) - sizes)[code] - ends + n, n)
+        raw = np.frombuffer(b"".join(ids_of), "<u4")[take].tobytes()
+        cut = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _idf(df: np.ndarray, pieces: int) -> np.ndarray:

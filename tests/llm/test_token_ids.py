@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import packing
@@ -29,3 +30,21 @@ def test_ids_are_the_tokenizers(encoder, seed):
     got = encoder.encode_all(texts)
     wrong = [t for t, w, g in zip(texts, want, got, strict=True) if b"".join(i.to_bytes(4, "little") for i in w) != g]
     assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_ids_are_looked_up_once_for_each_different_chunk(encoder):
+    """Not for every word: lookups in a table of a million words are what encoding at scale waits for."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+    texts = ["some words, again. " * 3000, None, "", " ", "\n", "other words " * 10, "x" * 200 + " some " + "x" * 200]
+    encoder.known = Counted()
+    got = encoder.encode_all(texts)
+    assert encoder.known.lookups < 50
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
