@@ -42,7 +42,7 @@ from .common import discard, materialise, release
 LENGTH, GRAM, WORD = 400, 48, 100
 #: Below the bytes of passages of 50 words of running text.
 PASSAGE = 200
-CHUNK, HOT, LEVELS, BLOCK = 3_000_000, 1_000_000, 4, 1 << 20
+CHUNK, HOT, LEVELS, BLOCK = 3_000_000, 1_000_000, 4, 1 << 18
 #: Texts are looked at in pieces of so many bytes, which overlap by LENGTH - 1.
 PIECE = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -56,22 +56,24 @@ def _bytes(text: str | bytes | None) -> bytes:
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """Mixed polynomial hash of every string of `width` bytes."""
     with np.errstate(over="ignore"):
-        power = {1: _TABLE[data]}
-        factor, k = {1: _P}, 1
-        while 2 * k <= width:
-            power[2 * k] = power[k][:-k] * factor[k] + power[k][k:]
-            factor[2 * k] = factor[k] * factor[k]
-            k *= 2
-        n = len(data) - width + 1
-        out, at = None, 0
-        for k in sorted(power, reverse=True):
-            if width - at >= k:
-                part = power[k][at : at + n]
-                out = part if out is None else out * factor[k] + part
-                at += k
+        # Only the hashes of the power of two at hand are held, and those of the ends of the strings, which grow to the left.
+        power, factor, k = _TABLE[data], _P, 1
+        out, got, before = None, 0, np.uint64(1)
+        while True:
+            if width & k:
+                n = len(data) - got - k + 1
+                out = power if out is None else power[:n] * before + out[k:]
+                got, before = got + k, before * factor
+            if 2 * k > width:
+                break
+            longer = power[:-k] * factor
+            longer += power[k:]
+            power, factor, k = longer, factor * factor, 2 * k
+        del power
         out = out ^ (out >> np.uint64(29))
-        out = out * np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        return out
 
 
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -211,7 +213,7 @@ def _fetcher(length: int):
                     piece = data[p["start"] : p["start"] + p["n"] - 1 + length]
                     out.append((p["key"], p["h1"], p["n"], p["hot"], piece))
                     size += len(piece)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield pd.DataFrame(out, columns=["key", "h1", "n", "hot", "data"])
                     out, size = [], 0
             yield pd.DataFrame(out, columns=["key", "h1", "n", "hot", "data"])
@@ -268,16 +270,20 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH, word: int = WORD
     if total < length:
         return [np.zeros(0, np.int64) for _ in pieces]
     hashes = rolling(data, word)
-    _, symbol = np.unique(hashes, return_inverse=True)
-    symbol = np.concatenate([symbol.astype(np.int32), np.full(word - 1, -1, np.int32)])
-    del hashes
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    number = np.zeros(len(order), np.int32)
+    np.cumsum(hashes[1:] != hashes[:-1], out=number[1:])
+    symbol = np.full(total, -1, np.int32)
+    symbol[order] = number
+    del hashes, order, number
     # The end of the piece that each byte is in; a word at `at` exists if at + word <= end.
-    end = np.repeat(base[1:], sizes)
+    end = np.repeat(base[1:].astype(np.int32), sizes)
     # Documents: a piece's phases. Each begins with its rightmost word.
     place = np.concatenate([np.arange(max(a, b - 2 * word + 1), b - word + 1) for a, b in zip(base[:-1], base[1:], strict=True) if b - a >= word])
     rest = np.arange(len(place), dtype=np.int64)  # the empty suffixes come first, in order of the documents
     documents = len(place)
-    first = np.repeat(base[:-1], sizes)
+    first = np.repeat(base[:-1].astype(np.int32), sizes)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Words in common, up to `need`, of the suffixes at a and b."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -94,3 +95,21 @@ def test_hot_keys_read_no_text_again(spark):
     assert got[2_000] == got[10**9]
     assert got[2_000].keys() == {i for i, k in enumerate(range(0, 700, 7)) if k >= 400 or k < 300}
     assert reads[2_000] == reads[10**9] == 2 * len(texts)
+
+
+def test_a_collection_takes_memory_for_a_few_numbers_a_byte():
+    """Two tasks of an executor hold a collection each, beside the JVM: no more than 64 bytes for each of its bytes."""
+    rng = random.Random(13)
+    pieces = []
+    for _ in range(3000):
+        b = rng.randbytes(399)
+        k = rng.randrange(399)
+        pieces += [b, b[:k] + bytes([b[k] ^ 1]) + b[k + 1 :]]
+    tracemalloc.start()
+    found = suffix_dedup.repeated_windows(pieces, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * sum(map(len, pieces))
+    for k in range(0, len(pieces), 500):  # the windows that don't hold the changed byte
+        at = next(i for i, (x, y) in enumerate(zip(pieces[k], pieces[k + 1], strict=True)) if x != y)
+        assert found[k].tolist() == found[k + 1].tolist() == [i for i in range(200) if not i <= at < i + 200]
