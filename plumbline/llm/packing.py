@@ -42,8 +42,10 @@ KEYS = 4
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
 TOKENIZER = "word_bpe_49k.json"
 _CACHED, _CACHED_CHARS = 900_000, 48
-#: Characters of the texts whose chunks are looked up together.
+#: Characters of the texts whose chunks are looked up together, and bytes of the texts that are held with their ids.
 _AT_ONCE = 2_000_000
+#: Signs that are a piece of their own after a word, and share it with no other kind of character.
+_SIGNS = "!#$%&*"
 #: Between a letter and a full stop or comma, a space changes no token of this tokenizer.
 _BREAK = re.compile("[.,](?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,])")
 #: Where a full stop or comma follows anything but an ASCII letter or digit, a Latin-1 letter or white space: it may share a token with that.
@@ -58,6 +60,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def _lowers_by_character(text: str) -> bool:
     """Latin-1 alone: there, lower() changes each character by itself, as the tokenizer does."""
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -69,10 +73,11 @@ class Merger:
     """Byte-pair merges of many words at once, by the merges of the tokenizer's own file.
 
     A word's symbols start as its bytes, the last with the end mark. Each round merges, in every word, the leftmost of its pairs of
-    the lowest rank, as the tokenizer does one word at a time.
+    the lowest rank, as the tokenizer does one word at a time. A merge takes one symbol away from each word that goes on, and
+    only the pairs beside the new symbol are looked up.
     """
 
-    _NONE = np.int64(1 << 40)
+    _NONE = np.int64(1 << 30)
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -115,6 +120,9 @@ class Merger:
             open_ = open_[~hit & (found >= 0)]
         return out
 
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self._rank(left * np.int64(self.size) + right)
+
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words of one or more bytes, as little-endian unsigned numbers of 32 bits."""
         out: dict[bytes, bytes] = {}
@@ -124,29 +132,34 @@ class Merger:
             sizes = np.array([len(w) for w in some])
             width = int(sizes[-1])
             raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in some), np.uint8).reshape(len(some), width)
-            ids = np.where(np.arange(width) < (sizes - 1)[:, None], self.first[raw], np.where(np.arange(width) == (sizes - 1)[:, None], self.last[raw], -1))
-            live, left = np.arange(len(some)), sizes.copy()
-            while len(live) and width > 1:
-                s = ids[live, :width]
-                keys = np.where(s[:, 1:] >= 0, s[:, :-1] * self.size + s[:, 1:], -2)
-                ranks = np.full(keys.shape, self._NONE)
-                there = keys >= 0
-                ranks[there] = self._rank(keys[there])
+            columns = np.arange(width)
+            ids = np.where(columns < (sizes - 1)[:, None], self.first[raw], np.where(columns == (sizes - 1)[:, None], self.last[raw], -1)).astype(np.int32)
+            live, rounds = np.arange(len(some)), 0
+            ranks = np.full((len(some), width), self._NONE, np.int32)  # of each symbol with the next; the last column never has a pair
+            there = np.nonzero(ids[:, 1:] >= 0)
+            ranks[there] = self._rank_of(ids[there], ids[:, 1:][there])
+            while len(live):
                 at = ranks.argmin(axis=1)
                 best = ranks[np.arange(len(live)), at]
                 go = best < self._NONE
-                live, at, best, s = live[go], at[go], best[go], s[go]
-                if not len(live):
-                    break
-                columns = np.arange(width)
-                take = columns + (columns > at[:, None])
-                moved = np.take_along_axis(np.pad(s, ((0, 0), (0, 1)), constant_values=-1), take, axis=1)
-                moved[np.arange(len(live)), at] = self.made[best]
-                ids[live, :width] = moved
-                left[live] -= 1
-            flat = ids.astype("<u4")
-            for w, row, n in zip(some, flat, left.tolist(), strict=True):
-                out[w] = row[:n].tobytes()
+                if not go.all():
+                    for k, row in zip(live[~go].tolist(), ids[~go].astype("<u4"), strict=True):
+                        out[some[k]] = row[: sizes[k] - rounds].tobytes()
+                    live, ids, ranks, at, best = live[go], ids[go], ranks[go], at[go], best[go]
+                    if not len(live):
+                        break
+                rounds += 1
+                rows, n = np.arange(len(live)), ids.shape[1] - 1
+                ids[rows, at] = self.made[best]
+                stays = np.ones(ids.shape, bool)
+                stays[rows, at + 1] = False
+                ids, ranks = ids[stays].reshape(-1, n), ranks[stays].reshape(-1, n)
+                left = np.nonzero(at > 0)[0]
+                ranks[left, at[left] - 1] = self._rank_of(ids[left, at[left] - 1], ids[left, at[left]])
+                ranks[rows, at] = self._NONE
+                right = np.nonzero(at + 1 < n)[0]
+                right = right[ids[right, at[right] + 1] >= 0]
+                ranks[right, at[right]] = self._rank_of(ids[right, at[right]], ids[right, at[right] + 1])
         return out
 
 
@@ -174,13 +187,26 @@ class Encoder:
         """The ids of different chunks; what wasn't known is learnt."""
         if len(self.known) > _CACHED:
             self.known.clear()
-        known, extra = self.known, {"": b""}
-        missing = {c for c in chunks if c and c not in known}
-        # Lower-case Latin-1 words are one piece to the tokenizer, and stay as they are: their merges are done together.
-        simple = {c: c.encode() for c in missing if len(c) <= _CACHED_CHARS and c.isalpha() and c == c.lower() and _lowers_by_character(c)}
-        ids_of = self.merger.encode(list(simple.values())) if simple else {}
-        known.update((c, ids_of[b]) for c, b in simple.items())
-        todo = sorted(missing.difference(simple))
+        known = self.known
+        out = list(map(known.get, chunks))  # once for each chunk: lookups in so large a table are what this waits for
+        missing = [c for c, ids in zip(chunks, out, strict=True) if ids is None and c]
+        learnt = {"": b""}
+        # Lower-case Latin-1 words are one piece to the tokenizer, and stay as they are: their merges are done together. So are
+        # signs after a word.
+        simple, tails, todo = {}, [], []
+        for c in missing:
+            word = c.rstrip(_SIGNS)
+            if word and len(c) <= _CACHED_CHARS and word.isalpha() and word == word.lower() and _lowers_by_character(word):
+                simple[word] = word.encode()
+                if word != c:
+                    tails.append((c, word, c[len(word) :]))
+            else:
+                todo.append(c)
+        todo = sorted({*todo, *{t for _, _, t in tails}.difference(known)})
+        learnt.update((w, known[w]) for w in simple.keys() & known.keys())
+        words = {w: b for w, b in simple.items() if w not in learnt}
+        ids_of = self.merger.encode(list(words.values()))
+        learnt.update(zip(words, map(ids_of.__getitem__, words.values()), strict=True))
         at = 0
         while at < len(todo):
             some, size = [], 0
@@ -188,16 +214,17 @@ class Encoder:
                 some.append(todo[at])
                 size += len(todo[at]) + 1
                 at += 1
-            for c, ids in self._learn(some).items():
-                (known if len(c) <= _CACHED_CHARS else extra)[c] = ids
-        return [known[c] if c in known else extra[c] for c in chunks]
+            learnt.update(self._learn(some))
+        learnt.update((c, learnt[w] + (known[t] if t in known else learnt[t])) for c, w, t in tails)
+        known.update((c, ids) for c, ids in learnt.items() if c and len(c) <= _CACHED_CHARS)
+        return [learnt[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian and unsigned of 32 bits."""
         out, some, size = [], [], 0
         for t in texts:
             t = t or ""
-            t = t.lower() if t.isascii() or _lowers_by_character(t) else t
+            t = t.lower() if _lowers_by_character(t) else t
             t = _BREAK.sub(r" \g<0>", t) if _JOINED.search(t) else t.replace(",", " ,").replace(".", " .")
             some.append(t.replace("\n", " "))
             size += len(t)
@@ -210,7 +237,7 @@ class Encoder:
         """The different chunks of all texts are looked up once, and their ids put in the places of the chunks."""
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        code, ids_of = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_pylist())
+        code, ids_of = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
         n = sizes[code]
         ends = np.cumsum(n)
@@ -349,6 +376,16 @@ _STORED = pa.schema(
 )
 
 
+def _slices(batch: pa.RecordBatch, size: int = _AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows in a row with about `size` bytes of text, at least one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "left")) + 1
+        yield batch.slice(a, b - a)
+        a = min(b, batch.num_rows)
+
+
 def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
     """Whole windows as finished pieces; remainders without a sequence, with their ids; at last, the remainders that hold each token."""
 
@@ -358,7 +395,7 @@ def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
         task, done, last = TaskContext.get().partitionId(), 0, end.to_bytes(4, "little")
         tokens = max(encoder.tokens, end + 1)
         place, held, seen = picks(tokens), np.zeros(tokens, np.int64), np.zeros(tokens, np.int64)
-        for k in (k for batch in batches for k in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500))):
+        for k in (k for batch in batches for k in _slices(batch)):
             rows, docs, texts = (k.column(c).to_pylist() for c in ("_p_row", "doc_id", "text"))
             whole, rest = [], []
             for doc, row, raw in zip(docs, rows, encoder.encode_all(texts), strict=True):

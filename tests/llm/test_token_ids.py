@@ -48,3 +48,46 @@ def test_ids_are_looked_up_once_for_each_different_chunk(encoder):
     assert encoder.known.lookups < 50
     for t, raw in zip(texts, got, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_signs_after_words_are_the_tokenizers(encoder):
+    rng = random.Random(9)
+    heads = ["the", "été", "straße", "ab", "x1", "don't", "", "日本", "ª", "Ünder", "a" * 60, "zqxj" * 3]
+    texts = [" ".join(rng.choice(heads) + "".join(rng.choice("!#$%&*,.'-_") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    got = encoder.encode_all(texts)
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_each_chunk_is_looked_up_once_and_learnt_in_its_parts(monkeypatch):
+    """A chunk that is known costs one lookup; words with signs behind them aren't given to the tokenizer one by one; a merge looks
+    up the two pairs beside it, not all of its word."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *key):
+            self.lookups += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.lookups += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+    encoder, rng = packing.Encoder(), random.Random(11)
+    words = sorted({"".join(rng.choice("enarstioulché") for _ in range(rng.randint(3, 20))) for _ in range(2000)})
+    pairs, given = [], []
+    rank, learn = packing.Merger._rank, encoder._learn
+    monkeypatch.setattr(packing.Merger, "_rank", lambda self, keys: pairs.append(keys.size) or rank(self, keys))
+    encoder._learn = lambda chunks: given.extend(chunks) or learn(chunks)
+    first = encoder.encode_all([" ".join(w + "***" for w in words)])
+    assert given == ["***"]
+    sizes = {w: len(encoder.tokenizer.encode(w, add_special_tokens=False).ids) for w in words}
+    assert sum(pairs) <= sum(len(w.encode()) - 1 + 2 * (len(w.encode()) - n) for w, n in sizes.items())
+    encoder.known = Counted(encoder.known)
+    assert encoder.encode_all([" ".join(w + "***" for w in words)]) == first
+    assert encoder.known.lookups <= len(words)
