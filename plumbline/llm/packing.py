@@ -237,15 +237,11 @@ class Encoder:
         """The different chunks of all texts are looked up once, and their ids put in the places of the chunks."""
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        code, ids_of = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
-        n = sizes[code]
-        ends = np.cumsum(n)
-        take = np.arange(ends[-1])
-        take += np.repeat((np.cumsum(sizes) - sizes)[code] - ends + n, n)
-        raw = np.frombuffer(b"".join(ids_of), "<u4")[take].tobytes()
-        cut = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        ids_of = pa.array(self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        _, ends, raw = ids_of.take(coded.indices).buffers()
+        cut = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(raw) if raw is not None else b""
+        return [bytes(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _idf(df: np.ndarray, pieces: int) -> np.ndarray:
