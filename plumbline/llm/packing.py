@@ -42,6 +42,8 @@ KEYS = 4
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
 TOKENIZER = "word_bpe_49k.json"
 _CACHED, _CACHED_CHARS = 900_000, 48
+#: Characters that the tokenizer gets at once: it takes some hundred bytes for each.
+_LEARNT_CHARS = 50_000
 #: Characters of the texts whose chunks are looked up together, and bytes of the texts that are held with their ids.
 _AT_ONCE = 2_000_000
 #: Signs that are a piece of their own after a word, and share it with no other kind of character.
@@ -210,7 +212,7 @@ class Encoder:
         at = 0
         while at < len(todo):
             some, size = [], 0
-            while at < len(todo) and size < 200_000:
+            while at < len(todo) and size < _LEARNT_CHARS:
                 some.append(todo[at])
                 size += len(todo[at]) + 1
                 at += 1
@@ -262,7 +264,10 @@ class Index:
         n = len(pieces)
         sizes = np.array([len(p) for p in pieces])
         tokens = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
-        key, tf = np.unique(tokens * n + np.repeat(np.arange(n), sizes), return_counts=True)
+        tokens *= n
+        tokens += np.repeat(np.arange(n), sizes)
+        key, tf = np.unique(tokens, return_counts=True)
+        del tokens
         term, piece = key // max(n, 1), key % max(n, 1)
         self.terms, first, here = np.unique(term, return_index=True, return_counts=True)
         df, of, mean = (known[0][self.terms], known[1], known[2]) if known else (here, n, sizes.mean() if n else 1)
@@ -382,6 +387,12 @@ def _slices(batch: pa.RecordBatch, size: int = _AT_ONCE) -> Iterator[pa.RecordBa
         a = min(b, batch.num_rows)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, which allocators else keep: a Python worker lives on beside its executor and the other workers."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
     """Whole windows as finished pieces; remainders without a sequence, with their ids; at last, the remainders that hold each token."""
 
@@ -413,7 +424,10 @@ def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
             held += np.bincount(np.concatenate(once), minlength=tokens)
             columns = list(zip(*whole, *rest, strict=True)) if whole or rest else []
             keys = [[None] * len(whole) + x.tolist() for x in keys_of(ids, place)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [None] * len(columns[0]), *keys], _STORED, strict=True)], schema=_STORED)
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [None] * len(columns[0]), *keys], _STORED, strict=True)], schema=_STORED)
+            del texts, whole, rest, ids, once, columns, keys
+            _give_back()
+            yield made
         if held.any():
             yield pa.RecordBatch.from_pylist([{"_p_held": held}], schema=_STORED)
 
@@ -421,12 +435,14 @@ def _tokeniser(path: str | None, window: int, end: int, with_ids: bool):
 
 
 def _packer(known: tuple[np.ndarray, int, float], window: int, shard_bytes: int, with_ids: bool):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "doc_tokens", "ids"]
+    schema = pa.schema([_STORED.field(n) for n in [*_NAMES, *(["ids"] if with_ids else [])]])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId(), 0
 
-        def shard(rows: pd.DataFrame) -> pd.DataFrame:
+        def shard(docs: list, starts: list[int], tokens: list[int], ids: list[bytes]) -> pa.RecordBatch:
             nonlocal done
-            docs, starts, tokens, ids = (rows[c].tolist() for c in ("doc_id", "start", "doc_tokens", "ids"))
             index, out = Index([np.frombuffer(x, "<u4") for x in ids], known), []
             for parts in fill([len(x) // 4 for x in ids], index, window):
                 offset = 0
@@ -435,19 +451,29 @@ def _packer(known: tuple[np.ndarray, int, float], window: int, shard_bytes: int,
                     out.append((docs[i], starts[i] + a, k, zlib.crc32(raw), tokens[i], 2 * ((task << 32) + done) + 1, offset, *([raw] if with_ids else [])))
                     offset += k
                 done += 1
-            return pd.DataFrame(out, columns=[*_NAMES, *(["ids"] if with_ids else [])])
-
-        held, size = [], 0
-        for pdf in batches:
-            place = (size + pdf["ids"].str.len().cumsum()) // shard_bytes
-            for k, rows in pdf.groupby(place, sort=True):
-                if k and held:
-                    yield shard(pd.concat(held))
-                    held = []
-                held.append(rows)
-            size = (size + int(pdf["ids"].str.len().sum())) % shard_bytes
-        if held:
-            yield shard(pd.concat(held))
+            del index
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            _give_back()
+            return made
+
+        held: list[list] = [[], [], [], []]  # of a shard that isn't full: no more than that is taken out of a batch at a time
+        size = 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64))
+            place = ends // shard_bytes
+            cuts = [0, *(np.nonzero(np.diff(place))[0] + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if place[a] and held[0]:
+                    yield shard(*held)
+                    held = [[], [], [], []]
+                for column, n in zip(held, names, strict=True):
+                    column += batch.column(n).slice(a, b - a).to_pylist()
+            size = int(ends[-1]) % shard_bytes if len(ends) else size
+        if held[0]:
+            yield shard(*held)
 
     return pack
 
@@ -466,6 +492,6 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: in
     order = [*(f"_p_key{k}" for k in range(KEYS)), "_p_row"]
     rest = rest.select("doc_id", "start", "doc_tokens", "ids", *order)
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
-    out = rest.mapInPandas(_packer((held, pieces, (tokens or 0) / max(pieces, 1)), window, shard_bytes, with_ids), _COLUMNS + (", ids binary" if with_ids else ""))
+    out = rest.mapInArrow(_packer((held, pieces, (tokens or 0) / max(pieces, 1)), window, shard_bytes, with_ids), _COLUMNS + (", ids binary" if with_ids else ""))
     whole = stored.filter("sequence_id IS NOT NULL").select(*out.columns)
     return whole.unionAll(out).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
